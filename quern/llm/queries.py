@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import scratch, table
+from quern.llm.mixing import mixing_plan
+from quern.llm.quality import quality_votes
 from quern.llm.token_counts import token_counts
+from quern.llm.token_store import document_checksums, write_store
 from quern.llm.tokens import default_path
 from quern.llm.word_bpe import word_bpe_digests
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 512
+#: The id behind each document in a token store.
+END_ID = 2
+#: Sources' weights in turn, the share of all words that they take, and the most copies of a document.
+MIX_WEIGHTS, MIX_SHARE, MIX_MOST = [3, 1, 2], 1.5, 2
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_votes(table(spark, sf_dir, "documents"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "store")
+    write_store(table(spark, sf_dir, "documents"), folder, default_path("byte_bpe_50k.json"), END_ID)
+    return document_checksums(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +42,11 @@ def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe_digests(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing_plan(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

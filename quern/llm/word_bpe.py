@@ -193,14 +193,22 @@ class WordCodec:
             else:
                 split.append(self._pieces(t))
         known = self.runs.get
-        new = {r for rs in split for r, x in zip(rs, map(known, rs), strict=True) if x is None}
+        found = [list(map(known, rs)) for rs in split]
+        new: dict[str, None] = {}
+        late = [k for k, xs in enumerate(found) if None in xs]
+        for k in late:
+            new.update(dict.fromkeys([r for r, x in zip(split[k], found[k], strict=True) if x is None]))
         for r in [r for r in new if r[0] == "\0" and r[1:] in self.added]:
             self.runs[r] = (str(self.added[r[1:]]), 1, r[1:])
-            new.discard(r)
-        self._learn(sorted(new))
-        for rs in split:
-            found = [x for x in map(known, rs) if x[1]]
-            yield " ".join([x[0] for x in found]), sum([x[1] for x in found]), " ".join([x[2] for x in found])
+            del new[r]
+        self._learn(list(new))
+        for k in late:
+            found[k] = list(map(known, split[k]))
+        for xs in found:
+            ids, counts, names = zip(*xs, strict=True) if xs else ((), (), ())
+            if 0 in counts:  # runs without a word
+                ids, names = [x for x in ids if x], [x for x in names if x]
+            yield " ".join(ids), sum(counts), " ".join(names)
 
 
 _APART = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
