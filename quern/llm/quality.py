@@ -36,8 +36,9 @@ RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words < 15", "n_words >= 40"),
     "word_length": (f"{_share('word_chars', 'n_words')} not between 2 and 14", f"{_share('word_chars', 'n_words')} between 3 and 10"),
     "symbols": (f"{_share('n_symbols', 'n_words')} > 0.1", f"{_share('n_symbols', 'n_words')} < 0.02"),
+    "signs": (f"{_share('n_signs', 'word_chars')} > 0.2", f"{_share('n_signs', 'word_chars')} < 0.1"),
     "lines": (f"{_share('n_dup_lines', 'n_lines')} > 0.3", f"{_share('n_dup_lines', 'n_lines')} < 0.1"),
-    "repeats": (f"{_share('n_repeat_words', 'n_words')} > 0.1", f"{_share('n_repeat_words', 'n_words')} < 0.02"),
+    "repeats": (f"{_share('n_repeat_words', 'n_words')} > 0.15", f"{_share('n_repeat_words', 'n_words')} < 0.05"),
     "capitals": (f"{_share('n_capitals', 'word_chars')} > 0.3", f"{_share('n_capitals', 'word_chars')} < 0.1"),
     "stops": (f"{_share('n_stops', 'n_words')} < 0.005", f"{_share('n_stops', 'n_words')} between 0.01 and 0.4"),
 }
@@ -54,6 +55,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": (F.length("_t") - F.length(F.regexp_replace("_t", "[#*$%&|<>]+", ""))).cast("long"),
         "n_capitals": (F.length("_t") - F.length(F.regexp_replace("_t", "[\\p{Lu}]+", ""))).cast("long"),
+        "n_signs": (F.length("_t") - F.length(F.regexp_replace("_t", "[^\\p{L}\\p{N}\\s]+", ""))).cast("long"),
         "n_stops": F.size(F.split("_t", "[.!?](?=[\\s]|$)")).cast("long") - 1,
         "_lines": F.expr(f"filter(split(_t, '\n'), l -> trim(both '{SPACES}' from l) <> '')"),
         # a hash of each window of words
