@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import scratch, table
+from quern.llm.html_text import extract_text
 from quern.llm.mixing import mixing_plan
 from quern.llm.quality import quality_votes
 from quern.llm.token_counts import token_counts
 from quern.llm.token_store import document_checksums, write_store
 from quern.llm.tokens import default_path
+from quern.llm.url_rules import url_verdicts
 from quern.llm.word_bpe import word_bpe_digests
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 512
 #: The id behind each document in a token store.
 END_ID = 2
+#: Domain rules: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Sources' weights in turn, the share of all words that they take, and the most copies of a document.
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST = [3, 1, 2], 1.5, 2
 
@@ -27,6 +31,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_votes(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("label"))
+    return url_verdicts(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "store")
     write_store(table(spark, sf_dir, "documents"), folder, default_path("byte_bpe_50k.json"), END_ID)
@@ -42,6 +51,10 @@ def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe_digests(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
