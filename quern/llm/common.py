@@ -89,7 +89,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number modulo 2**64, and of its inverse."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, PIECE + 1)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (_BASE, _INVERSE)]
+        for k, base in enumerate((_BASE, _INVERSE)):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            _powers[k : k + 1] = [np.cumprod(factors, dtype=np.uint64)]
     return _powers[0], _powers[1]
 
 

@@ -14,6 +14,7 @@ from quern.llm.quality import quality_votes
 from quern.llm.token_counts import token_counts
 from quern.llm.token_store import document_checksums, write_store
 from quern.llm.tokens import default_path
+from quern.llm.toxicity import toxicity
 from quern.llm.url_rules import url_verdicts
 from quern.llm.word_bpe import word_bpe_digests
 
@@ -47,6 +48,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe_digests(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 

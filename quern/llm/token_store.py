@@ -65,14 +65,18 @@ class MerkleTree:
         return out
 
 
+_values: list[np.ndarray] = []
+
+
 def chunk_ends(ids: np.ndarray, edges: np.ndarray) -> list[list[int]]:
     """Where chunks end in each document of a run of ids; `edges` are the documents' offsets in it."""
     up, down = powers(len(ids) + 1)
+    if not _values or len(_values[0]) <= int(ids.max(initial=0)):
+        _values[:] = [mixed(np.arange(max(1 << 16, int(ids.max(initial=0)) + 1), dtype=np.uint64))]
     sums = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum(mixed(ids.astype(np.uint64)) * up[: len(ids)], out=sums[1:])
-    last = np.arange(WINDOW, len(ids) + 1)
-    rolled = mixed((sums[last] - sums[last - WINDOW]) * down[last - WINDOW])
-    found = last[(rolled & np.uint64((1 << BITS) - 1)) == 0]
+    np.cumsum(_values[0][ids] * up[: len(ids)], out=sums[1:])
+    rolled = (sums[WINDOW:] - sums[:-WINDOW]) * down[: max(0, len(ids) + 1 - WINDOW)]
+    found = np.flatnonzero((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS) == 0) + WINDOW
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         ends, at = [], a

@@ -37,6 +37,9 @@ def special_strings(path: str) -> list[str]:
 #: A space before a character that is no white space: there the byte-level pattern always begins a new word,
 #: as only a word's own leading space can stand before its letters, digits or signs.
 CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
+#: A word of plain letters and the signs behind it, which the pattern parts; and two pieces around a line feed.
+WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\[-`{-~]+)\Z")
+TWO_LINES = re.compile(r"([^\s\0\x1c-\x1f\x85](?:[^\n\0]*[^\s\0\x1c-\x1f\x85])?)\n([^\s\0\x1c-\x1f\x85][^\0]*)\Z")
 #: A space that is no such place.
 ODD = re.compile(r" (?:[\s\x1c-\x1f\x85]|\Z)")
 
@@ -67,7 +70,8 @@ class SegmentMemo:
     A segment is a run up to the next space that precedes a character which is no white space. The pattern
     of the byte-level tokenizer always begins a new word at such a space, so segments encode one by one to
     the same ids as the text. New segments are joined and encoded together; the bytes that each id stands for
-    tell where a segment's ids end. The memory of segments is bounded by `most` entries.
+    tell where a segment's ids end. The memory of segments is bounded by `most` entries and a slice's
+    new ones. A segment may also come from its parts: a word and the signs behind it, or two pieces around a line feed.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -79,6 +83,9 @@ class SegmentMemo:
         self.special = special_strings(path)
         self.kind = np.dtype("<u2") if len(self.lengths) <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -110,10 +117,31 @@ class SegmentMemo:
                 start = e
             at = end
 
+    def _new(self, x: str, joined: dict[str, None], composed: list[str]) -> None:
+        """Finds, or plans to find, the ids of a segment that is not known."""
+        memo = self.memo
+        if (old := self.older.get(x)) is not None:
+            memo[x] = old
+        elif "\n" in x and (m := TWO_LINES.match(x)):
+            for part in (m[1], "\0" + m[2]):
+                if part not in memo and part not in joined:
+                    self._new(part, joined, composed)
+            composed.append(x)
+        elif x[0] == "\0":
+            memo[x] = self.whole(x[1:])
+        elif x[-1].isspace():
+            memo[x] = self.whole(" " + x)
+        elif m := WORD_AND_SIGNS.match(x):
+            if m[1] not in memo and m[1] not in joined:
+                self._new(m[1], joined, composed)
+            composed.append(x)
+        else:
+            joined[x] = None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of `kind`."""
-        if len(self.memo) > self.most:
-            self.memo.clear()
+        if len(self.memo) > self.most // 2:
+            self.memo, self.older = {}, self.memo
         known = self.memo.get
         out: list = [b""] * len(texts)
         late: dict[int, list[str]] = {}
@@ -131,15 +159,21 @@ class SegmentMemo:
                 new.update(dict.fromkeys([p for p, x in zip(parts, ids, strict=True) if x is None]))
             else:
                 out[i] = b"".join(ids)
-        joined = []
+        joined: dict[str, None] = {}
+        composed: list[str] = []
         for x in new:
-            if x[0] == "\0":
-                self.memo[x] = self.whole(x[1:])
-            elif x[-1].isspace():
-                self.memo[x] = self.whole(" " + x)
+            self._new(x, joined, composed)
+        self._learn([" " + x for x in joined])
+        memo = self.memo
+        for x in composed:  # parts come before what they compose
+            if m := TWO_LINES.match(x):
+                memo[x] = memo[m[1]] + self.feed + memo["\0" + m[2]]
             else:
-                joined.append(" " + x)
-        self._learn(joined)
+                m = WORD_AND_SIGNS.match(x)
+                tail = self.signs.get(m[2])
+                if tail is None:
+                    tail = self.signs[m[2]] = self.whole(m[2])
+                memo[x] = memo[m[1]] + tail
         for i, parts in late.items():
             out[i] = b"".join(map(known, parts))
         return out
