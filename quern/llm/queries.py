@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import scratch, table
 from quern.llm.html_text import extract_text
 from quern.llm.mixing import mixing_plan
+from quern.llm.ngram_join import ngram_components
 from quern.llm.quality import quality_votes
 from quern.llm.token_counts import token_counts
 from quern.llm.token_store import document_checksums, write_store
@@ -43,6 +44,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_checksums(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), words=4, least=85, per=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
