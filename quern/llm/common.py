@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,13 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that nothing refers to any more; it learns of them
+    when the driver's garbage is collected, which may be long after a disk is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def by_bytes(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows whose sizes add up to at most `most`; a larger row is alone."""
     start, total = 0, 0

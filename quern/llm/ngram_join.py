@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_values, dropped, mixed, stored, text_buffers, word_hashes
+from quern.llm.common import byte_values, dropped, mixed, released, stored, text_buffers, word_hashes
 from quern.llm.components import components
 
 #: Classes in a short list at most; and how many long n-grams may be known to every task (the bound for short lists grows
@@ -127,36 +127,37 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _ordered(classes: DataFrame, long_: DataFrame, rule: Rule) -> DataFrame:
-    """(gram, cid, n) for the n-grams whose lists are merged; gram is null where the kept n-grams don't suffice."""
-    known = classes.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in long_.select("gram").toLocalIterator()], np.int64)))  # at most LONG_KNOWN
+def _ordered(classes: DataFrame, far: DataFrame, rule: Rule, unfit: bool = False) -> DataFrame:
+    """(gram, cid, n) for the n-grams whose lists are merged, or the classes whose kept n-grams don't suffice for that.
+
+    Far n-grams come last in the order of all sets; they are known by 32 bits, so a few others count as far too, which
+    changes the order and no result.
+    """
+    known = classes.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in far.select("low").toLocalIterator()], np.int32)))  # at most LONG_KNOWN
+
+    def first(n: int, g: np.ndarray) -> np.ndarray | None:
+        want, low = int(rule.listed(np.int64(n))), g.astype(np.int32)
+        at = np.minimum(np.searchsorted(known.value, low), len(known.value) - 1)
+        is_far = known.value[at] == low if len(known.value) else np.zeros(len(g), bool)
+        near = g[~is_far]
+        if len(near) < want:
+            if len(g) < n:
+                return None
+            near = np.concatenate([near, g[is_far]])
+        return near[:want]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = known.value
         for b in batches:
             cids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            grams, owners, short = [], [], []
-            for c, n, g in zip(cids.tolist(), sizes.tolist(), _arrays(b.column(2)), strict=True):
-                want = min(n, int(rule.listed(np.int64(n))))
-                if len(far):
-                    at = np.minimum(np.searchsorted(far, g), len(far) - 1)
-                    is_far = far[at] == g
-                    near = g[~is_far]
-                    if len(near) < want:
-                        if len(g) < n:
-                            short.append((c, n))
-                            continue
-                        near = np.concatenate([near, g[is_far]])
-                    g = near
-                grams.append(g[:want])
-                owners.append((c, n, want))
-            o = np.array(owners, np.int64).reshape(-1, 3)
-            if len(o):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.repeat(o[:, 0], o[:, 2])), pa.array(np.repeat(o[:, 1], o[:, 2]).astype(np.int32))], names=["gram", "cid", "n"])
-            if short:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array([c for c, _ in short], pa.int64()), pa.array([n for _, n in short], pa.int32())], names=["gram", "cid", "n"])
-
-    return classes.select("cid", "n", "grams").mapInArrow(run, "gram bigint, cid bigint, n int")
+            found = [first(n, g) for n, g in zip(sizes.tolist(), _arrays(b.column(2)), strict=True)]
+            if unfit:
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([f is None for f in found], pa.bool_()))], names=["cid"])
+                continue
+            lengths = np.array([0 if f is None else len(f) for f in found], np.int64)
+            grams = np.concatenate([f for f in found if f is not None] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(cids, lengths)), pa.array(np.repeat(sizes, lengths))], names=["gram", "cid", "n"])
+
+    return classes.select("cid", "n", "grams").mapInArrow(run, "cid bigint" if unfit else "gram bigint, cid bigint, n int")
 
 
 def _lists(rows: DataFrame, rule: Rule, short: int) -> DataFrame:
@@ -376,34 +377,41 @@ def _dense_links(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: int = 80, per: int = 100) -> DataFrame:
     """(key, n_shingles, component_id) of each row: its set's size and the smallest key that links lead to."""
     rule = Rule(least, per, words)
-    base = stored(_sets(docs, key, text, rule, whole=False), "base")
-    classes = base.where("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("key"), F.any_value("grams").alias("grams"))
+    spark = docs.sparkSession
+    sets_ = stored(_sets(docs, key, text, rule, whole=False), "sets")
+    base = stored(sets_.select("key", "n", "a", "b"), "base")
+    repeated = bool(base.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").limit(1).count())
+    classes = sets_.where("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("key"), F.any_value("grams").alias("grams"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    dropped(sets_)
+    slim = stored(classes.drop("grams"), "slim")
 
-    first = F.expr(f"slice(grams, 1, n - cast(ceil({least}D * n / {per}) as int) + 1)")
-    often = classes.select(F.explode(first).alias("gram")).groupBy("gram").agg(F.count("*").alias("m")).where(f"m > {SHORT}")
-    often = stored(often, "often")
+    # n-grams in many sets, by their low 32 bits: the counts cover all n-grams that are kept of all classes
+    often = classes.select(F.explode("grams").alias("gram")).groupBy(F.col("gram").cast("bigint").bitwiseAND(0xFFFFFFFF).alias("low")).agg(F.count("*").alias("m")).where(f"m > {SHORT}")
+    often = stored(often.select(F.when(F.col("low") >= 1 << 31, F.col("low") - (1 << 32)).otherwise(F.col("low")).cast("int").alias("low"), "m"), "often")
     total = often.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    long_ = often.where(F.col("m") > max(SHORT, total // LONG_KNOWN))
-    rows = _ordered(classes, long_, rule)
-    lists = stored(_lists(rows.where("gram is not null"), rule, SHORT), "lists")
-    unfit = stored(rows.where("gram is null").select("cid"), "unfit") if long_.limit(1).count() else None
-    if unfit is not None and unfit.limit(1).count():
-        # sets whose kept n-grams are mostly long ones: they are read again, as a whole
-        wanted = classes.drop("grams").join(unfit, "cid")
-        whole = _picked(docs, key, text, rule, wanted)
-        again = stored(_ordered(classes.join(unfit, "cid", "left_anti").select("cid", "n", "grams").unionByName(whole.join(wanted.select("cid", "n"), "cid").select("cid", "n", "grams")), long_, rule), "again")
-        dropped(lists)
-        lists = stored(_lists(again, rule, SHORT), "lists")
+    far = often.where(F.col("m") > max(SHORT, total // LONG_KNOWN))
+    unfit = stored(_ordered(classes, far, rule, unfit=True), "unfit")
+    ready = classes.select("cid", "n", "grams")
+    if unfit.limit(1).count():  # sets whose kept n-grams are mostly far ones are read again, as a whole
+        whole = stored(_picked(docs, key, text, rule, slim.join(unfit, "cid"), repeated).join(slim.select("cid", "n"), "cid").select("cid", "n", "grams"), "whole")
+        ready = ready.join(F.broadcast(unfit) if unfit.count() <= BROADCAST_CLASSES else unfit, "cid", "left_anti").unionByName(whole)
+    lists = stored(_lists(_ordered(ready, far, rule), rule, SHORT), "lists")
+    dropped(classes)
+    released(spark)
 
     pairs = stored(_merged(lists.where("gram is null"), rule), "pairs")
     dense = lists.where("gram is not null").select("gram", F.col("x").alias("cid"), "n")
-    asked = pairs.select(F.col("x").alias("cid")).unionAll(pairs.select("y")).unionAll(dense.select("cid")).distinct()
-    sets = stored(_picked(docs, key, text, rule, classes.drop("grams").join(asked, "cid")), "sets")
-    links = _probed(pairs, sets, rule).unionAll(_dense_links(dense, sets, rule))
+    wanted = pairs.select(F.col("x").alias("cid")).unionAll(pairs.select("y")).unionAll(dense.select("cid")).distinct()
+    sets = stored(_picked(docs, key, text, rule, slim.join(wanted, "cid"), repeated), "sets")
+    released(spark)
+    links = stored(_probed(pairs, sets, rule).unionAll(_dense_links(dense, sets, rule)), "links")
+    for df in (sets, lists, pairs):
+        dropped(df)
+    released(spark)
     stars = components(links)
 
-    joined = classes.select("n", "a", "b", "cid", "key").join(stars.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    joined = slim.select("n", "a", "b", "cid", "key").join(stars.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     joined = stored(joined, "rooted")
     roots = joined.groupBy("root").agg(F.min("key").alias("component_id"))
     named = joined.join(roots, "root").select("n", "a", "b", "component_id")
@@ -411,13 +419,14 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
-def _picked(docs: DataFrame, key: str, text: str, rule: Rule, wanted: DataFrame) -> DataFrame:
+def _picked(docs: DataFrame, key: str, text: str, rule: Rule, wanted: DataFrame, repeated: bool) -> DataFrame:
     """(cid, grams): the whole sets of the wanted classes (cid, n, a, b, key), from the texts again."""
     wanted = stored(wanted.select("cid", "n", "a", "b", "key"), "wanted")
     few = wanted.count() <= BROADCAST_CLASSES
     found = _sets(docs, key, text, rule, whole=True).withColumnRenamed("key", "own")
     joined = found.join(F.broadcast(wanted) if few else wanted, ["n", "a", "b"]).where(F.col("own").eqNullSafe(F.col("key")))
-    return joined.select("cid", "grams").dropDuplicates(["cid"])
+    picked = joined.select("cid", "grams")
+    return picked.dropDuplicates(["cid"]) if repeated else picked  # one row for each class, unless rows repeat
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: int = 80, per: int = 100) -> DataFrame:

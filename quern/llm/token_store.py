@@ -70,13 +70,16 @@ _values: list[np.ndarray] = []
 
 def chunk_ends(ids: np.ndarray, edges: np.ndarray) -> list[list[int]]:
     """Where chunks end in each document of a run of ids; `edges` are the documents' offsets in it."""
-    up, down = powers(len(ids) + 1)
-    if not _values or len(_values[0]) <= int(ids.max(initial=0)):
-        _values[:] = [mixed(np.arange(max(1 << 16, int(ids.max(initial=0)) + 1), dtype=np.uint64))]
-    sums = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum(_values[0][ids] * up[: len(ids)], out=sums[1:])
+    top = int(ids.max(initial=0))
+    if not _values or len(_values[0]) <= top:
+        _values[:] = [mixed(np.arange(max(1 << 16, top + 1), dtype=np.uint64)).astype(np.uint32)]
+    if len(_values) < 3 or len(_values[1]) <= len(ids):
+        _values[1:] = [p.astype(np.uint32) for p in powers(len(ids) + 1)]  # an inverse modulo 2**64 is one modulo 2**32
+    up, down = _values[1], _values[2]
+    sums = np.zeros(len(ids) + 1, np.uint32)
+    np.cumsum(_values[0][ids] * up[: len(ids)], dtype=np.uint32, out=sums[1:])
     rolled = (sums[WINDOW:] - sums[:-WINDOW]) * down[: max(0, len(ids) + 1 - WINDOW)]
-    found = np.flatnonzero((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS) == 0) + WINDOW
+    found = np.flatnonzero((rolled * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS) == 0) + WINDOW
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         ends, at = [], a
@@ -139,7 +142,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
 
     schema = f"kind int, digest binary, ids binary, key {kind}, n_tokens bigint, digests array<binary>, after array<bigint>"
     rows = docs.select(F.col(key), F.col(text)).mapInArrow(encoded, schema)
-    rows.repartition("digest").sortWithinPartitions("kind", "digest").mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/packs")
+    rows.repartition("digest").sortWithinPartitions("kind", "digest").mapInArrow(once, schema).write.partitionBy("kind").parquet(f"{folder}/packs")
 
     raw = spark.read.schema(schema).parquet(f"{folder}/packs").where("kind = 0").select("key", "n_tokens", "digests", "after", F.col("digest").alias("root"))
     parts = raw.repartitionByRange("key", "root").withColumn("part", F.spark_partition_id()).sortWithinPartitions("key", "root")

@@ -131,7 +131,7 @@ class SegmentMemo:
             memo[x] = self.whole(x[1:])
         elif x[-1].isspace():
             memo[x] = self.whole(" " + x)
-        elif m := WORD_AND_SIGNS.match(x):
+        elif not x[-1].isalnum() and (m := WORD_AND_SIGNS.match(x)):
             if m[1] not in memo and m[1] not in joined:
                 self._new(m[1], joined, composed)
             composed.append(x)
@@ -142,23 +142,14 @@ class SegmentMemo:
         """The ids of each text as little-endian unsigned integers of `kind`."""
         if len(self.memo) > self.most // 2:
             self.memo, self.older = {}, self.memo
-        known = self.memo.get
         out: list = [b""] * len(texts)
-        late: dict[int, list[str]] = {}
-        new: dict[str, None] = {}
+        cut: dict[int, list[str]] = {}
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "\0" in t or any(s in t for s in self.special):
+            if t and ("\0" in t or any(s in t for s in self.special)):
                 out[i] = self.whole(t)
-                continue
-            parts = self.segments(t)
-            ids = list(map(known, parts))
-            if None in ids:
-                late[i] = parts
-                new.update(dict.fromkeys([p for p, x in zip(parts, ids, strict=True) if x is None]))
-            else:
-                out[i] = b"".join(ids)
+            elif t:
+                cut[i] = self.segments(t)
+        new = set().union(*cut.values()).difference(self.memo)
         joined: dict[str, None] = {}
         composed: list[str] = []
         for x in new:
@@ -174,6 +165,7 @@ class SegmentMemo:
                 if tail is None:
                     tail = self.signs[m[2]] = self.whole(m[2])
                 memo[x] = memo[m[1]] + tail
-        for i, parts in late.items():
-            out[i] = b"".join(map(known, parts))
+        known = memo.__getitem__
+        for i, parts in cut.items():
+            out[i] = b"".join(list(map(known, parts)))
         return out
