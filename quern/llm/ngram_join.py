@@ -39,7 +39,7 @@ from quern.llm.components import components
 #: so that no more can exist).
 SHORT, LONG_KNOWN = 64, 1 << 20
 #: N-grams in one side of a block at most, and classes.
-BLOCK_GRAMS, BLOCK_CLASSES = 1 << 21, 512
+BLOCK_GRAMS, BLOCK_CLASSES = 1 << 21, 2048
 #: Classes that may be broadcast for picking their sets; beyond it they are joined.
 BROADCAST_CLASSES = 1 << 20
 
