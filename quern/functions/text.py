@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Patterns. Java's classes are ASCII unless (?U) is given.
 TOKEN = "[A-Za-z0-9_]+|[一-鿿]"
@@ -48,7 +49,7 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)\\s+", "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has none."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

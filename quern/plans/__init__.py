@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import measures, policy, records, retrieval
+from quern.plans import flows, measures, policy, records, retrieval
 
-MODULES = (retrieval, records, measures, policy)
+MODULES = (retrieval, records, measures, policy, flows)
 
 
 def queries() -> dict:

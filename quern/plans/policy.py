@@ -177,7 +177,7 @@ def oracle_choice(spark, sf_dir):
 
 
 @query(
-    "SELECT conv_id, turn, round(least(1.0, greatest(0.0, 0.05 + 0.02 * least(CAST(contains(s, 'idiot') AS INT) + CAST(contains(s, 'stupid') AS INT), 3) + 0.01 * least(CAST(contains(s, 'fire') AS INT) + CAST(contains(s, 'er') AS INT), 3) + 0.12 * CAST(s = 'help' OR length(s) < 6 AS INT) + 0.01 * least((length(s) - length(replace(s, 'and', ''))) // 3 + (length(s) - length(replace(s, 'also', ''))) // 4, 2) + 0.02)), 9) AS risk FROM (SELECT *, regexp_replace(lower(text), '\\s+', '', 'g') AS s FROM conversations)"
+    "SELECT conv_id, turn, round(CAST(least(1.0, greatest(0.0, 0.05 + 0.02 * least(CAST(contains(s, 'idiot') AS INT) + CAST(contains(s, 'stupid') AS INT), 3) + 0.01 * least(CAST(contains(s, 'fire') AS INT) + CAST(contains(s, 'er') AS INT), 3) + 0.12 * CAST(s = 'help' OR length(s) < 6 AS INT) + 0.01 * least((length(s) - length(replace(s, 'and', ''))) // 3 + (length(s) - length(replace(s, 'also', ''))) // 4, 2) + 0.02)) AS DOUBLE), 9) AS risk FROM (SELECT *, regexp_replace(lower(text), '\\s+', '', 'g') AS s FROM conversations)"
 )
 def heuristic_risk(spark, sf_dir):
     f = T.surface_features(F.col("text"), LEXICON)

@@ -153,14 +153,6 @@ def clause_counts(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count("*").alias("clauses"), F.count_if("c.negative").alias("negative"))
 
 
-@query()
-def conflict_pairs(spark, sf_dir):
-    """Conflicts among each conversation's turns, with every second turn's clauses turned negative."""
-    c = table(spark, sf_dir, "conversations")
-    rows = c.select(F.col("conv_id").alias("query_id"), F.concat_ws("-", "conv_id", "turn").alias("evidence_id"), F.col("turn").alias("rank"), F.regexp_replace(F.col("text"), "\\. ?", F.when(F.col("turn") % 2 == 1, F.lit("不得\n")).otherwise(F.lit("\n"))).alias("text"))
-    return R.conflicts(rows)
-
-
 @query(
     f"""WITH t AS (SELECT doc_id, {TOKENS.format("coalesce(text, '')")} AS terms FROM documents)
 SELECT doc_id, CAST(len(terms) AS BIGINT) AS tokens, CAST(len(list_distinct(terms)) AS BIGINT) AS distinct_tokens FROM t"""
