@@ -2,8 +2,9 @@
 
 Layout of a store's folder (Parquet):
 
-- `packs/kind=1`: chunks. `digest` (16 bytes of BLAKE2b over `ids`) and `ids` (little-endian unsigned integers of 2
+- `packs`: chunks are the rows with `kind` 1, in digest order. `digest` (16 bytes of BLAKE2b over `ids`) and `ids` (little-endian unsigned integers of 2
   bytes, or 4 if the vocabulary needs them). Each digest is there once.
+  Rows with `kind` 0, which come first, are the documents before they were put in order.
 - `recipes`: documents in ascending key order by `part`, then `start`. `key`, `start` (ids of all documents before),
   `n_tokens`, `digests` of its chunks in order, `after` (ids of the document behind each chunk), `root` (its Merkle leaf).
 - `manifest`: each part's number of documents and ids, the ids before it, and the Merkle root over its documents' leaves.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, dropped, mixed, powers
+from quern.llm.common import by_bytes, dropped, mixed, powers, text_buffers
 from quern.llm.tokens import SegmentMemo
 
 #: Ids that the rolling hash sees, a chunk's least and most ids, and the bits that end one (about 2**8 ids).
@@ -94,7 +95,7 @@ def chunk_ends(ids: np.ndarray, edges: np.ndarray) -> list[list[int]]:
     return out
 
 
-def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", slice_bytes: int = 2 << 20) -> None:
+def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> None:
     """Encodes every text with the tokenizer at `path`, appends the end id and writes a store."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -103,15 +104,12 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
         memo = _memos.setdefault(path, SegmentMemo(path))
         sent: set[bytes] = set()
         for b in batches:
-            for i, j in by_bytes(np.diff(np.frombuffer(b.column(1).cast(pa.large_string()).buffers()[1], np.int64)[b.column(1).offset :][: len(b) + 1]) if len(b) else np.zeros(0, np.int64), slice_bytes):
-                texts = ["" if t is None else t for t in b.column(1).slice(i, j - i).to_pylist()]
-                end = np.array([end_id], memo.kind).tobytes()
-                coded = [x + end for x in memo.encode(texts)]
-                sizes = np.array([len(x) // memo.kind.itemsize for x in coded])
-                edges = np.concatenate([[0], np.cumsum(sizes)])
-                raw, width = b"".join(coded), memo.kind.itemsize
+            texts, offsets = text_buffers(b.column(1))
+            for i, j in by_bytes(np.diff(offsets), slice_bytes):
+                found, edges = memo.encode_texts(texts[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
+                raw, width, sizes = found.tobytes(), memo.kind.itemsize, np.diff(edges)
                 rows: list[tuple] = []
-                for k, (ends, n) in enumerate(zip(chunk_ends(np.frombuffer(raw, memo.kind), edges), sizes.tolist(), strict=True)):
+                for k, (ends, n) in enumerate(zip(chunk_ends(found, edges), sizes.tolist(), strict=True)):
                     at, own, after = int(edges[k]), [], []
                     for e in ends:
                         data = raw[at * width : e * width]
@@ -142,7 +140,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
 
     schema = f"kind int, digest binary, ids binary, key {kind}, n_tokens bigint, digests array<binary>, after array<bigint>"
     rows = docs.select(F.col(key), F.col(text)).mapInArrow(encoded, schema)
-    rows.repartition("digest").sortWithinPartitions("kind", "digest").mapInArrow(once, schema).write.partitionBy("kind").parquet(f"{folder}/packs")
+    rows.repartition("digest").sortWithinPartitions("kind", "digest").mapInArrow(once, schema).write.parquet(f"{folder}/packs")
 
     raw = spark.read.schema(schema).parquet(f"{folder}/packs").where("kind = 0").select("key", "n_tokens", "digests", "after", F.col("digest").alias("root"))
     parts = raw.repartitionByRange("key", "root").withColumn("part", F.spark_partition_id()).sortWithinPartitions("key", "root")

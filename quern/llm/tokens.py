@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from quern.llm.common import mixed, span_hashes
+
 _loaded: dict[str, object] = {}
 
 
@@ -37,11 +39,17 @@ def special_strings(path: str) -> list[str]:
 #: A space before a character that is no white space: there the byte-level pattern always begins a new word,
 #: as only a word's own leading space can stand before its letters, digits or signs.
 CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
-#: A word of plain letters and the signs behind it, which the pattern parts; and two pieces around a line feed.
-WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\[-`{-~]+)\Z")
-TWO_LINES = re.compile(r"([^\s\0\x1c-\x1f\x85](?:[^\n\0]*[^\s\0\x1c-\x1f\x85])?)\n([^\s\0\x1c-\x1f\x85][^\0]*)\Z")
-#: A space that is no such place.
-ODD = re.compile(r" (?:[\s\x1c-\x1f\x85]|\Z)")
+#: Bytes that no white space begins with: visible ASCII, and lead bytes of characters other than U+0080 to U+00BF,
+#: U+1000 to U+3FFF. And bytes that can end a segment which others follow: letters, digits and signs of ASCII.
+AFTER = np.zeros(256, bool)
+AFTER[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+PLAIN_END = np.zeros(256, bool)
+PLAIN_END[0x21:0x7F] = True
+#: ASCII letters, and ASCII signs: behind a letter the pattern always begins a new word at a sign.
+LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+BYTES = mixed(np.arange(256, dtype=np.uint64), 17)
 
 
 def safe_parts(text: str, most: int, special: list[str]) -> list[str]:
@@ -67,14 +75,14 @@ def safe_parts(text: str, most: int, special: list[str]) -> list[str]:
 class SegmentMemo:
     """Ids of byte-level texts by the library, where each distinct segment of a slice is encoded once.
 
-    A segment is a run up to the next space that precedes a character which is no white space. The pattern
-    of the byte-level tokenizer always begins a new word at such a space, so segments encode one by one to
-    the same ids as the text. New segments are joined and encoded together; the bytes that each id stands for
-    tell where a segment's ids end. The memory of segments is bounded by `most` entries and a slice's
-    new ones. A segment may also come from its parts: a word and the signs behind it, or two pieces around a line feed.
+    A segment begins at a space before a byte that cannot begin white space, at a sign behind a letter, and on both
+    sides of a single line feed. The byte-level pattern always begins a new word at these places, so segments
+    encode one by one to the same ids as the text. Segments of a slice are found and told apart in numpy: by 64-bit hashes, then
+    byte for byte. Those not seen in earlier slices are joined and encoded together; the bytes
+    that each id stands for tell where a segment's ids end. At most `most` earlier segments are remembered.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.library, self.most = tokenizer(path), most
         vocab = self.library.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -82,90 +90,110 @@ class SegmentMemo:
             self.lengths[i] = len(token)  # one character of the byte-level alphabet stands for one byte
         self.special = special_strings(path)
         self.kind = np.dtype("<u2") if len(self.lengths) <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-        self.feed = self.whole("\n")
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    @staticmethod
-    def segments(text: str) -> list[str]:
-        """Segments without their leading space; the first one, which may lack it, has \0 in its place."""
-        if ODD.search(text):
-            parts = CUT.sub("\0", text).split("\0")
-        else:
-            parts = text.split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
-
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes segments that begin with a space and end in no white space, many at a time."""
         at = 0
         while at < len(new):
             end, size = at, 0
-            while end < len(new) and (end == at or size < 1 << 18):
+            while end < len(new) and (end == at or size < 1 << 17):
                 size += len(new[end])
                 end += 1
             group = new[at:end]
-            sizes = np.array([len(s.encode()) for s in group])
-            ids = np.array(self.library.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+            ids = np.array(self.library.encode_batch_fast([b"".join(group).decode()], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(s) for s in group])) + 1
             raw, width, start = ids.tobytes(), self.kind.itemsize, 0
             for s, e in zip(group, (ends * width).tolist(), strict=True):
-                self.memo[s[1:]] = raw[start:e]
+                self.memo[s] = raw[start:e]
                 start = e
             at = end
 
-    def _new(self, x: str, joined: dict[str, None], composed: list[str]) -> None:
-        """Finds, or plans to find, the ids of a segment that is not known."""
-        memo = self.memo
-        if (old := self.older.get(x)) is not None:
-            memo[x] = old
-        elif "\n" in x and (m := TWO_LINES.match(x)):
-            for part in (m[1], "\0" + m[2]):
-                if part not in memo and part not in joined:
-                    self._new(part, joined, composed)
-            composed.append(x)
-        elif x[0] == "\0":
-            memo[x] = self.whole(x[1:])
-        elif x[-1].isspace():
-            memo[x] = self.whole(" " + x)
-        elif not x[-1].isalnum() and (m := WORD_AND_SIGNS.match(x)):
-            if m[1] not in memo and m[1] not in joined:
-                self._new(m[1], joined, composed)
-            composed.append(x)
+    def _known(self, segments: list[bytes]) -> list[bytes]:
+        if len(self.memo) > self.most // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        joined, apart = [], []
+        for s in segments:
+            if s not in memo:
+                if (old := older.get(s)) is not None:
+                    memo[s] = old
+                elif s[0] == 32 and PLAIN_END[s[-1]]:
+                    joined.append(s)
+                else:
+                    apart.append(s)
+        self._learn(joined)
+        if apart:
+            for s, e in zip(apart, self.library.encode_batch_fast([s.decode() for s in apart], add_special_tokens=False), strict=True):
+                memo[s] = np.array(e.ids, self.kind).tobytes()
+        return [memo[s] for s in segments]
+
+    def encode_slice(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of neighbouring texts, and where each text's begin; `edges` are the texts' offsets in the bytes."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, self.kind), np.zeros(len(edges), np.int64)
+        begins = np.zeros(n + 1, bool)
+        letter = LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        begins[: n - 1] = (data[:-1] == 0x20) & AFTER[data[1:]]
+        begins[1:n] |= letter[:-1] & SIGN[data[1:]]
+        feed = np.flatnonzero((data[1:-1] == 0x0A) & (letter[:-2] | SIGN[data[:-2]]) & AFTER[data[2:]]) + 1
+        begins[feed] = begins[feed + 1] = True
+        begins[edges] = True
+        starts = np.flatnonzero(begins[:n])
+        ends = np.append(starts[1:], n)
+        hashes = span_hashes(data, starts, ends, BYTES)
+        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        self._same(data, starts, ends, at[inverse])
+        raw = data.tobytes()
+        s, e = starts[at].tolist(), ends[at].tolist()
+        found = self._known([raw[i:j] for i, j in zip(s, e, strict=True)])
+        sizes = np.array([len(f) for f in found]) // self.kind.itemsize
+        offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        ids = np.frombuffer(b"".join(found), self.kind)
+        own = sizes[inverse]
+        ahead = np.concatenate([[0], np.cumsum(own)])
+        out = ids[np.repeat(offsets[inverse] - ahead[:-1], own) + np.arange(ahead[-1])]
+        return out, ahead[np.searchsorted(starts, edges)]
+
+    @staticmethod
+    def _same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> None:
+        """Raises if segments with equal hashes differ."""
+        sizes = ends - starts
+        if not (sizes == sizes[like]).all():
+            raise ValueError("segments of different length have one hash")
+        other = np.flatnonzero(like != np.arange(len(like)))
+        move = np.repeat(starts[like[other]] - starts[other], sizes[other])
+        places = np.repeat(starts[other] - np.concatenate([[0], np.cumsum(sizes[other])[:-1]]), sizes[other]) + np.arange(sizes[other].sum())
+        if not (data[places] == data[places + move]).all():
+            raise ValueError("different segments have one hash")
+
+    def encode_texts(self, data: np.ndarray, edges: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Like encode_slice; texts that hold a special token's string are encoded as a whole, and an end id may follow each text."""
+        raw = data.tobytes()
+        if any(t.encode() in raw for t in self.special):
+            parts = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = raw[a:b]
+                if any(t.encode() in own for t in self.special):
+                    parts.append(np.frombuffer(self.whole(own.decode()), self.kind))
+                else:
+                    parts.append(self.encode_slice(data[a:b], np.array([0, b - a]))[0])
+            ids, ahead = np.concatenate(parts or [np.zeros(0, self.kind)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         else:
-            joined[x] = None
+            ids, ahead = self.encode_slice(data, edges)
+        if end_id is not None:
+            ids = np.insert(ids, ahead[1:], end_id)
+            ahead = ahead + np.arange(len(ahead))
+        return ids, ahead
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of `kind`."""
-        if len(self.memo) > self.most // 2:
-            self.memo, self.older = {}, self.memo
-        out: list = [b""] * len(texts)
-        cut: dict[int, list[str]] = {}
-        for i, t in enumerate(texts):
-            if t and ("\0" in t or any(s in t for s in self.special)):
-                out[i] = self.whole(t)
-            elif t:
-                cut[i] = self.segments(t)
-        new = set().union(*cut.values()).difference(self.memo)
-        joined: dict[str, None] = {}
-        composed: list[str] = []
-        for x in new:
-            self._new(x, joined, composed)
-        self._learn([" " + x for x in joined])
-        memo = self.memo
-        for x in composed:  # parts come before what they compose
-            if m := TWO_LINES.match(x):
-                memo[x] = memo[m[1]] + self.feed + memo["\0" + m[2]]
-            else:
-                m = WORD_AND_SIGNS.match(x)
-                tail = self.signs.get(m[2])
-                if tail is None:
-                    tail = self.signs[m[2]] = self.whole(m[2])
-                memo[x] = memo[m[1]] + tail
-        known = memo.__getitem__
-        for i, parts in cut.items():
-            out[i] = b"".join(list(map(known, parts)))
-        return out
+        packed = [t.encode() for t in texts]
+        ids, ahead = self.encode_texts(np.frombuffer(b"".join(packed), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in packed])]).astype(np.int64))
+        return [ids[a:b].tobytes() for a, b in zip(ahead[:-1].tolist(), ahead[1:].tolist(), strict=True)]

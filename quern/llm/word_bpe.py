@@ -158,6 +158,22 @@ class WordCodec:
         return out
 
     def _learn(self, runs: list[str]) -> None:
+        """Codes new runs. One that is a known or new run and a sign behind a letter is put together from the two."""
+        known, ended, bare = self.runs, [], {}
+        for r in runs:
+            if len(r) > 1 and r[-1] in SIGNS and r[-2].isalpha() and r[-2] < "\u0250" and len(r[-2].lower()) == 1:
+                ended.append(r)
+                for part in (r[:-1], r[-1]):
+                    if part not in known:
+                        bare[part] = None
+            else:
+                bare[r] = None
+        self._code(list(bare))
+        for r in ended:
+            x, y = known[r[:-1]], known[r[-1]]
+            known[r] = (f"{x[0]} {y[0]}", x[1] + y[1], f"{x[2]} {y[2]}")
+
+    def _code(self, runs: list[str]) -> None:
         by_run = self._words(runs)
         seen, names = self.words, self.names
         if len(seen) > self.most:
@@ -211,6 +227,7 @@ class WordCodec:
             yield " ".join(ids), sum(counts), " ".join(names)
 
 
+SIGNS = frozenset(",.;:!?")
 _APART = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _QUOTED = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 _SIMPLE = re.compile(r"[!-~]+\Z")
