@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 #: Bytes of text that are hashed at a time; a longer text is cut at white space.
 PIECE = 1 << 20
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 _own: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches of this session at BATCH_ROWS rows and BATCH_BYTES at most.
+
+    A default batch of 10,000 texts stands in the executor's JVM, outside its heap, and in the Python worker at once.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub("[^0-9-]", "", spark.conf.get(key)))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet to a scratch folder and read from there.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import small_batches, stored
 from quern.llm.url_rules import host_of
 
 #: Hosts whose paths are sent to every executor; with more, pages meet them in a salted join.
@@ -237,6 +237,7 @@ def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """(key, url, text, n_chars) of each row."""
     kind = pages.schema[key].dataType.simpleString()
+    small_batches(pages.sparkSession)
     agreed = stored(host_paths(pages, html, url), "paths")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     if agreed.count() <= BROADCAST_HOSTS:

@@ -19,8 +19,10 @@ from quern.llm.common import SPACE_RUN, stored
 
 #: Steps of the search for the tilt, and how near to the target they must come.
 STEPS, NEAR = 40, 1e-9
-#: Places of the rounding shift between -1 and 1.
-PLACES = 1 << 16
+#: Places of the rounding shift between -1 and 1, and how many of them make a coarse one.
+PLACES, COARSE = 1 << 16, 1 << 8
+#: Bounds of the size classes that are rounded one after the other, as parts of the source's mean size.
+LEVELS = (0.25, 1.0, 4.0)
 
 
 def word_count(text: Column) -> Column:
@@ -89,6 +91,11 @@ def _place() -> Column:
     return F.floor((u - (F.col("rate") - F.floor("rate")) + 1) * (PLACES / 2)).cast("long")
 
 
+def _level() -> Column:
+    """Size classes by the source's mean: rounding begins with the largest documents and ends with the smallest."""
+    return sum(((F.col("size") > F.col("mean") * m).cast("int") for m in LEVELS), F.lit(0))
+
+
 def mixing_plan(docs: DataFrame, weights: list[float], share: float, most: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, size, source_size, target, rate, copies) of each row; copies are 0 to `most`."""
     sized = stored(docs.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("src_null"), word_count(F.col(text)).alias("size")), "sizes")
@@ -97,23 +104,41 @@ def mixing_plan(docs: DataFrame, weights: list[float], share: float, most: int,
 
 
 def mixing_params(sized: DataFrame, weights: list[float], share: float, most: int) -> DataFrame:
-    """One row for each source: target, tilt and rounding shift."""
+    """One row for each source: target, tilt, and a rounding shift for each size class.
+
+    The documents of a class take whole copies by one shift, which brings their words next to what their rates ask for
+    and what larger ones have left over; so a source misses its target by about one of its smallest documents.
+    """
     same = ["src", "src_null"]
     hist = stored(sized.groupBy(*same, "size").agg(F.count("*").alias("n")), "hist")
     state = stored(tilted(hist, source_targets(sized, weights, share, most), most), "tilted")
-    placed = sized.join(state, same).withColumn("rate", _rate(most)).withColumn("place", _place())
-    whole = placed.groupBy(*same, F.when(F.col("rate") < float(most), F.col("place")).alias("place")).agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.floor("rate")).alias("sure"))
-    # at most PLACES rows for each source
-    before = Window.partitionBy(*same).orderBy(F.asc_nulls_last("place"))
-    shares = whole.withColumn("all_sure", F.sum("sure").over(Window.partitionBy(*same))).withColumn("with_it", F.sum(F.when(F.col("place").isNotNull(), F.col("words")).otherwise(0)).over(before))
-    gap = F.abs(F.col("all_sure") + F.col("with_it") - F.col("target"))
-    nearest = shares.join(state.select(*same, "target"), same).groupBy(*same).agg(F.min(F.struct(gap.alias("gap"), F.col("place"))).alias("best"), F.min(F.abs(F.col("all_sure") - F.col("target"))).alias("none"))
-    shift = F.when(F.col("none") <= F.col("best.gap"), F.lit(-1)).otherwise(F.col("best.place"))
-    return stored(state.join(nearest.select(*same, shift.alias("shift")), same), "mix")
+    placed = sized.join(state, same).withColumn("rate", _rate(most)).withColumn("place", F.when(F.col("rate") < float(most), _place())).withColumn("level", _level())
+    keys = [*same, "level"]
+    fine = placed.groupBy(*keys, F.floor(F.col("place") / COARSE).alias("coarse"), "place").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.floor("rate")).alias("sure"), F.sum(F.col("size") * F.col("rate")).alias("asked"))
+    fine = stored(fine, "places")
+    # running sums over places in two steps, so that no window holds more rows than a class has coarse or fine places
+    coarse = fine.where("place is not null").groupBy(*keys, "coarse").agg(F.sum("words").alias("words"))
+    before = coarse.select(*keys, "coarse", (F.sum("words").over(Window.partitionBy(*keys).orderBy("coarse")) - F.col("words")).alias("ahead"))
+    inside = F.sum("words").over(Window.partitionBy(*keys, "coarse").orderBy("place"))
+    running = stored(fine.where("place is not null").join(before, [*keys, "coarse"]).select(*keys, "place", (F.col("ahead") + inside).alias("more")), "running")
+    totals = stored(fine.groupBy(*keys).agg(F.sum("sure").alias("sure"), F.sum("asked").alias("asked")), "totals")
+
+    found = state.select(*same, "target", F.lit(0.0).alias("taken"), F.lit(0.0).alias("asked_so_far"))
+    for level in range(len(LEVELS), -1, -1):
+        own = totals.where(F.col("level") == level).select(*same, "sure", "asked")
+        found = found.join(own, same, "left").withColumn("asked_so_far", F.col("asked_so_far") + F.coalesce("asked", F.lit(0.0)))
+        goal = (F.col("target") if level == 0 else F.col("asked_so_far")) - F.col("taken") - F.col("sure")
+        here = running.where(F.col("level") == level).select(*same, "place", "more").join(found.select(*same, goal.alias("goal")), same)
+        best = here.groupBy(*same).agg(F.min(F.struct(F.abs(F.col("more") - F.col("goal")).alias("gap"), "place", "more")).alias("best"), F.abs(F.first("goal")).alias("none"))
+        best = best.select(*same, F.when(F.col("none") > F.col("best.gap"), F.col("best.place")).otherwise(-1).alias(f"shift{level}"), F.when(F.col("none") > F.col("best.gap"), F.col("best.more")).otherwise(0).alias("more"))
+        found = found.join(best, same, "left").withColumn("taken", F.col("taken") + F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0))).drop("sure", "asked", "more")
+        found = stored(found, "shifts")
+    shifts = [F.coalesce(f"shift{k}", F.lit(-1)) for k in range(len(LEVELS) + 1)]
+    return stored(state.join(found.select(*same, F.array(*shifts).alias("shifts")), same), "mix")
 
 
 def with_copies(sized: DataFrame, params: DataFrame, most: int) -> DataFrame:
-    more = F.coalesce((F.col("place") <= F.col("shift")) & (F.col("rate") < float(most)), F.lit(False))
+    more = F.coalesce((F.col("place") <= F.col("shifts")[_level()]) & (F.col("rate") < float(most)), F.lit(False))
     found = sized.join(params, ["src", "src_null"]).withColumn("rate", _rate(most)).withColumn("place", _place())
     return found.withColumn("copies", F.least(F.floor("rate") + more.cast("long"), F.lit(most).cast("long")))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_values, dropped, mixed, released, stored, text_buffers, word_hashes
+from quern.llm.common import byte_values, dropped, mixed, released, small_batches, stored, text_buffers, word_hashes
 from quern.llm.components import components
 
 #: Classes in a short list at most; and how many long n-grams may be known to every task (the bound for short lists grows
@@ -376,6 +376,7 @@ def _dense_links(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: int = 80, per: int = 100) -> DataFrame:
     """(key, n_shingles, component_id) of each row: its set's size and the smallest key that links lead to."""
+    small_batches(docs.sparkSession)
     rule = Rule(least, per, words)
     spark = docs.sparkSession
     sets_ = stored(_sets(docs, key, text, rule, whole=False), "sets")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes
+from quern.llm.common import by_bytes, small_batches
 from quern.llm.tokens import safe_parts, special_strings, tokenizer
 
 
@@ -57,5 +57,6 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 counts[i:j] = _model_lengths(texts[i:j], path) if path.endswith(".model") else _json_lengths(texts[i:j], path, part_chars)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(counts)], names=[key, "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(lengths, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint")

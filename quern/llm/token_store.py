@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, dropped, mixed, powers, text_buffers
+from quern.llm.common import by_bytes, dropped, mixed, powers, small_batches, text_buffers
 from quern.llm.tokens import SegmentMemo
 
 #: Ids that the rolling hash sees, a chunk's least and most ids, and the bits that end one (about 2**8 ids).
@@ -97,6 +97,7 @@ def chunk_ends(ids: np.ndarray, edges: np.ndarray) -> list[list[int]]:
 
 def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> None:
     """Encodes every text with the tokenizer at `path`, appends the end id and writes a store."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
 

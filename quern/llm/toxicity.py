@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, mixed, span_hashes, text_buffers
+from quern.llm.common import by_bytes, mixed, small_batches, span_hashes, text_buffers
 
 #: The bounded sample that the classifier is fitted on: labelled rows of each class, in the order of a hash of their
 #: keys, and the longest text among them in characters.
@@ -343,6 +343,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(key, held_out, score, predicted) of each row."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fitted(*labelled_sample(docs, labels, key, text, label)))  # 3 MB, whatever the input
     kind = docs.schema[key].dataType.simpleString()
 
@@ -356,6 +357,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def clean_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The rows of docs that are not toxic. All columns stay as they are."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fitted(*labelled_sample(docs, labels, key, text, label)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

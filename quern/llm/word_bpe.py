@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes
+from quern.llm.common import by_bytes, small_batches
 from quern.llm.tokens import tokenizer
 
 NEVER = 1 << 60
@@ -255,12 +255,14 @@ def codec(path: str) -> WordCodec:
 
 def word_bpe(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """(key, ids, n_tokens, decoded) of each row: ids as decimals joined by one space, and the decoded text."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(_coder(path, key, slice_bytes, None), f"`{key}` {kind}, ids string, n_tokens bigint, decoded string")
 
 
 def word_bpe_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of each row, the digests of what word_bpe returns."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(_coder(path, key, slice_bytes, _sha), f"`{key}` {kind}, ids_sha256 string, n_tokens bigint, decoded_sha256 string").select(key, "n_tokens", "ids_sha256", "decoded_sha256")
 
