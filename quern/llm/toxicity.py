@@ -29,6 +29,7 @@ from quern.llm.common import by_bytes, mixed, small_batches, span_hashes, text_b
 #: The bounded sample that the classifier is fitted on: labelled rows of each class, in the order of a hash of their
 #: keys, and the longest text among them in characters.
 POSITIVES, NEGATIVES, LONGEST = 2500, 5000, 100_000
+#: Buckets are numbered in 16 bits.
 BUCKETS, DIM, WIDTHS, FILTERS, GRAMS = 1 << 16, 12, (1, 2, 3), 8, (3, 4, 5)
 EPOCHS, STEPS, BATCH, RATE = 4, 100, 64, 0.05
 SLICE = 1 << 19
@@ -103,9 +104,10 @@ def words_of(data: np.ndarray, edges: np.ndarray) -> Words:
         ok = owner[: len(v) - k + 1] == owner[k - 1 :]
         found.append((mixed(h[ok], k) & np.uint64(BUCKETS - 1)).astype(np.int64))
         owners.append(owner[: len(v) - k + 1][ok])
-    order = np.argsort(np.concatenate(owners), kind="stable")
-    counts = np.bincount(np.concatenate(owners), minlength=len(distinct))
-    return Words(distinct, np.concatenate(found)[order], np.concatenate([[0], np.cumsum(counts)[:-1]]), ids, np.searchsorted(starts, edges))
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    counts = np.bincount(owners, minlength=len(distinct))
+    return Words(distinct, np.concatenate(found)[order].astype(np.uint16), np.concatenate([[0], np.cumsum(counts)[:-1]]), ids.astype(np.int32), np.searchsorted(starts, edges))
 
 
 def _word_hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
