@@ -112,3 +112,16 @@ def bootstrap_interval(df: DataFrame, group: str, value: Column, rounds: int = 2
     each = sums.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", drawn).groupBy("round").agg(F.try_divide(F.sum(F.col("w") * F.col("total")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
     tail = (1 - level) / 2
     return each.agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high")).crossJoin(sums.agg((F.sum("total") / F.sum("n")).alias("mean"))).select("mean", "low", "high")
+
+
+def merged_energy(runs: DataFrame, energy: DataFrame, key: str = "run_key") -> DataFrame:
+    """Runs with their meter's energy_j and external_meter_valid. Energy rows repeat no key, or the job stops; runs without one keep nulls."""
+    once = energy.groupBy(key).agg(F.count("*").alias("_n"), F.first("energy_net_j").alias("energy_j"), F.first("valid").alias("external_meter_valid"))
+    joined = runs.join(once, key, "left")
+    sure = F.when(F.coalesce(F.col("_n"), F.lit(1)) == 1, F.col("energy_j")).otherwise(F.raise_error(F.concat(F.lit("several energy rows for "), F.col(key).cast("string"))).cast("double"))
+    return joined.withColumn("energy_j", sure).drop("_n")
+
+
+def percentiles(df: DataFrame, value: Column, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Linear percentiles, the largest value and the count, as for round trip times."""
+    return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(f"p{int(q * 100)}") for q in at], F.max(value).alias("most"), F.count(value).alias("n"))

@@ -150,12 +150,12 @@ def oracle_choice(runs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def energy_forest(rows: DataFrame, features: list[str], target: str, seed: int = 42):
-    """A random forest of 300 trees over numeric features."""
+    """A random forest of 300 trees, each split choosing among all numeric features."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     least = max(1, min(3, rows.count() // 20))
-    return VectorAssembler(inputCols=features, outputCol="features"), RandomForestRegressor(labelCol=target, numTrees=300, minInstancesPerNode=least, seed=seed)
+    return VectorAssembler(inputCols=features, outputCol="features"), RandomForestRegressor(labelCol=target, numTrees=300, minInstancesPerNode=least, featureSubsetStrategy="all", seed=seed)
 
 
 def tasks(queries: DataFrame, configurations: list[str], repetitions: int) -> DataFrame:
@@ -180,3 +180,62 @@ def run_order(tasks_: DataFrame, count: int, seed: int) -> DataFrame:
     return tasks_.join(listed, "place").drop("place")
 
 
+
+
+#: Numeric inputs of an energy model besides the query's features.
+STATE = ("device_temperature_c_start", "available_memory_mb_min", "load_1m_peak", "cpu_frequency_mhz_start", "cpu_frequency_mhz_min", "cooling_state_peak")
+
+
+def model_inputs(features: list[str], configuration: Column, with_state: bool) -> dict[str, Column]:
+    """Numbers of a run for an energy model: features, one column for each configuration, and the device's state. What is missing or not finite is 0."""
+    from quern.functions.numbers import number_or_zero
+
+    found = {f"x_{c}": number_or_zero(F.col(c)) for c in features}
+    found |= {f"is_{c}": F.coalesce((configuration == c).cast("double"), F.lit(0.0)) for c in (*CONFIGURATIONS, FALLBACK)}
+    return found | ({f"x_{c}": number_or_zero(F.col(c)) for c in STATE} if with_state else {})
+
+
+def fit_energy(rows: DataFrame, features: list[str], target: str = "energy_j", seed: int = 42, trees: int = 300) -> dict:
+    """Pipeline models of energy without and with the device's state; rows have a configuration."""
+    from pyspark.ml import Pipeline
+
+    models = {}
+    for name, with_state in (("no_state", False), ("state_aware", True)):
+        inputs = model_inputs(features, F.col("configuration"), with_state)
+        ready = rows.select(F.col(target).alias("_target"), *[v.alias(k) for k, v in inputs.items()]).where("_target is not null")
+        assemble, forest = energy_forest(ready, list(inputs), "_target", seed)
+        models[name] = Pipeline(stages=[assemble, forest.setNumTrees(trees)]).fit(ready)
+    return models
+
+
+def predicted_energy(df: DataFrame, model, features: list[str], with_state: bool) -> DataFrame:
+    """df with predicted_energy_j, at least 0."""
+    inputs = model_inputs(features, F.col("configuration"), with_state)
+    made = model.transform(df.withColumns(inputs))
+    return made.withColumn("predicted_energy_j", F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction", "features", *inputs)
+
+
+def static_prediction(df: DataFrame, means: DataFrame) -> DataFrame:
+    """df with the mean energy of its configuration, infinite where there is none."""
+    return df.join(F.broadcast(means.select("configuration", "energy_j")), "configuration", "left").withColumn("predicted_energy_j", F.coalesce("energy_j", F.lit(float("inf")))).drop("energy_j")
+
+
+def save_models(models: dict, folder: str) -> dict[str, str]:
+    paths = {name: f"{folder}/energy_{name}" for name in models}
+    for name, model in models.items():
+        model.write().save(paths[name])
+    return paths
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def budget(name: str, default: float, environment: dict[str, str]) -> float:
+    """A budget from the environment, or its configured value; what is no positive number is refused."""
+    value = float(environment.get(name, default))
+    if not 0 < value < float("inf"):
+        raise ValueError(f"{name} must be a positive number")
+    return value

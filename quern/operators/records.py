@@ -147,3 +147,18 @@ def round_robin(df: DataFrame, kind: str, group: str, key: str, quotas: dict[str
     # a group can give no more turns than its kind's quota, which bounds the second window
     rows = df.withColumn("quota", most[F.col(kind)]).withColumn("turn", F.row_number().over(within)).where("turn <= quota")
     return rows.withColumn("place", F.row_number().over(turn)).where("place <= quota").drop("quota")
+
+
+def query_errors(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(query_id, error) of invalid queries; with `known` evidence ids, references are checked too."""
+    counted = df.join(df.groupBy("query_id").agg(F.count("*").alias("_rows")), "query_id", "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    errors = F.array_compact(F.array(
+        F.when(blank("query_id"), F.lit("empty query_id")), F.when(F.col("_rows") > 1, F.lit("duplicate query_id")), F.when(blank("text"), F.lit("empty text")),
+        F.when(~F.coalesce(F.col("risk_level").isin(0, 1, 2, 3), F.lit(False)), F.lit("risk_level must be 0..3")), F.when(blank("source_group_id"), F.lit("empty source_group_id")),
+    ))
+    found = counted.select("query_id", F.explode(errors).alias("error"))
+    if known is None:
+        return found
+    lost = missing_references(df, "query_id", "gold_evidence_ids", known, "evidence_id")
+    return found.unionByName(lost.select("query_id", F.concat(F.lit("missing evidence "), "reference").alias("error")))

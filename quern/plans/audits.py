@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import audits as U
+from quern.operators import measures as M
+from quern.operators import records as C
 from quern.plans.retrieval import table
 
 QUERIES, SQL = {}, {}
@@ -105,3 +107,25 @@ def sensor_climate(spark, sf_dir):
 def calibrated_power(spark, sf_dir):
     p = U.calibrated_power(F.col("value"), F.lit(0.5), F.lit(1.02), F.lit(5.1))
     return table(spark, sf_dir, "events").select("event_id", p["current_a"].alias("current_a"), p["power_w"].alias("power_w"))
+
+
+@query("SELECT o_orderkey AS run_key, l_extendedprice AS energy_j, l_returnflag <> 'R' AS external_meter_valid FROM orders LEFT JOIN (SELECT l_orderkey, min(l_extendedprice) AS l_extendedprice, arg_min(l_returnflag, (l_extendedprice, l_returnflag)) AS l_returnflag FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")
+def energy_master(spark, sf_dir):
+    """Each order's run with the energy of its cheapest line."""
+    best = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_key")).agg(F.min(F.struct("l_extendedprice", "l_returnflag")).alias("b"))
+    energy = best.select("run_key", F.col("b.l_extendedprice").alias("energy_net_j"), (F.col("b.l_returnflag") != "R").alias("valid"))
+    return M.merged_energy(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_key")), energy)
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most, count(value) AS n FROM events GROUP BY ALL")
+def round_trip_percentiles(spark, sf_dir):
+    p = M.percentiles(table(spark, sf_dir, "events"), F.col("value"), ["event_type"])
+    return p.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "most", "n")
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS query_id, 'risk_level must be 0..3' AS error FROM documents WHERE doc_id % 5 = 4 UNION ALL SELECT CAST(doc_id AS VARCHAR), concat('missing evidence ', doc_id + 1) FROM documents WHERE doc_id + 1 NOT IN (SELECT doc_id FROM labels)"""
+)
+def query_validation(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("query_id"), "text", (F.col("doc_id") % 5).cast("int").alias("risk_level"), F.col("source").alias("source_group_id"), F.array((F.col("doc_id") + 1).cast("string")).alias("gold_evidence_ids"))
+    return C.query_errors(d, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("evidence_id")))

@@ -119,3 +119,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Writes one batch of results once: what is there stays, and an interrupted run keeps its earlier batches."""
+    df.write.mode("errorifexists").parquet(f"{path}/batch={batch}")
+
+
+def write_template(df: DataFrame, path: str, blank: list[str]) -> None:
+    """A CSV file with a byte order mark and empty columns to fill in."""
+    names = [*df.columns, *blank]
+    out = df.select(*df.columns, *[F.lit("").alias(c) for c in blank])
+    out.toDF("﻿" + names[0], *names[1:]).coalesce(1).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)

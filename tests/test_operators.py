@@ -181,3 +181,37 @@ def test_registry_and_html(spark, tmp_path):
     assert dict(S.verified_files(spark, str(tmp_path), reg).select("file", "state").collect()) == {"x.txt": "verified", "y.txt": "missing"}
     page = spark.createDataFrame([("<nav>menu</nav><p>before</p><p>START here &amp; there</p><script>x</script><p>END after</p>",)], "h string")
     assert page.select(S.marked_text(F.col("h"), "START", "END")).first()[0] == "START here & there"
+
+
+def test_energy_models(spark, tmp_path):
+    rows = spark.createDataFrame([("C0", float(i % 5), 1.0 + i % 5) for i in range(40)] + [("C1", float(i % 5), 11.0 + i % 5) for i in range(40)], "configuration string, tokens double, energy_j double")
+    for c in P.STATE:
+        rows = rows.withColumn(c, F.lit(None).cast("double"))
+    models = P.fit_energy(rows, ["tokens"], trees=5)
+    paths = P.save_models(models, str(tmp_path))
+    loaded = P.load_model(paths["no_state"])
+    got = {r.configuration: r.e for r in P.predicted_energy(rows, loaded, ["tokens"], False).groupBy("configuration").agg(F.avg("predicted_energy_j").alias("e")).collect()}
+    assert abs(got["C0"] - 3) < 1 and abs(got["C1"] - 13) < 1
+    means = rows.where("configuration = 'C0'").groupBy("configuration").agg(F.avg("energy_j").alias("energy_j"))
+    assert {r.configuration: r.predicted_energy_j for r in P.static_prediction(rows.select("configuration").distinct(), means).collect()} == {"C0": 3.0, "C1": float("inf")}
+    assert P.budget("B", 5, {"B": "7"}) == 7 and P.budget("B", 5, {}) == 5
+    with pytest.raises(ValueError):
+        P.budget("B", 5, {"B": "-1"})
+
+
+def test_energy_rows_are_unique(spark):
+    runs, energy = spark.createDataFrame([("a",), ("b",)], "run_key string"), spark.createDataFrame([("a", 2.0, True), ("a", 3.0, True)], "run_key string, energy_net_j double, valid boolean")
+    with pytest.raises(Exception, match="several energy rows"):
+        M.merged_energy(runs, energy).collect()
+    got = {r.run_key: (r.energy_j, r.external_meter_valid) for r in M.merged_energy(runs, energy.limit(1)).collect()}
+    assert got["b"] == (None, None) and got["a"][1] is True
+
+
+def test_batches_and_templates(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é")], "id int, text string")
+    S.append_batch(df, str(tmp_path / "runs"), 1)
+    with pytest.raises(Exception, match="exist"):
+        S.append_batch(df, str(tmp_path / "runs"), 1)
+    S.write_template(df, str(tmp_path / "form"), ["label"])
+    back = S.read_csv(spark, str(tmp_path / "form"))
+    assert back.columns == ["id", "text", "label"] and back.first().text == "é"
