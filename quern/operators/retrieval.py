@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from quern.functions.numbers import day, dot, jurisdiction_applies
 from quern.functions.text import SECOND_STEP, clauses, compact, tokens
+from quern.sources.files import stored
 
 DIGITS = 9
 
@@ -43,7 +44,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 5, k1: float = 1.5,
     stats = listed.agg(F.count("*").cast("double").alias("docs"), F.greatest(F.avg(F.size("terms")), F.lit(1.0)).alias("mean"))
     # postings of the queries' terms alone; terms repeat in a document, so they are summed before the shuffle
     hits = listed.select("evidence_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = hits.groupBy("term", "evidence_id", "length").agg(F.count("*").alias("tf"))
+    # written once, as document frequencies and weights both need them; texts are not read again
+    postings = stored(hits.groupBy("term", "evidence_id", "length").agg(F.count("*").alias("tf")), "postings")
     often = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))

@@ -131,3 +131,10 @@ def write_template(df: DataFrame, path: str, blank: list[str]) -> None:
     names = [*df.columns, *blank]
     out = df.select(*df.columns, *[F.lit("").alias(c) for c in blank])
     out.toDF("﻿" + names[0], *names[1:]).coalesce(1).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written once to a scratch folder: for results that several branches of a plan read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
