@@ -11,8 +11,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 # Patterns. Java's classes are ASCII unless (?U) is given.
-TOKEN = "[A-Za-z0-9_]+|[一-鿿]"
-ZERO_WIDTH = "[​-‏⁠﻿]"
+TOKEN = "[A-Za-z0-9_]+|[\u4e00-\u9fff]"
+ZERO_WIDTH = "[\u200b-\u200f\u2060\ufeff]"
 REPEATED = "(?d)(.)\\1{49,}"
 #: Kinds of sensitive text in the order of their removal: name, pattern, what takes its place.
 SENSITIVE = (

@@ -43,7 +43,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     """A CSV file with a header; a byte order mark is dropped, quotes may hold line breaks."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
     df = (reader.schema(schema) if schema else reader).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def read_json(path: str) -> dict:
@@ -130,7 +130,7 @@ def write_template(df: DataFrame, path: str, blank: list[str]) -> None:
     """A CSV file with a byte order mark and empty columns to fill in."""
     names = [*df.columns, *blank]
     out = df.select(*df.columns, *[F.lit("").alias(c) for c in blank])
-    out.toDF("﻿" + names[0], *names[1:]).coalesce(1).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    out.toDF("\ufeff" + names[0], *names[1:]).coalesce(1).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
