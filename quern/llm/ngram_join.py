@@ -93,10 +93,8 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.
             if b - a >= words:
                 yield np.unique(grams[a : b - words + 1])
             elif b > a:
-                total = np.uint64(b - a) * _B
-                for k in range(b - a):
-                    total = total + hashes[a + k] * _A[k + words]
-                yield mixed(np.array([total])).view(np.int64)
+                own = hashes[a:b] * _A[words : words + b - a]
+                yield mixed(own.sum(keepdims=True) + np.array([b - a], np.uint64) * _B).view(np.int64)
             else:
                 yield np.zeros(0, np.int64)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, dropped, mixed, powers, small_batches, text_buffers
+from quern.llm.common import by_bytes, deleted, mixed, powers, small_batches, text_buffers
 from quern.llm.tokens import SegmentMemo
 
 #: Ids that the rolling hash sees, a chunk's least and most ids, and the bits that end one (about 2**8 ids).
@@ -170,7 +170,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
     started.select("part", "key", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "digests", "after", "root").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     leaves = spark.read.parquet(f"{folder}/recipes").select("part", "root", "n_tokens", "start").repartition("part").sortWithinPartitions("part", "start")
     leaves.mapInArrow(rooted, "part int, n_docs bigint, n_tokens bigint, root binary").join(F.broadcast(offsets), "part").write.parquet(f"{folder}/manifest")
-    dropped(ordered)
+    deleted(spark, f"{folder}/ordered")
 
 
 def recipes(spark: SparkSession, folder: str) -> DataFrame:
