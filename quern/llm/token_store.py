@@ -130,14 +130,16 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
                 )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        before = b""
         for b in batches:
-            kinds, found = b.column(0).to_numpy(), b.column(1).to_pylist()
-            keep = np.ones(len(b), bool)
-            for k, d in enumerate(found):
-                keep[k] = kinds[k] == 0 or d != before
-                before = d if kinds[k] else None
-            yield b.filter(pa.array(keep))
+            if not len(b):
+                continue
+            kinds, digests = b.column(0).to_numpy(), np.frombuffer(b.column(1).cast(pa.binary(16)).buffers()[1], "V16")[: len(b)]
+            same = np.zeros(len(b), bool)
+            same[1:] = digests[1:] == digests[:-1]
+            same[0] = digests[0].tobytes() == before
+            before = digests[-1].tobytes()
+            yield b.filter(pa.array((kinds == 0) | ~same))
 
     schema = f"kind int, digest binary, ids binary, key {kind}, n_tokens bigint, digests array<binary>, after array<bigint>"
     rows = docs.select(F.col(key), F.col(text)).mapInArrow(encoded, schema)

@@ -82,7 +82,7 @@ class SegmentMemo:
     that each id stands for tell where a segment's ids end. At most `most` earlier segments are remembered.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         self.library, self.most = tokenizer(path), most
         vocab = self.library.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
