@@ -252,3 +252,12 @@ def test_pipeline(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in out) == sorted((r.doc_id, r.n_tokens) for r in stages.encoding(spark, docs, SF).collect()) and len({r.doc_id for r in out}) > 0.5 * first
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_join_agrees_with_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(con.sql(queries.oracle_sql()["op4_ngram_join"]).fetchall())
+    assert want == sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.op4_ngram_join(spark, SF).collect())
