@@ -117,20 +117,24 @@ class SegmentMemo:
         if len(self.memo) > self.most // 2:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
+        found = list(map(memo.get, segments))
+        late = [i for i, x in enumerate(found) if x is None]
         joined, apart = [], []
-        for s in segments:
-            if s not in memo:
-                if (old := older.get(s)) is not None:
-                    memo[s] = old
-                elif s[0] == 32 and PLAIN_END[s[-1]]:
-                    joined.append(s)
-                else:
-                    apart.append(s)
+        for i in late:
+            s = segments[i]
+            if (old := older.get(s)) is not None:
+                memo[s] = old
+            elif s[0] == 32 and PLAIN_END[s[-1]]:
+                joined.append(s)
+            else:
+                apart.append(s)
         self._learn(joined)
         if apart:
             for s, e in zip(apart, self.library.encode_batch_fast([s.decode() for s in apart], add_special_tokens=False), strict=True):
                 memo[s] = np.array(e.ids, self.kind).tobytes()
-        return [memo[s] for s in segments]
+        for i in late:
+            found[i] = memo[segments[i]]
+        return found
 
     def encode_slice(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of neighbouring texts, and where each text's begin; `edges` are the texts' offsets in the bytes."""
