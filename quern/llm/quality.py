@@ -1,8 +1,9 @@
 """Quality rules as weak supervision, with DataFrame and SQL functions alone.
 
 Each rule looks at a document's counts and votes to keep it (1), to reject it (-1) or abstains (0). Nobody says which
-documents are good: expectation-maximisation estimates, from all documents' votes, how often each rule votes to keep
-good and bad documents, and how many are good. A document's posterior probability of being good is its quality.
+documents are good: expectation-maximisation estimates, from all documents' votes, how often each rule keeps, rejects
+and abstains on good and on bad documents, and how many are good. A document's posterior probability of being good is
+its quality.
 
 The rules are few, so documents have at most 3**rules vote patterns; the estimate runs over the patterns' counts,
 whatever the number of documents.
@@ -20,6 +21,8 @@ from quern.llm.common import SPACE_RUN, stored
 
 #: Rounds of expectation-maximisation.
 ROUNDS = 30
+#: How often a rule keeps and rejects good and bad documents at the start, and how many imagined documents say so.
+GOOD, BAD, IMAGINED = (0.985, 0.005), (0.6, 0.3), 4
 #: A text fails at once with fewer words, or with more than so many per cent of its words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Words of a window.
@@ -81,24 +84,30 @@ def base_failed() -> Column:
 def estimated(patterns: DataFrame) -> DataFrame:
     """(votes, quality) of each vote pattern, from (votes, n).
 
-    State: the share of good documents, and how often each rule, when it votes, keeps a good and a bad one. A rule
-    starts as better than chance and is held so; a few imagined votes keep rates off 0 and 1.
+    State: the share of good documents, and how often each rule keeps (k), rejects (r) and abstains (a) on good and on
+    bad ones. All rates are free, but for IMAGINED documents that keep them off 0 and 1; a rule that comes out worse
+    than chance gets the same rates for both and has no say.
     """
     k = len(RULES)
-    weight = lambda rates, share: f"aggregate(zip_with({rates}, p.votes, (a, v) -> case v when 1 then a when -1 then 1 - a else 1D end), {share}, (x, y) -> x * y)"
+    weight = lambda rates, share: f"aggregate(zip_with({rates}, p.votes, (a, v) -> case v when 1 then a.k when -1 then a.r else a.a end), {share}, (x, y) -> x * y)"
     posterior = lambda s: f"({weight(f'{s}.good', f'{s}.share')} / ({weight(f'{s}.good', f'{s}.share')} + {weight(f'{s}.bad', f'1 - {s}.share')}))"
     added = lambda to, w, when: f"zip_with({to}, p.votes, (a, v) -> a + if({when}, {w}, 0D))"
+    struct = lambda k, r, a: f"named_struct('k', {k}, 'r', {r}, 'a', {a})"
+    start = lambda of: f"array_repeat({struct(f'{of[0]}D', f'{of[1]}D', f'{1 - sum(of):.6f}D')}, {k})"
+    rate = lambda n, of, total: f"({n} + {IMAGINED * of:.6f}D) / ({total} + {IMAGINED}D)"
+    rates = lambda kept, rejected, of, total: f"zip_with({kept}, {rejected}, (x, y) -> {struct(rate('x', of[0], total), rate('y', of[1], total), rate(f'greatest(0D, {total} - x - y)', 1 - sum(of), total))})"
+    pooled = struct(*[f"(t.good * g.{x} + (t.n - t.good) * b.{x}) / t.n" for x in "kra"])
+    held = lambda own: f"zip_with(t.g, t.b, (g, b) -> if(g.k < b.k or g.r > b.r, {pooled}, {own}))"
     zero = f"array_repeat(0D, {k})"
     step = (
         f"aggregate(transform(_all, p -> struct(p.votes as votes, cast(p.n as double) as n, {posterior('s')} as q)), "
-        f"named_struct('n', 0D, 'good', 0D, 'kg', {zero}, 'vg', {zero}, 'kb', {zero}, 'vb', {zero}), "
-        f"(t, p) -> named_struct('n', t.n + p.n, 'good', t.good + p.n * p.q, 'kg', {added('t.kg', 'p.n * p.q', 'v = 1')}, 'vg', {added('t.vg', 'p.n * p.q', 'v <> 0')}, "
-        f"'kb', {added('t.kb', 'p.n * (1 - p.q)', 'v = 1')}, 'vb', {added('t.vb', 'p.n * (1 - p.q)', 'v <> 0')}), "
-        f"t -> named_struct('share', least(0.98D, greatest(0.3D, (t.good + 9) / (t.n + 10))), "
-        f"'good', zip_with(t.kg, t.vg, (a, b) -> least(0.999D, greatest(0.99D, (a + 199) / (b + 200)))), "
-        f"'bad', zip_with(t.kb, t.vb, (a, b) -> least(0.95D, greatest(0.001D, (a + 1) / (b + 2))))))"
+        f"named_struct('n', 0D, 'good', 0D, 'kg', {zero}, 'rg', {zero}, 'kb', {zero}, 'rb', {zero}), "
+        f"(t, p) -> named_struct('n', t.n + p.n, 'good', t.good + p.n * p.q, 'kg', {added('t.kg', 'p.n * p.q', 'v = 1')}, 'rg', {added('t.rg', 'p.n * p.q', 'v = -1')}, "
+        f"'kb', {added('t.kb', 'p.n * (1 - p.q)', 'v = 1')}, 'rb', {added('t.rb', 'p.n * (1 - p.q)', 'v = -1')}), "
+        f"s -> transform(array(named_struct('n', s.n, 'good', s.good, 'g', {rates('s.kg', 's.rg', GOOD, 's.good')}, 'b', {rates('s.kb', 's.rb', BAD, '(s.n - s.good)')})), "
+        f"t -> named_struct('share', least(0.98D, greatest(0.3D, (t.good + 9) / (t.n + 10))), 'good', {held('g')}, 'bad', {held('b')}))[0])"
     )
-    start = f"named_struct('share', 0.8D, 'good', array_repeat(0.995D, {k}), 'bad', array_repeat(0.6D, {k}))"
+    start = f"named_struct('share', 0.8D, 'good', {start(GOOD)}, 'bad', {start(BAD)})"
     # one row: at most 3**rules patterns
     gathered = patterns.groupBy().agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("_all"))
     fitted = gathered.withColumn("_state", F.expr(f"aggregate(sequence(1, {ROUNDS}), {start}, (s, _i) -> {step})"))

@@ -171,6 +171,20 @@ def test_quality_estimate_and_stage(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
 
 
+def test_weak_rule_is_learned(spark):
+    """A source holds a third of the rows, and the rule of sentence ends alone rejects them: they are good all the same."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    n = docs.count()
+    verse = spark.range(n // 2).select((F.col("id") + 10**9).alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 60), i -> concat('word', id, 'x', i)))").alias("text"))
+    votes = quality.with_counts(verse).select(quality.votes().alias("v")).distinct().collect()
+    assert [list(r.v) for r in votes] == [[1 if name != "stops" else -1 for name in quality.RULES]]
+    got = {r.doc_id: r for r in quality.quality_votes(docs.union(verse)).collect()}
+    assert all(r.kept for k, r in got.items() if k >= 10**9)
+    known = [(r.quality, got[r.doc_id].kept) for r in labels.where("quality is not null").collect() if r.doc_id in got]
+    assert sum(not kept for good, kept in known if not good) >= 0.95 * sum(not good for good, _ in known)
+    assert sum(kept for good, kept in known if good) >= 0.9 * sum(good for good, _ in known)
+
+
 RULES = queries.URL_RULES
 
 
