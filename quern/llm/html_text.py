@@ -2,8 +2,10 @@
 
 Each page's containers are scored by the running text in them. A container's path is the tags and first class names
 from the root to it, with digits as 0. The pages of a host vote, each with its best containers' scores, and the path
-with most votes is the host's. Every page is then read again and gives the text of its best container on that path;
-a page without one, or without a host, gives that of its own best container.
+with most votes is the host's. Every page is then read again and gives, in page order, the text of all its containers
+on that path; a page without one, or without a host, gives that of all on its own best container's path. A container
+in an article element stands for the whole element. Headings right in an element around these, below the body, are
+given too.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by
 element or by class, id and role names. Blocks have their character references decoded and their white space turned
@@ -40,6 +42,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES = {t: frozenset({"p"}) for t in BLOCKS - {"body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}} | {
     "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"}),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element of the key's kind does not reach out of these.
 SCOPES = {"li": frozenset({"ul", "ol", "menu", "dir"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), "tr": frozenset({"table"}), "td": frozenset({"tr", "table"}), "th": frozenset({"tr", "table"})}
 EDGES = frozenset({"article", "aside", "body", "div", "main", "section", "table", "td", "th", "blockquote", "form", "nav", "header", "footer"})
@@ -190,11 +193,18 @@ class Page:
                 holds[self.parent[e]] = True
         return holds
 
-    def text_of(self, box: int) -> str:
-        inside = [False] * len(self.tag)
-        inside[box] = True
-        for e in range(box + 1, len(self.tag)):
-            inside[e] = inside[self.parent[e]]
+    def text_of(self, boxes: list[int]) -> str:
+        inside, around = [False] * len(self.tag), [False] * len(self.tag)
+        for e in boxes:
+            up = e
+            while up and self.tag[up] != "article":
+                up = self.parent[up]
+            e = up or e
+            inside[e] = True
+            while (e := self.parent[e]) and not around[e] and self.tag[e] not in ("html", "body"):
+                around[e] = True
+        for e in range(1, len(self.tag)):
+            inside[e] = inside[e] or inside[self.parent[e]] or (self.tag[e] in HEADINGS and around[self.parent[e]])
         return "\n".join(text for e, text, _ in self.blocks if inside[e] and not self.gone[e])
 
 
@@ -207,13 +217,16 @@ def candidates(html: str) -> list[tuple[str, int]]:
 
 
 def main_text(html: str, path: str | None) -> str:
-    """The text of the best container on the path, or else of the page's best container."""
+    """The text of the containers on the path, or else on that of the page's best container."""
     page = Page(html)
     score = page.scored()
     if not score:
         return ""
-    best = min((e for e in score if page.path[e] == path), key=lambda e: (-score[e], e), default=None)
-    return page.text_of(min(score, key=lambda e: (-score[e], e)) if best is None else best)
+    own = [e for e in score if page.path[e] == path]
+    if not own:
+        best = page.path[min(score, key=lambda e: (-score[e], e))]
+        own = [e for e in score if page.path[e] == best]
+    return page.text_of(own)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -254,6 +254,18 @@ def test_host_votes_outweigh_a_page(spark):
     assert got[9] == "the body words"
 
 
+def test_article_in_several_containers(spark):
+    body = lambda x: f"<p>{f'{x} words of it. ' * 20}</p>"
+    page = lambda inside: f"<body><nav>Menu</nav><div class='side'><p>a side text</p></div>{inside}<footer>foot</footer></body>"
+    sections = page(f"<article><h1>Head</h1><div class=body><section>{body('first')}{body('more')}</section><section>{body('second')}</section></div></article>")
+    grid = page(f"<main><h1>Head</h1><div class=row><div class=col>{body('first')}{body('more')}</div><div class=col>{body('second')}</div></div><div class=row><div class=col>{body('third')}</div></div></main>")
+    named = page(f"<article><h1>Head</h1><section class=intro>{body('first')}</section><section class=rest>{body('second')}{body('third')}</section></article>")
+    rows = [(i, "http://a/", sections) for i in range(3)] + [(10, "http://b/", grid), (11, None, grid), (20, "http://c/", named)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    text = lambda *parts: "\n".join(["Head", *[f"{x} words of it. " * 19 + f"{x} words of it." for x in parts]])
+    assert got == {0: text("first", "more", "second")} | {i: text("first", "more", "second") for i in (1, 2)} | {i: text("first", "more", "second", "third") for i in (10, 11)} | {20: text("first", "second", "third")}
+
+
 def test_test_pages(spark):
     for r in queries.op8_html_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         import html as h
