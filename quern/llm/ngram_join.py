@@ -374,6 +374,13 @@ def _dense_links(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: int = 80, per: int = 100) -> DataFrame:
     """(key, n_shingles, component_id) of each row: its set's size and the smallest key that links lead to."""
+    found = _rows_found(docs, key, text, words, least, per)
+    return found.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+
+
+def _rows_found(docs: DataFrame, key: str, text: str, words: int, least: int, per: int) -> DataFrame:
+    """(key, n, a, b, component_id, stays) of each row. In each component the rows of one key and set stay, those of
+    the smallest key; so do all rows without words."""
     small_batches(docs.sparkSession)
     rule = Rule(least, per, words)
     spark = docs.sparkSession
@@ -412,10 +419,11 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     joined = slim.select("n", "a", "b", "cid", "key").join(stars.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     joined = stored(joined, "rooted")
-    roots = joined.groupBy("root").agg(F.min("key").alias("component_id"))
-    named = joined.join(roots, "root").select("n", "a", "b", "component_id")
+    roots = joined.groupBy("root").agg(F.min("key").alias("component_id"), F.min(F.struct(F.col("key").isNull(), "key", "cid")).getField("cid").alias("keeper"))
+    named = joined.join(roots, "root").select("n", "a", "b", "component_id", (F.col("cid") == F.col("keeper")).alias("kept"), F.col("key").alias("least"))
     out = base.select("key", "n", "a", "b").join(named, ["n", "a", "b"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    stays = (F.col("n") == 0) | (F.col("kept") & F.col("key").eqNullSafe(F.col("least")))
+    return out.select("key", "n", "a", "b", "component_id", stays.alias("stays"))
 
 
 def _picked(docs: DataFrame, key: str, text: str, rule: Rule, wanted: DataFrame, repeated: bool) -> DataFrame:
@@ -429,18 +437,29 @@ def _picked(docs: DataFrame, key: str, text: str, rule: Rule, wanted: DataFrame,
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: int = 80, per: int = 100) -> DataFrame:
-    """The rows of docs without those that have a linked document with a smaller key. All columns stay as they are.
+    """One row of docs for each group of linked rows, one with the smallest key, and all rows without words. All columns
+    stay as they are.
 
-    Of rows with equal keys, one stays.
+    Rows are told apart by their own sets: those of equal or null keys go only if they are linked to one that stays.
     """
-    found = stored(ngram_components(docs, key, text, words, least, per), "components")
-    gone = stored(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), "gone")
-    many = stored(found.groupBy(key).agg(F.count("*").alias("m")).where("m > 1").select(key), "many")
+    found = stored(_rows_found(docs, key, text, words, least, per).select("key", "n", "a", "b", "stays"), "components")
+    gone = stored(found.where("not stays and key is not null").select(F.col("key").alias(key)).distinct(), "gone")
+    many = stored(found.where("key is not null").groupBy(F.col("key").alias(key)).agg(F.count("*").alias("m")).where("m > 1").select(key), "many")
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
-    left = docs.join(few(gone), key, "left_anti").select(*docs.columns)
-    if not many.limit(1).count():
-        return left
-    same = F.col(key).eqNullSafe(F.col("_many"))
-    many = many.withColumnRenamed(key, "_many")
-    once = left.join(few(many), same, "left_semi").dropDuplicates([key])
-    return left.join(few(many), same, "left_anti").unionByName(once)
+    repeated, unkeyed = bool(many.limit(1).count()), bool(found.where("key is null").limit(1).count())
+    clear = docs.where(F.col(key).isNotNull()).join(few(gone), key, "left_anti").select(*docs.columns)
+    if not repeated and not unkeyed:
+        return clear
+    # keys do not tell these rows apart: their sets are made again
+    odd = docs.where(F.col(key).isNull())
+    if repeated:
+        clear = clear.join(few(many), key, "left_anti").select(*docs.columns)
+        odd = odd.unionByName(docs.join(few(many), key, "left_semi").select(*docs.columns))
+    odd = stored(odd.withColumn("_row", F.monotonically_increasing_id()), "odd")
+    made = _sets(odd.select("_row", F.col(text).alias("_text")), "_row", "_text", Rule(least, per, words), whole=False).select(F.col("key").alias("_row"), "n", "a", "b")
+    made = stored(made.join(odd.select("_row", F.col(key).alias("key")), "_row"), "made")
+    once = made.where("n > 0").groupBy("key", "n", "a", "b").agg(F.min("_row").alias("_row"))
+    staying = found.where("stays and n > 0").select(F.col("key").alias("_key"), "n", "a", "b").distinct()
+    once = once.join(staying, ["n", "a", "b"]).where(F.col("key").eqNullSafe(F.col("_key"))).select("_row")
+    rows = stored(once.unionAll(made.where("n = 0").select("_row")), "rows")
+    return clear.unionByName(odd.join(few(rows), "_row", "left_semi").select(*docs.columns))

@@ -134,6 +134,17 @@ def test_empty_join_and_one_of_each(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 9]
 
 
+def test_one_of_each_decides_by_row(spark, monkeypatch):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(12))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (None, None), (None, ""), (1, text("c")), (4, text("d")), (4, text("e")), (4, text("e")), (2, text("d")), (6, text("f")), (6, text("g")), (7, text("f").upper()), (8, ""), (9, text("h"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit("clash")).withColumn("key", F.lit(1))
+    want = [(None, text("a")), (None, text("b")), (None, None), (None, ""), (1, text("c")), (2, text("d")), (4, text("e")), (6, text("f")), (6, text("g")), (8, ""), (9, text("h"))]
+    for classes in (ngram_join.BROADCAST_CLASSES, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_CLASSES", classes)
+        kept = ngram_join.one_of_each(df)
+        assert kept.columns == df.columns and sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def filled(sizes, weights, share, most):
     """Targets by sharing again and again what is cut."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
