@@ -183,6 +183,18 @@ def bigram_match(spark, sf_dir):
     return c.crossJoin(F.broadcast(b)).where(T.action_matched(F.col("action"), F.col("answer"))).groupBy("item_id").agg(F.count("*").alias("matched"))
 
 
+@query(
+    """WITH b AS (SELECT item_id, list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, i, 2))) AS grams, t FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark)),
+c AS (SELECT conv_id, turn, list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, i, 2))) AS grams, t FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations WHERE role = 'user'))
+SELECT item_id, CAST(count(*) AS BIGINT) AS matched FROM b, c WHERE contains(c.t, b.t) OR len(list_intersect(b.grams, c.grams)) / len(b.grams) >= 0.55 GROUP BY ALL"""
+)
+def bigram_match_whole(spark, sf_dir):
+    """In how many user turns a whole item is found, by text or by its character pairs."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("action"))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("text").alias("answer"))
+    return c.crossJoin(F.broadcast(b)).where(T.action_matched(F.col("action"), F.col("answer"))).groupBy("item_id").agg(F.count("*").alias("matched"))
+
+
 @query("SELECT doc_id, md5(concat('42:', source)) AS digest, substr(sha256(concat('key:', doc_id)), 1, 20) AS blind_id FROM documents")
 def stable_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.lit("42:"), F.col("source"))).alias("digest"), F.substring(F.sha2(F.concat(F.lit("key:"), F.col("doc_id").cast("string")), 256), 1, 20).alias("blind_id"))
