@@ -95,6 +95,25 @@ def chunk_ends(ids: np.ndarray, edges: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each part's documents, ids and Merkle root, from its leaves in order."""
+    of_part = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
+    part, tree, count, total = None, MerkleTree(), 0, 0
+    for b in batches:
+        for p, root, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if p != part:
+                if count:
+                    yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": count, "n_tokens": total, "root": tree.root()}], schema=of_part)
+                part, tree, count, total = p, MerkleTree(), 0, 0
+            tree.add(root)
+            count, total = count + 1, total + n
+    if count:
+        yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": count, "n_tokens": total, "root": tree.root()}], schema=of_part)
+
+
+ROOTED = "part int, n_docs bigint, n_tokens bigint, root binary"
+
+
 def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> None:
     """Encodes every text with the tokenizer at `path`, appends the end id and writes a store."""
     small_batches(docs.sparkSession)
@@ -150,20 +169,6 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
     parts.write.parquet(f"{folder}/ordered")
     ordered = spark.read.schema(parts.schema).parquet(f"{folder}/ordered")
 
-    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_part = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
-        part, tree, count, total = None, MerkleTree(), 0, 0
-        for b in batches:
-            for p, root, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if p != part:
-                    if count:
-                        yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": count, "n_tokens": total, "root": tree.root()}], schema=of_part)
-                    part, tree, count, total = p, MerkleTree(), 0, 0
-                tree.add(root)
-                count, total = count + 1, total + n
-        if count:
-            yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": count, "n_tokens": total, "root": tree.root()}], schema=of_part)
-
     sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     # one row for each part: as many as there are output files
     offsets = sums.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("offset"))
@@ -171,7 +176,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
     started = ordered.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(F.broadcast(offsets), "part")
     started.select("part", "key", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "digests", "after", "root").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     leaves = spark.read.parquet(f"{folder}/recipes").select("part", "root", "n_tokens", "start").repartition("part").sortWithinPartitions("part", "start")
-    leaves.mapInArrow(rooted, "part int, n_docs bigint, n_tokens bigint, root binary").join(F.broadcast(offsets), "part").write.parquet(f"{folder}/manifest")
+    leaves.mapInArrow(_rooted, ROOTED).join(F.broadcast(offsets), "part").write.parquet(f"{folder}/manifest")
     deleted(spark, f"{folder}/ordered")
 
 
@@ -228,29 +233,56 @@ def crc_before(crcs: np.ndarray, after: np.ndarray) -> np.ndarray:
 _tables: list[np.ndarray] = []
 
 
+def verify(spark: SparkSession, folder: str) -> None:
+    """Makes each recipe's leaf again from its digests and each part's root from the leaves; raises if one differs."""
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, root, n, after in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                if leaf(own, n) != root or len(after) != len(own) or after[-1:] != [0]:
+                    raise ValueError(f"a recipe does not match its Merkle leaf {root.hex()}")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), b.column(1)], names=["part", "root", "n_tokens", "start"])
+
+    found = recipes(spark, folder).select("part", "start", "digests", "root", "n_tokens", "after").mapInArrow(leaves, "part int, root binary, n_tokens bigint, start bigint")
+    made = found.repartition("part").sortWithinPartitions("part", "start").mapInArrow(_rooted, ROOTED).withColumn("side", F.lit(1))
+    told = manifest(spark, folder).select("part", "n_docs", "n_tokens", "root", F.lit(-1).alias("side"))
+    wrong = made.unionByName(told).groupBy("part", "n_docs", "n_tokens", "root").agg(F.sum("side").alias("sides")).where("sides <> 0").limit(1).collect()
+    if wrong:
+        raise ValueError(f"part {wrong[0].part} does not match the manifest")
+
+
 def document_checksums(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of each document, from the files: each chunk's ids are read once,
-    held against their digest, and the chunks' CRCs are joined along each recipe."""
+    """(key, start, n_tokens, ids_crc32) of each document, from the files: recipes are held against their leaves and the
+    manifest, each chunk's ids are read once and held against their digest, and the chunks' CRCs are joined along each
+    recipe, which fails on a chunk that the packs lack or that has another length."""
+    verify(spark, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs = []
+            crcs, sizes = [], []
             for d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if digest(ids) != d:
                     raise ValueError(f"chunk {d.hex()} does not match its digest")
                 crcs.append(zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64())], names=["digest", "crc"])
+                sizes.append(len(ids) // width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int64())], names=["digest", "crc", "size"])
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if b.column(3).null_count:
+                raise ValueError("a recipe's chunk is not in the packs")
+            if (b.column(5).to_numpy() != b.column(6).to_numpy()).any():
+                raise ValueError("a recipe's chunk has another length")
             crc = crc_before(b.column(3).to_numpy(), b.column(4).to_numpy()).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc)], names=["key", "start", "n_tokens", "crc"])
 
-    own = chunks(spark, folder).mapInArrow(read, "digest binary, crc bigint")
+    own = chunks(spark, folder).mapInArrow(read, "digest binary, crc bigint, size bigint")
     listed = recipes(spark, folder)
     kind = listed.schema["key"].dataType.simpleString()
-    used = listed.select("key", "start", "n_tokens", F.explode(F.arrays_zip("digests", "after")).alias("c")).select("key", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.after").alias("after"))
-    joined = used.join(own, "digest").select("key", "start", "n_tokens", "crc", "after")
+    sizes = F.expr("zip_with(concat(array(n_tokens), slice(after, 1, size(after) - 1)), after, (x, y) -> x - y)").alias("told")
+    used = listed.select("key", "start", "n_tokens", "digests", "after", sizes).select("key", "start", "n_tokens", F.explode(F.arrays_zip("digests", "after", "told")).alias("c"))
+    used = used.select("key", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.after").alias("after"), F.col("c.told").alias("told"))
+    joined = used.join(own, "digest", "left").select("key", "start", "n_tokens", "crc", "after", "told", "size")
     return joined.mapInArrow(moved, f"key {kind}, start bigint, n_tokens bigint, crc bigint").groupBy("key", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
 
 

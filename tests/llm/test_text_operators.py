@@ -110,6 +110,24 @@ def test_store_round_trip(spark):
     assert len(token_store.store_root(spark, folder)) == 32 and token_store.manifest(spark, folder).agg(F.sum("n_tokens")).first()[0] == at
 
 
+def test_damaged_store_is_found(spark):
+    folder = scratch(spark, "test")
+    token_store.write_store(spark.createDataFrame([(i, f"document {i} " + "has some words " * 300) for i in range(8)], "doc_id bigint, text string"), folder, BYTE, 2)
+    parts = {name: spark.read.parquet(f"{folder}/{name}") for name in ("packs", "recipes", "manifest")}
+    lost = parts["packs"].where("kind = 1").agg(F.min("digest")).first()[0]
+    swapped = F.when(F.col("key") == 3, F.expr("concat(slice(digests, 2, 1), slice(digests, 1, 1), slice(digests, 3, 9999))")).otherwise(F.col("digests"))
+    damages = [("packs", parts["packs"].where((F.col("kind") == 0) | (F.col("digest") != lost))), ("recipes", parts["recipes"].withColumn("digests", swapped)), ("recipes", parts["recipes"].where("key <> 5")), ("manifest", parts["manifest"].withColumn("n_docs", F.col("n_docs") + 1))]
+    for i, (name, damaged) in enumerate([("packs", parts["packs"]), *damages]):
+        other = scratch(spark, "test")
+        for n, df in parts.items():
+            (damaged if n == name else df).write.parquet(f"{other}/{n}")
+        if i == 0:
+            assert token_store.document_checksums(spark, other).count() == 8
+        else:
+            with pytest.raises(Exception, match="match|not in the packs"):
+                token_store.document_checksums(spark, other).collect()
+
+
 def test_empty_store(spark):
     folder = scratch(spark, "test")
     token_store.write_store(empty_docs(spark), folder, BYTE, 2)
