@@ -247,6 +247,18 @@ def test_recall_on_the_test_vectors(spark):
     assert all(abs(got[q][v] - s) < 1e-12 for q in want for s, v in want[q] if v in got[q])
 
 
+def test_walk_with_fewer_candidates_than_lists(monkeypatch):
+    """With BEAM below the number of lists the graph is walked; it finds the nearest centroids that a full scan finds."""
+    monkeypatch.setattr(ann, "BEAM", 24)
+    x = np.random.default_rng(4).normal(size=(6000, 8))
+    index = ann.fitted(x, 96)
+    exact_order = np.argsort(((x[:300, None] - index.centroids[None]) ** 2).sum(axis=2), axis=1, kind="stable")
+    asked = ann.lists_asked(index, x[:300])
+    assert len(index.centroids) > ann.BEAM >= max(map(len, asked))
+    found = sum(len(set(own) & set(order[: len(own)].tolist())) for own, order in zip(asked, exact_order, strict=True))
+    assert found >= 0.95 * sum(map(len, asked))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
