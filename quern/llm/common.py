@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +88,35 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_held: dict[str, dict[str, object]] = {}
+
+
+def held(owner: str, name: str, make: Callable[[], object]):
+    """What an operator keeps in a Python worker between tasks: made once, for as long as no other operator runs there.
+
+    Spark hands a worker from one operator to the next; without this, the worker would hold the tables of all of them.
+    """
+    own = _held.get(owner)
+    if own is None:
+        if _held:
+            _held.clear()
+            gc.collect()
+            trimmed()
+        own = _held.setdefault(owner, {})
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
+def trimmed() -> None:
+    """Gives memory that Python and Arrow have freed back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows whose sizes add up to at most `most`; a larger row is alone."""
     start, total = 0, 0

@@ -123,10 +123,12 @@ def quality_votes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep. All columns stay as they are."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    # a generator keeps the filter from moving below the counts, where each count would be written out many times over
-    counted = with_counts(rows, "_text").select("_row", F.inline(F.array(F.struct(votes().alias("_votes"), base_failed().alias("_failed")))))
-    patterns = stored(counted.groupBy(F.col("_votes").alias("votes")).agg(F.count("*").alias("n")), "patterns")
-    found = F.broadcast(estimated(patterns).withColumnRenamed("votes", "_votes"))
-    return counted.join(found, "_votes").where("not _failed and quality >= 0.5").select("_row.*")
+    """The rows of docs that the rules keep. All columns stay as they are, whatever their names.
+
+    Rows are written once with their votes, so that the counts of a text are taken once.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    voted = stored(with_counts(rows, "_text").select("_row", votes().alias("_votes"), base_failed().alias("_failed")), "voted")
+    patterns = stored(voted.groupBy(F.col("_votes").alias("votes")).agg(F.count("*").alias("n")), "patterns")
+    found = F.broadcast(estimated(patterns).withColumnRenamed("votes", "_votes"))  # at most 3**rules rows
+    return voted.where("not _failed").join(found, "_votes").where("quality >= 0.5").select("_row.*")

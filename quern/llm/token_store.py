@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, deleted, mixed, powers, small_batches, text_buffers
+from quern.llm.common import by_bytes, deleted, held, mixed, powers, small_batches, text_buffers
 from quern.llm.tokens import SegmentMemo
 
 #: Ids that the rolling hash sees, a chunk's least and most ids, and the bits that end one (about 2**8 ids).
@@ -35,8 +35,6 @@ WINDOW, LEAST, MOST, BITS = 16, 64, 1024, 8
 #: Digests that a task remembers as sent.
 SENT = 1_000_000
 
-_memos: dict[str, SegmentMemo] = {}
-
 
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
@@ -121,7 +119,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
     kind = docs.schema[key].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memos.setdefault(path, SegmentMemo(path))
+        memo = held("token_store", path, lambda: SegmentMemo(path))
         sent: set[bytes] = set()
         for b in batches:
             texts, offsets = text_buffers(b.column(1))

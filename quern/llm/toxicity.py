@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, mixed, small_batches, span_hashes, text_buffers
+from quern.llm.common import by_bytes, held, mixed, small_batches, span_hashes, text_buffers, trimmed
 
 #: The bounded sample that the classifier is fitted on: labelled rows of each class, in the order of a hash of their
 #: keys, and the longest text among them in characters.
@@ -351,20 +351,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(model.value, *text_buffers(b.column(1))))], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_worker_scores(model, b.column(1)))], names=["key", "score"])
 
     scored = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """The rows of docs that are not toxic. All columns stay as they are."""
+    """The rows of docs that are not toxic. All columns stay as they are; only texts go to Python, and scores come back."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fitted(*labelled_sample(docs, labels, key, text, label)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(scores(model.value, *text_buffers(b.column(at))) < 0.5))
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            yield pa.array(_worker_scores(model, t))
+        trimmed()
+
+    return docs.where(score(F.col(text)) < 0.5)
+
 
-    at = docs.columns.index(text)
-    return docs.mapInArrow(run, docs.schema)
+def _worker_scores(model, texts: pa.Array) -> np.ndarray:
+    return scores(held("toxicity", "model", lambda: model).value, *text_buffers(texts))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, small_batches
+from quern.llm.common import by_bytes, held, small_batches, trimmed
 from quern.llm.tokens import tokenizer
 
 NEVER = 1 << 60
@@ -244,13 +244,8 @@ def library_word(run: str) -> list[str] | None:
     return _APART.findall(run.lower())
 
 
-_codecs: dict[str, WordCodec] = {}
-
-
 def codec(path: str) -> WordCodec:
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
+    return held("word_bpe", path, lambda: WordCodec(path))
 
 
 def word_bpe(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
@@ -284,5 +279,6 @@ def _coder(path: str, key: str, slice_bytes: int, digest):
                 if digest:
                     ids, decoded = [digest(x) for x in ids], [digest(x) for x in decoded]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(ids, pa.string()), pa.array(counts, pa.int64()), pa.array(decoded, pa.string())], names=names)
+        trimmed()
 
     return run
