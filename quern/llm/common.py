@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import re
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of every word rule of this subpackage: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -82,10 +84,17 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of results that nothing refers to any more; it learns of them
-    when the driver's garbage is collected, which may be long after a disk is full."""
+    """Lets go of what results that nothing refers to any more still hold.
+
+    Spark deletes their shuffle files when the driver's garbage is collected, which may be long after a disk is full.
+    Executors are asked to collect theirs, one task for each, so that a heap that one stage has grown goes back
+    to the system before the next one's Python workers need the memory.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    others = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1
+    if others > 0:
+        spark.range(0, others, 1, others).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("append").save()
 
 
 _held: dict[str, dict[str, object]] = {}
@@ -153,12 +162,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def byte_values(lower: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; with `lower`, A to Z take those of a to z."""
-    v = mixed(np.arange(256, dtype=np.uint64), 7)
-    if lower:
-        v[65:91] = v[97:123]
-    return v
+#: Bytes as they are, and with A to Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def word_spans(data: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -187,13 +193,48 @@ def _marks(n: int, at: np.ndarray) -> np.ndarray:
     return m
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial; equal bytes, equal hashes."""
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Spans of more bytes are hashed by BLAKE2; and bytes that one scrambling takes.
+LONG, EXACT = 64, 8
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each offset on as an integer, without a copy for each offset."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight bytes at a time through a scrambling, long ones by BLAKE2. Spans of
+    one size up to EXACT bytes have equal hashes only if they are equal."""
+    loads, sizes = _loads(data), ends - starts
+    out = mixed((loads[starts] & _MASKS[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * np.uint64(_BASE)))
+    more = np.flatnonzero(sizes > 8)
+    for at in range(8, LONG, 8):
+        if not len(more):
+            return out
+        out[more] = mixed(out[more] ^ (loads[starts[more] + at] & _MASKS[np.minimum(sizes[more] - at, 8)]), at)
+        more = more[sizes[more] > at + 8]
+    for i in more.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def spans_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span whose number is in `like` and which has its hash."""
+    sizes = ends - starts
+    if not (sizes == sizes[like]).all():
+        return False
+    other = np.flatnonzero((sizes > EXACT) & (like != np.arange(len(like))))
+    loads, a, b, sizes = _loads(data), starts[other], starts[like[other]], sizes[other]
+    for at in range(0, LONG, 8):
+        if not len(a):
+            return True
+        if (((loads[a + at] ^ loads[b + at]) & _MASKS[np.minimum(sizes - at, 8)]) != 0).any():
+            return False
+        more = sizes > at + 8
+        a, b, sizes = a[more], b[more], sizes[more]
+    return all((data[i : i + n] == data[j : j + n]).all() for i, j, n in zip(a.tolist(), b.tolist(), sizes.tolist(), strict=True))
 
 
 def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -222,14 +263,16 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For groups of neighbouring texts: the first one's place, the words' hashes, and where each text's words begin."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For groups of neighbouring texts: the first one's place, the words' hashes, and where each text's words begin.
+    With `lower`, A to Z count as a to z."""
     for a, b in by_bytes(np.diff(offsets), PIECE):
         part = data[offsets[a] : offsets[b]]
+        part = LOWER[part] if lower else part
         if b - a == 1 and len(part) > PIECE:
-            hashes = np.concatenate([span_hashes(p, *word_spans(p), values) for p in pieces(part)])
+            hashes = np.concatenate([span_hashes(p, *word_spans(p)) for p in pieces(part)])
             yield a, hashes, np.array([0, len(hashes)])
             continue
         edges = offsets[a : b + 1] - offsets[a]
         starts, ends = word_spans(part, edges)
-        yield a, span_hashes(part, starts, ends, values), np.searchsorted(starts, edges)
+        yield a, span_hashes(part, starts, ends), np.searchsorted(starts, edges)

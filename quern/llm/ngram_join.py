@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_values, dropped, mixed, released, small_batches, stored, text_buffers, word_hashes
+from quern.llm.common import dropped, mixed, released, small_batches, stored, text_buffers, word_hashes
 from quern.llm.components import components
 
 #: Classes in a short list at most; and how many long n-grams may be known to every task (the bound for short lists grows
@@ -83,7 +83,7 @@ _A, _B = mixed(np.arange(1, 64, dtype=np.uint64), 3) | np.uint64(1), np.uint64(0
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text of an Arrow buffer, as signed integers."""
-    for _, hashes, edges in word_hashes(data, offsets, byte_values(lower=True)):
+    for _, hashes, edges in word_hashes(data, offsets, lower=True):
         if len(hashes) >= words:
             grams = np.zeros(len(hashes) - words + 1, np.uint64)
             for k in range(words):

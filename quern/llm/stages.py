@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.common import stored, table
+from quern.llm.common import released, stored, table
 from quern.llm.mixing import mixed_documents
 from quern.llm.ngram_join import one_of_each
 from quern.llm.quality import kept_documents
@@ -41,7 +44,18 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return word_bpe_digests(docs, default_path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("encoding", encoding)]
+def _alone(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun without the memory that the one before has grown into."""
+
+    @wraps(stage)
+    def run_alone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        released(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_alone
+
+
+STAGES = [(f.__name__, _alone(f)) for f in (toxicity, quality, near_duplicates, mixing, encoding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ Layout of a store's folder (Parquet):
   Rows with `kind` 0, which come first, are the documents before they were put in order.
 - `recipes`: documents in ascending key order by `part`, then `start`. `key`, `start` (ids of all documents before),
   `n_tokens`, `digests` of its chunks in order, `after` (ids of the document behind each chunk), `root` (its Merkle leaf).
-- `manifest`: each part's number of documents and ids, the ids before it, and the Merkle root over its documents' leaves.
+- `manifest`: each part's number of documents and ids, the ids before it, the Merkle root over its documents' leaves, and
+  the bytes of an id.
 
 A rolling hash over a window of ids decides where a chunk ends, so equal passages give equal chunks wherever they
 stand. Chunks are dropped that a task has already sent, so a passage in a third of all documents is shuffled once a task.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import by_bytes, deleted, held, mixed, powers, small_batches, text_buffers
-from quern.llm.tokens import SegmentMemo
+from quern.llm.tokens import SegmentMemo, id_width
 
 #: Ids that the rolling hash sees, a chunk's least and most ids, and the bits that end one (about 2**8 ids).
 WINDOW, LEAST, MOST, BITS = 16, 64, 1024, 8
@@ -112,40 +113,43 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ROOTED = "part int, n_docs bigint, n_tokens bigint, root binary"
 
 
-def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> None:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of `packs` from (key, text): each text's recipe, and the chunks that this task has not sent yet."""
+    memo = held("token_store", path, lambda: SegmentMemo(path))
+    sent: set[bytes] = set()
+    count = 0
+    for b in batches:
+        texts, offsets = text_buffers(b.column(1))
+        for i, j in by_bytes(np.diff(offsets), slice_bytes):
+            found, edges = memo.encode_texts(texts[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
+            raw, width, sizes = found.tobytes(), memo.kind.itemsize, np.diff(edges)
+            rows: list[tuple] = []
+            for k, (ends, n) in enumerate(zip(chunk_ends(found, edges), sizes.tolist(), strict=True)):
+                at, own, after = int(edges[k]), [], []
+                for e in ends:
+                    data = raw[at * width : e * width]
+                    own.append(d := digest(data))
+                    after.append(int(edges[k + 1]) - e)
+                    if d not in sent:
+                        sent.add(d)
+                        rows.append((1, d, data, None, None, None, None, 0))
+                    at = e
+                rows.append((0, leaf(own, n), None, i + k, n, own, after, (count := count + 1) % 4096))
+            if len(sent) > SENT:
+                sent.clear()
+            c = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[0], pa.int32()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary()), b.column(0).take(pa.array(c[3], pa.int64())), pa.array(c[4], pa.int64()), pa.array(c[5], pa.list_(pa.binary())), pa.array(c[6], pa.list_(pa.int64())), pa.array(c[7], pa.int32())],
+                names=["kind", "digest", "ids", "key", "n_tokens", "digests", "after", "deal"],
+            )
+
+
+def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", slice_bytes: int = 2 << 20) -> None:
     """Encodes every text with the tokenizer at `path`, appends the end id and writes a store."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = held("token_store", path, lambda: SegmentMemo(path))
-        sent: set[bytes] = set()
-        for b in batches:
-            texts, offsets = text_buffers(b.column(1))
-            for i, j in by_bytes(np.diff(offsets), slice_bytes):
-                found, edges = memo.encode_texts(texts[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
-                raw, width, sizes = found.tobytes(), memo.kind.itemsize, np.diff(edges)
-                rows: list[tuple] = []
-                for k, (ends, n) in enumerate(zip(chunk_ends(found, edges), sizes.tolist(), strict=True)):
-                    at, own, after = int(edges[k]), [], []
-                    for e in ends:
-                        data = raw[at * width : e * width]
-                        own.append(d := digest(data))
-                        after.append(int(edges[k + 1]) - e)
-                        if d not in sent:
-                            sent.add(d)
-                            rows.append((1, d, data, None, None, None, None))
-                        at = e
-                    rows.append((0, leaf(own, n), None, i + k, n, own, after))
-                if len(sent) > SENT:
-                    sent.clear()
-                c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int32()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary()), b.column(0).take(pa.array(c[3], pa.int64())), pa.array(c[4], pa.int64()), pa.array(c[5], pa.list_(pa.binary())), pa.array(c[6], pa.list_(pa.int64()))],
-                    names=["kind", "digest", "ids", "key", "n_tokens", "digests", "after"],
-                )
-
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = b""
         for b in batches:
@@ -159,8 +163,9 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
             yield b.filter(pa.array((kinds == 0) | ~same))
 
     schema = f"kind int, digest binary, ids binary, key {kind}, n_tokens bigint, digests array<binary>, after array<bigint>"
-    rows = docs.select(F.col(key), F.col(text)).mapInArrow(encoded, schema)
-    rows.repartition("digest").sortWithinPartitions("kind", "digest").mapInArrow(once, schema).write.parquet(f"{folder}/packs")
+    rows = docs.select(F.col(key), F.col(text)).mapInArrow(lambda batches: encoded(batches, path, end_id, slice_bytes), f"{schema}, deal int")
+    # chunks meet by digest; documents, of which many may be equal, are dealt by their number in the task
+    rows.repartition("digest", "deal").drop("deal").sortWithinPartitions("kind", "digest").mapInArrow(once, schema).write.parquet(f"{folder}/packs")
 
     raw = spark.read.schema(schema).parquet(f"{folder}/packs").where("kind = 0").select("key", "n_tokens", "digests", "after", F.col("digest").alias("root"))
     parts = raw.repartitionByRange("key", "root").withColumn("part", F.spark_partition_id()).sortWithinPartitions("key", "root")
@@ -174,7 +179,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, key: str =
     started = ordered.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(F.broadcast(offsets), "part")
     started.select("part", "key", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "digests", "after", "root").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     leaves = spark.read.parquet(f"{folder}/recipes").select("part", "root", "n_tokens", "start").repartition("part").sortWithinPartitions("part", "start")
-    leaves.mapInArrow(_rooted, ROOTED).join(F.broadcast(offsets), "part").write.parquet(f"{folder}/manifest")
+    leaves.mapInArrow(_rooted, ROOTED).join(F.broadcast(offsets), "part").withColumn("width", F.lit(id_width(path))).write.parquet(f"{folder}/manifest")
     deleted(spark, f"{folder}/ordered")
 
 
@@ -190,6 +195,12 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/manifest")
 
 
+def width_of(spark: SparkSession, folder: str) -> int:
+    """Bytes of an id in the packs, as the manifest says."""
+    first = manifest(spark, folder).select("width").first()
+    return first.width if first else 2
+
+
 def store_root(spark: SparkSession, folder: str) -> str:
     """The Merkle root over the parts' roots, in hexadecimal."""
     tree = MerkleTree()
@@ -249,21 +260,28 @@ def verify(spark: SparkSession, folder: str) -> None:
         raise ValueError(f"part {wrong[0].part} does not match the manifest")
 
 
-def document_checksums(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+def document_checksums(spark: SparkSession, folder: str) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of each document, from the files: recipes are held against their leaves and the
     manifest, each chunk's ids are read once and held against their digest, and the chunks' CRCs are joined along each
     recipe, which fails on a chunk that the packs lack or that has another length."""
     verify(spark, folder)
+    width = width_of(spark, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs, sizes = [], []
-            for d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if digest(ids) != d:
+            column = b.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(b) + 1] if len(b) else np.zeros(1, np.int64)
+            raw = memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            if (ends % width).any():
+                raise ValueError("a chunk is not made of whole ids")
+            wide = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4")).cast("B")
+            crcs = []
+            for d, i, j in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if digest(raw[i:j]) != d:
                     raise ValueError(f"chunk {d.hex()} does not match its digest")
-                crcs.append(zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()))
-                sizes.append(len(ids) // width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int64())], names=["digest", "crc", "size"])
+                crcs.append(zlib.crc32(wide[i * 4 // width : j * 4 // width]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(np.diff(ends) // width)], names=["digest", "crc", "size"])
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,8 +302,9 @@ def document_checksums(spark: SparkSession, folder: str, width: int = 2) -> Data
     return joined.mapInArrow(moved, f"key {kind}, start bigint, n_tokens bigint, crc bigint").groupBy("key", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
 
 
-def read_documents(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(key, start, ids) of each document, put together again; raises if a document's ids do not match its leaf."""
+    width = width_of(spark, folder)
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from quern.llm.common import mixed, span_hashes
+from quern.llm.common import span_hashes, spans_equal
 
 _loaded: dict[str, object] = {}
 
@@ -36,6 +36,11 @@ def special_strings(path: str) -> list[str]:
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
 
+def id_width(path: str) -> int:
+    """Bytes that each of a tokenizer's ids needs in a file: 2 or 4."""
+    return 2 if max(tokenizer(path).get_vocab().values(), default=0) < 1 << 16 else 4
+
+
 #: A space before a character that is no white space: there the byte-level pattern always begins a new word,
 #: as only a word's own leading space can stand before its letters, digits or signs.
 CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
@@ -49,7 +54,6 @@ PLAIN_END[0x21:0x7F] = True
 LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-BYTES = mixed(np.arange(256, dtype=np.uint64), 17)
 
 
 def safe_parts(text: str, most: int, special: list[str]) -> list[str]:
@@ -78,7 +82,7 @@ class SegmentMemo:
     A segment begins at a space before a byte that cannot begin white space, at a sign behind a letter, and on both
     sides of a single line feed. The byte-level pattern always begins a new word at these places, so segments
     encode one by one to the same ids as the text. Segments of a slice are found and told apart in numpy: by 64-bit hashes, then
-    byte for byte. Those not seen in earlier slices are joined and encoded together; the bytes
+    by all their bytes. Those not seen in earlier slices are joined and encoded together; the bytes
     that each id stands for tell where a segment's ids end. At most `most` earlier segments are remembered.
     """
 
@@ -89,7 +93,7 @@ class SegmentMemo:
         for token, i in vocab.items():
             self.lengths[i] = len(token)  # one character of the byte-level alphabet stands for one byte
         self.special = special_strings(path)
-        self.kind = np.dtype("<u2") if len(self.lengths) <= 1 << 16 else np.dtype("<u4")
+        self.kind = np.dtype(f"<u{id_width(path)}")
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -97,34 +101,44 @@ class SegmentMemo:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        """Encodes segments that begin with a space and end in no white space, many at a time."""
-        at = 0
+        """Encodes segments that may follow each other, many at a time; one that begins with no space stands behind a
+        line feed, which is an id of its own."""
+        at, width = 0, self.kind.itemsize
         while at < len(new):
             end, size = at, 0
             while end < len(new) and (end == at or size < 1 << 17):
                 size += len(new[end])
                 end += 1
             group = new[at:end]
-            ids = np.array(self.library.encode_batch_fast([b"".join(group).decode()], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(s) for s in group])) + 1
-            raw, width, start = ids.tobytes(), self.kind.itemsize, 0
-            for s, e in zip(group, (ends * width).tolist(), strict=True):
-                self.memo[s] = raw[start:e]
-                start = e
+            apart = [s[0] != 32 for s in group]
+            shown = b"".join([b"\n" + s if x else s for s, x in zip(group, apart, strict=True)])
+            ids = np.array(self.library.encode_batch_fast([shown.decode()], add_special_tokens=False)[0].ids, self.kind)
+            sizes = np.array([len(s) + x for s, x in zip(group, apart, strict=True)])
+            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1) * width
+            starts = np.concatenate([[0], ends[:-1]]) + np.array(apart) * width
+            raw = ids.tobytes()
+            for s, i, j in zip(group, starts.tolist(), ends.tolist(), strict=True):
+                self.memo[s] = raw[i:j]
             at = end
 
+    @staticmethod
+    def _joins(s: bytes) -> bool:
+        """Whether a segment's words are the same between others: it begins with a space, or with a letter or sign, and
+        ends in a visible ASCII character or a letter of Latin-1."""
+        return (s[0] == 32 or LETTER[s[0]]) and (PLAIN_END[s[-1]] or len(s) > 1 and s[-2] == 0xC3)
+
     def _known(self, segments: list[bytes]) -> list[bytes]:
         if len(self.memo) > self.most // 2:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         found = list(map(memo.get, segments))
         late = [i for i, x in enumerate(found) if x is None]
-        joined, apart = [], []
+        joined, apart, joins = [], [], self._joins
         for i in late:
             s = segments[i]
             if (old := older.get(s)) is not None:
                 memo[s] = old
-            elif s[0] == 32 and PLAIN_END[s[-1]]:
+            elif joins(s):
                 joined.append(s)
             else:
                 apart.append(s)
@@ -151,10 +165,12 @@ class SegmentMemo:
         begins[edges] = True
         starts = np.flatnonzero(begins[:n])
         ends = np.append(starts[1:], n)
-        hashes = span_hashes(data, starts, ends, BYTES)
-        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        self._same(data, starts, ends, at[inverse])
         raw = data.tobytes()
+        _, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if not spans_equal(data, starts, ends, at[inverse]):  # one hash for different segments: told apart by their bytes
+            first: dict[bytes, int] = {}
+            like = np.array([first.setdefault(raw[i:j], k) for k, (i, j) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))])
+            at, inverse = np.unique(like, return_inverse=True)
         s, e = starts[at].tolist(), ends[at].tolist()
         found = self._known([raw[i:j] for i, j in zip(s, e, strict=True)])
         sizes = np.array([len(f) for f in found]) // self.kind.itemsize
@@ -165,18 +181,6 @@ class SegmentMemo:
         out = ids[np.repeat(offsets[inverse] - ahead[:-1], own) + np.arange(ahead[-1])]
         return out, ahead[np.searchsorted(starts, edges)]
 
-    @staticmethod
-    def _same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> None:
-        """Raises if segments with equal hashes differ."""
-        sizes = ends - starts
-        if not (sizes == sizes[like]).all():
-            raise ValueError("segments of different length have one hash")
-        other = np.flatnonzero(like != np.arange(len(like)))
-        move = np.repeat(starts[like[other]] - starts[other], sizes[other])
-        places = np.repeat(starts[other] - np.concatenate([[0], np.cumsum(sizes[other])[:-1]]), sizes[other]) + np.arange(sizes[other].sum())
-        if not (data[places] == data[places + move]).all():
-            raise ValueError("different segments have one hash")
-
     def encode_texts(self, data: np.ndarray, edges: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Like encode_slice; texts that hold a special token's string are encoded as a whole, and an end id may follow each text."""
         raw = data.tobytes()

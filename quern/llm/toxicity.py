@@ -111,7 +111,7 @@ def words_of(data: np.ndarray, edges: np.ndarray) -> Words:
 
 
 def _word_hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(low, starts, ends, _VALUES[:256])
+    return span_hashes(low, starts, ends)
 
 
 def function_words() -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,8 @@ from quern.llm.common import by_bytes, held, small_batches, trimmed
 from quern.llm.tokens import tokenizer
 
 NEVER = 1 << 60
+#: Lengths of tokens that a text may end in whatever its last characters.
+_SHORT = (2, 1)
 
 
 class TrieEncoder:
@@ -51,10 +53,21 @@ class TrieEncoder:
                 continue  # merging its characters gives other tokens, so it never appears
             (self.final if ends else self.inner)[bare] = i
             self.left[i], self.right[i] = self._edge(tree, 1), self._edge(tree, 2)
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        if not n:
+            self.final = self.inner
+        #: the lengths of tokens with the last three characters of a longer text, longest first
+        self.inner_ends, self.final_ends = self._lengths(self.inner), self._lengths(self.final)
         self.follows: dict[int, bool] = {}
         self.size = {i: len(t) for t, i in self.inner.items()} | {i: len(t) for t, i in self.final.items()}
 
+    @staticmethod
+    def _lengths(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        by_end: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) > 2:
+                by_end.setdefault(t[-3:], set()).add(len(t))
+        return {end: (*sorted(lengths, reverse=True), *_SHORT) for end, lengths in by_end.items()}
+
     def _merged(self, ids: list[int]) -> tuple | None:
         """The tree (token, left, right, rank) if merging by rank, leftmost first, leaves one token."""
         trees = [(i, None, None, -1) for i in ids]
@@ -95,7 +108,8 @@ class TrieEncoder:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """The ids of distinct words in sorted order; sorted words are the trie's leaves, depth first."""
-        inner, final, size, follows = self.inner, self.final, self.size, self.may_follow
+        inner, final, size, known, may_follow = self.inner, self.final, self.size, self.follows, self.may_follow
+        inner_ends, final_ends = self.inner_ends, self.final_ends
         last: list[int] = [0] * (max(map(len, words), default=0) + 1)
         out, before, done = [], "", 0  # last[1] to last[done] hold for the prefixes of `before`
         for w in words:
@@ -104,15 +118,18 @@ class TrieEncoder:
             while k < most and w[k] == before[k]:
                 k += 1
             for i in range(k + 1, n):  # one trie node each
-                for length in range(min(i, self.longest), 0, -1):
-                    t = inner.get(w[i - length : i])
-                    if t is not None and (length == i or follows(last[i - length], t)):
-                        last[i] = t
-                        break
+                for length in inner_ends.get(w[i - 3 : i], _SHORT) if i > 2 else range(i, 0, -1):
+                    if length <= i and (t := inner.get(w[i - length : i])) is not None:
+                        if length == i:
+                            break
+                        if (fits := known.get(key := last[i - length] << 32 | t)) is None:
+                            fits = may_follow(key >> 32, t)
+                        if fits:
+                            break
+                last[i] = t
             done, before = n - 1, w
-            for length in range(min(n, self.longest), 0, -1):
-                t = final.get(w[n - length :]) if self.suffix else inner.get(w[n - length :])
-                if t is not None and (length == n or follows(last[n - length], t)):
+            for length in final_ends.get(w[-3:], _SHORT) if n > 2 else range(n, 0, -1):
+                if length <= n and (t := final.get(w[n - length :])) is not None and (length == n or may_follow(last[n - length], t)):
                     break
             ids, at = [t], n - length
             while at:
@@ -229,7 +246,6 @@ class WordCodec:
 
 SIGNS = frozenset(",.;:!?")
 _APART = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-_QUOTED = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 _SIMPLE = re.compile(r"[!-~]+\Z")
 
 
@@ -248,14 +264,14 @@ def codec(path: str) -> WordCodec:
     return held("word_bpe", path, lambda: WordCodec(path))
 
 
-def word_bpe(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
+def word_bpe(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """(key, ids, n_tokens, decoded) of each row: ids as decimals joined by one space, and the decoded text."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(_coder(path, key, slice_bytes, None), f"`{key}` {kind}, ids string, n_tokens bigint, decoded string")
 
 
-def word_bpe_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
+def word_bpe_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of each row, the digests of what word_bpe returns."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
