@@ -241,7 +241,7 @@ def test_url_rules_match_brute_force(spark):
     pages, labels = spark.read.parquet(f"{SF}/pages.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     taught = labels.select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("label"))
     tokens = pages.select("page_id", url_rules.url_tokens(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens"))
-    mined = url_rules.mined_rules(tokens.join(taught, "page_id").select("tokens", "label"), confidence=0.2, least=2)
+    mined = url_rules.mined_rules(tokens.join(taught, "page_id").select("tokens", "label"), confidence=0.2, least=2, sure=-1)
     rules = [(set(r.tokens), r.confidence) for r in mined.collect()]
     got = {r.key: r.confidence for r in url_rules.rule_matches(tokens.withColumnRenamed("page_id", "key"), mined).collect()}
     want = {r.page_id: max(c for t, c in rules if t <= set(r.tokens)) for r in tokens.collect() if any(t <= set(r.tokens) for t, _ in rules)}
