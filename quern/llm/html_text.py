@@ -10,7 +10,10 @@ given too.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by
 element or by class, id and role names. Blocks have their character references decoded and their white space turned
 into single spaces, and are joined by line feeds. Null or empty html gives an empty text; repeated rows give equal
-results; an empty table gives an empty result. No page's text is cut.
+results; an empty table gives an empty result. No page's text is cut, however long or deep: a page takes time and
+memory in proportion to its length. A tag without an end is text, a comment or section without one reaches to the end.
+A page votes with its CANDIDATES best containers; of equal scores the first one leads, and of equal votes the last path
+by name. Other columns of pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ BROADCAST_HOSTS, SALTS = 100_000, 32
 #: Containers that a page votes with.
 CANDIDATES = 3
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_STOP = re.compile(r"=\s*([\"'])|>")
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
@@ -42,6 +46,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES = {t: frozenset({"p"}) for t in BLOCKS - {"body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}} | {
     "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"}),
 }
+_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element of the key's kind does not reach out of these.
 SCOPES = {"li": frozenset({"ul", "ol", "menu", "dir"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), "tr": frozenset({"table"}), "td": frozenset({"tr", "table"}), "th": frozenset({"tr", "table"})}
@@ -52,34 +57,59 @@ OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs byline comment comments commentlist complementary contentinfo consent cookie cookies disclaimer disqus feedback footer form gdpr header login masthead "
     "menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted recommended related remark reply replies respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toc toolbar widget".split()
 )
+#: Those of them that are readers' own: much text in them is no sign that they hold the article.
+READERS = frozenset("comment comments commentlist disqus feedback remark reply replies respond responses".split())
 
 
 class Page:
-    """A page's elements and blocks. Elements are numbered in page order; 0 is the root."""
+    """A page's elements and blocks. Elements are numbered in page order; 0 is the root.
+
+    Reading takes time and memory in proportion to the page, whatever is in it: paths are numbers of (path above, step),
+    open elements are found by tag, and what a search did not find is not searched for again.
+    """
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.out = [0], [""], [""], [False]
+        self.parent, self.tag, self.path, self.out, self.readers = [0], [""], [0], [False], [False]
+        self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(html)
 
+    def path_of(self, e: int) -> str:
+        """The steps from the root to an element."""
+        steps = []
+        while e:
+            steps.append(self._step[self.path[e]])
+            e = self.parent[e]
+        return ">".join(reversed(steps))
+
+    def path_named(self, path: str) -> int | None:
+        """The number of a path in this page."""
+        at: int | None = 0
+        for step in path.split(">") if path else ():
+            if (at := self.paths.get((at, step))) is None:
+                return None
+        return at
+
     def _element(self, up: int, tag: str, attributes: str) -> int:
-        first, out = "", tag in OUT_TAGS
+        first, out, readers = "", tag in OUT_TAGS, False
         if attributes and "=" in attributes:
             for m in _NAME.finditer(attributes):
                 value = (m[2] or m[3] or m[4] or "").lower()
                 if m[1].lower() == "class" and value.split():
-                    first = "." + re.sub("[0-9]+", "0", value.split()[0])
-                if tag not in ("html", "body") and not out and not OUT_NAMES.isdisjoint(_SPLIT.split(value)):
-                    out = True
+                    first = "." + re.sub("[0-9]+", "0", value.split()[0]).replace(">", "")
+                if tag not in ("html", "body") and not OUT_NAMES.isdisjoint(names := _SPLIT.split(value)):
+                    out, readers = True, readers or not READERS.isdisjoint(names)
         self.parent.append(up)
         self.tag.append(tag)
-        self.path.append(f"{self.path[up]}>{tag}{first}")
+        self.path.append(self.paths.setdefault((self.path[up], tag + first), len(self.paths) + 1))
         self.out.append(out)
+        self.readers.append(readers)
         return len(self.tag) - 1
 
     def _read(self, html: str) -> None:
         stack, at, words, links, in_link = [0], 0, [], 0, 0
-        lower = None
+        opened: dict[str, list[int]] = {}  # places in the stack of each tag's open elements
+        last, quoted, absent, end = html.rfind(">"), True, set(), len(html)
 
         def flush() -> None:
             nonlocal words, links
@@ -96,66 +126,91 @@ class Page:
             if in_link:
                 links += len(text)
 
-        end = len(html)
+        def close(k: int) -> None:
+            for e in stack[k:]:
+                opened[self.tag[e]].pop()
+            del stack[k:]
+
+        def nearest(tags: frozenset[str]) -> int:
+            return max((own[-1] for t in tags if (own := opened.get(t))), default=0)
+
+        def past(mark: str, start: int) -> int:
+            """Behind the next mark, or the end of the page."""
+            k = html.find(mark, start)
+            return end if k < 0 else k + len(mark)
+
+        def tag_end(start: int) -> int:
+            """The place of the `>` that ends a tag. Where quotes leave none, they no longer count in the page."""
+            nonlocal quoted
+            k = start
+            while quoted:
+                m = _STOP.search(html, k)
+                if m and m[1] is None:
+                    return m.start()
+                k = html.find(m[1], m.end()) + 1 if m else 0
+                quoted = k > 0
+            return html.find(">", start)
+
         while at < end:
-            m = _TAG.search(html, at)
+            m = _MARK.search(html, at)
             if m is None:
                 add(html[at:])
                 break
             if m.start() > at:
                 add(html[at : m.start()])
-            at = m.end()
             tag = m[2]
             if tag is None:
-                if m[0].startswith("<![CDATA["):
-                    add(m[0][9:-3])
+                if html.startswith("<!--", m.start()):
+                    at = past("-->", m.start() + 2)
+                elif html.startswith("<![CDATA[", m.start()):
+                    at = past("]]>", m.end())
+                    add(html[m.start() + 9 : at - 3 if html.endswith("]]>", m.end(), at) else at])
+                else:
+                    at = past(">", m.end())
                 continue
-            tag = tag.lower()
+            if m.end() > last:  # no tag ends from here on
+                add(html[m.start() :])
+                break
+            stop = tag_end(m.end())
+            attributes, at, tag = html[m.end() : stop], stop + 1, tag.lower()
             if m[1]:
                 if tag == "a":
                     in_link = max(0, in_link - 1)
                 if tag in BLOCKS:
                     flush()
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            del stack[k:]
-                            break
+                    if own := opened.get(tag):
+                        close(own[-1])
                 continue
             if tag in RAW:
-                if tag not in ("svg", "math", "object", "canvas"):
-                    if not m[3].endswith("/") or tag in ("script", "style", "textarea", "title"):
-                        lower = lower or html.lower()
-                        k = lower.find(f"</{tag}", at)
-                        at = end if k < 0 else (html.find(">", k) + 1 or end)
-                else:
-                    lower = lower or html.lower()
-                    k = lower.find(f"</{tag}", at)
-                    if k >= 0 and not m[3].endswith("/"):
-                        at = html.find(">", k) + 1 or end
+                alone, skips = attributes.endswith("/"), tag not in ("svg", "math", "object", "canvas")
+                if not alone or tag in ("script", "style", "textarea", "title"):
+                    k = None if tag in absent else _END[tag].search(html, at)
+                    if k:
+                        at = past(">", k.start())
+                    else:
+                        absent.add(tag)
+                        at = end if skips else at
                 if tag in ("textarea", "title"):
                     flush()
                 continue
             if tag in BLOCKS:
                 flush()
                 if ends := CLOSES.get(tag):
-                    bounds = SCOPES.get(tag, EDGES)
-                    for k in range(len(stack) - 1, 0, -1):
-                        t = self.tag[stack[k]]
-                        if t in ends:
-                            del stack[k:]
-                            if t == "p":
-                                break
-                        elif t in bounds:
+                    bound = nearest(SCOPES.get(tag, EDGES))
+                    while (k := nearest(ends)) > bound:
+                        closed = self.tag[stack[k]]
+                        close(k)
+                        if closed == "p":
                             break
                 if tag != "hr":
-                    stack.append(self._element(stack[-1], tag, m[3]))
+                    opened.setdefault(tag, []).append(len(stack))
+                    stack.append(self._element(stack[-1], tag, attributes))
             elif tag == "br":
                 words.append(" ")
             elif tag == "a":
                 in_link += 1
-            elif tag not in VOID and ("class" in m[3] or "role" in m[3]) and tag == "span":
-                words.append("")
         flush()
+        self._step = {i: step for (_, step), i in self.paths.items()}
 
     def scored(self) -> dict[int, int]:
         """The score of each container: running text in its own blocks, and half of that one level deeper."""
@@ -169,7 +224,7 @@ class Page:
         self.gone = [False] * n
         holds = self._holds_article()
         for e in range(1, n):
-            out = self.out[e] and not (self.tag[e] not in OUT_TAGS and (holds[e] or 2 * size[e] > size[0]))
+            out = self.out[e] and not (self.tag[e] not in OUT_TAGS and (holds[e] or 2 * size[e] > size[0] and not self.readers[e]))
             self.gone[e] = self.gone[self.parent[e]] or out
         score: dict[int, int] = {}
         for e, text, links in self.blocks:
@@ -194,12 +249,11 @@ class Page:
         return holds
 
     def text_of(self, boxes: list[int]) -> str:
-        inside, around = [False] * len(self.tag), [False] * len(self.tag)
+        inside, around, article = [False] * len(self.tag), [False] * len(self.tag), [0] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            article[e] = e if self.tag[e] == "article" else article[self.parent[e]]
         for e in boxes:
-            up = e
-            while up and self.tag[up] != "article":
-                up = self.parent[up]
-            e = up or e
+            e = article[e] or e
             inside[e] = True
             while (e := self.parent[e]) and not around[e] and self.tag[e] not in ("html", "body"):
                 around[e] = True
@@ -213,7 +267,7 @@ def candidates(html: str) -> list[tuple[str, int]]:
     page = Page(html)
     score = page.scored()
     best = sorted(score, key=lambda e: (-score[e], e))[:CANDIDATES]
-    return [(page.path[e], score[e] * 1000 // score[best[0]]) for e in best]
+    return [(page.path_of(e), score[e] * 1000 // score[best[0]]) for e in best]
 
 
 def main_text(html: str, path: str | None) -> str:
@@ -222,7 +276,8 @@ def main_text(html: str, path: str | None) -> str:
     score = page.scored()
     if not score:
         return ""
-    own = [e for e in score if page.path[e] == path]
+    agreed = None if path is None else page.path_named(path)
+    own = [e for e in score if page.path[e] == agreed]
     if not own:
         best = page.path[min(score, key=lambda e: (-score[e], e))]
         own = [e for e in score if page.path[e] == best]
