@@ -253,12 +253,54 @@ def test_walk_with_fewer_candidates_than_lists(monkeypatch):
     x = np.random.default_rng(4).normal(size=(6000, 8))
     index = ann.fitted(x, 96)
     exact_order = np.argsort(((x[:300, None] - index.centroids[None]) ** 2).sum(axis=2), axis=1, kind="stable")
-    asked = ann.lists_asked(index, x[:300])
-    assert len(index.centroids) > ann.BEAM >= max(map(len, asked))
+    asked = ann.lists_asked(index, x[:300], 1.13)
+    assert len(index.centroids) > ann.BEAM
     found = sum(len(set(own) & set(order[: len(own)].tolist())) for own, order in zip(asked, exact_order, strict=True))
     assert found >= 0.95 * sum(map(len, asked))
 
 
+def test_lists_within_the_ratio_beyond_the_beam(monkeypatch):
+    """A query whose first candidates are all within the ratio looks at more, and gets as many vectors as are wanted."""
+    monkeypatch.setattr(ann, "BEAM", 4)
+    x = np.random.default_rng(5).normal(size=(3000, 8))
+    index = ann.fitted(x, 64)
+    d = np.sqrt(((x[:100, None] - index.centroids[None]) ** 2).sum(axis=2))
+    asked = ann.lists_asked(index, x[:100], 1.5)
+    assert [set(a.tolist()) for a in asked] == [set(np.flatnonzero(r <= 1.5 * r.min()).tolist()) for r in d]
+    sizes = np.bincount([own[0] for own in ann.lists_of(index, x)], minlength=64)
+    assert all(sizes[a].sum() >= 500 for a in ann.lists_asked(index, x[:100], 1.0, sizes, 500))
+
+
+def test_isolated_vectors_find_ten(spark):
+    rng = np.random.default_rng(6)
+    far = {100: 50.0, 200: 500.0, 300: -90.0}
+    rows = [(i, (rng.normal(size=8) + far.get(i, 0.0)).tolist()) for i in range(3000)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact([(k, np.array(v)) for k, v in rows])
+    assert all(len(got[q]) == 10 for q in want)
+    assert sum(len(got[q] & {v for _, v in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_calibrated_ratio_keeps_recall_with_many_lists():
+    """Vectors without clusters and vectors in clusters, as many as make the graph be walked."""
+    rng = np.random.default_rng(7)
+    shapes = {"spread": rng.normal(size=(20_000, 32)), "clusters": rng.normal(size=(200, 32))[rng.integers(200, size=20_000)] + 0.2 * rng.normal(size=(20_000, 32))}
+    for x in shapes.values():
+        index = ann.fitted(x, 300)
+        ratio = ann.calibrated(index, x[:10_000], 10)
+        held = [set() for _ in range(300)]
+        for i, own in enumerate(o for a in range(0, len(x), 1000) for o in ann.lists_of(index, x[a : a + 1000])):
+            for k in own:
+                held[k].add(i)
+        hits = 0
+        for q, lists in enumerate(ann.lists_asked(index, x[:100], ratio)):
+            near = np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11]
+            hits += len(set(near.tolist()) & set().union(*(held[k] for k in lists.tolist())))
+        assert hits >= 0.9 * 1000
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
