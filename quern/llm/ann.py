@@ -36,10 +36,13 @@ PER_LIST, FEW_LISTS, ROOT, MOST_LISTS = 100, 256, 2.0, 1 << 15
 COPIES, NEAR = 2, 1.10
 #: Lists of one vector must be apart from each other by this share of its distance to the farther one.
 APART = 0.4
-#: The share of neighbours that the ratio must find in the sample, by so many queries; and the ratios that are tried.
-GOAL, TRIED, RATIOS = 0.98, 400, np.round(np.arange(1.02, 2.01, 0.01), 2)
-#: Neighbours in the graph, candidates that a walk keeps at first, and rounds.
-LINKS, BEAM, ROUNDS = 12, 128, 8
+#: The share of neighbours that the ratio must find in the sample, by so many queries.
+GOAL, TRIED = 0.96, 400
+#: Neighbours in the graph, candidates that a walk keeps at first, its rounds, and where walks may begin: so many
+#: centroids, or so many times the root of their number.
+LINKS, BEAM, ROUNDS, ENTRIES = 12, 128, 8, (128, 4)
+#: Times that centroids are moved to their vectors' means.
+MOVES = 8
 #: Vectors and queries of a block at most, and distances that are held at a time.
 BLOCK, ASKING, HELD = 20_000, 2_000, 1 << 21
 
@@ -73,7 +76,7 @@ def fitted(sample: np.ndarray, lists: int, seed: int = 5) -> Index:
             count += 1
     parts = [own for _, _, own in sorted(parts, key=lambda p: p[1])] + whole
     centroids = np.array([sample[p].mean(axis=0) for p in parts])
-    for _ in range(3):
+    for _ in range(MOVES):
         near = _nearest(sample, centroids)
         counts = np.bincount(near, minlength=len(centroids))
         sums = np.zeros_like(centroids)
@@ -103,12 +106,11 @@ def walked(index: Index, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarr
     """
     k = len(index.centroids)
     beam = min(beam, k)
-    entry = np.unique(np.linspace(0, k - 1, beam).astype(np.int64))
-    ids = np.repeat(entry[None], len(x), axis=0)
+    entry = np.unique(np.linspace(0, k - 1, min(k, max(beam, ENTRIES[0], int(ENTRIES[1] * k**0.5)))).astype(np.int64))
     d = np.sqrt(_squares(x, index.centroids[entry]))
-    order = np.argsort(d, axis=1, kind="stable")
-    ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
-    active = np.arange(len(x) if beam < k else 0)
+    order = np.argsort(d, axis=1, kind="stable")[:, :beam]
+    ids, d = entry[order], np.take_along_axis(d, order, 1)
+    active = np.arange(len(x) if len(entry) < k else 0)
     for _ in range(ROUNDS):
         if not len(active):
             break
@@ -165,23 +167,24 @@ def lists_asked(index: Index, x: np.ndarray, ratio: float, sizes: np.ndarray | N
 def calibrated(index: Index, sample: np.ndarray, top: int, goal: float = GOAL, seed: int = 6) -> float:
     """The smallest ratio by which queries from the sample find the goal's share of their neighbours in the sample."""
     if len(sample) <= top + 1:
-        return float(RATIOS[0])
-    held = np.zeros((len(sample), COPIES), np.int64) - 1
-    for i in range(0, len(sample), 512):
-        for k, own in enumerate(lists_of(index, sample[i : i + 512])):
-            held[i + k, : len(own)] = own
+        return 1.0
     asked = np.random.default_rng(seed).permutation(len(sample))[:TRIED]
-    needed = []
-    for q in asked.tolist():
+    near = np.zeros((len(asked), top), np.int64)
+    for k, q in enumerate(asked.tolist()):
         d = ((sample - sample[q]) ** 2).sum(axis=1)
         d[q] = np.inf
-        near = np.argpartition(d, top)[:top]
+        near[k] = np.argpartition(d, top)[:top]
+    found, at = np.unique(near, return_inverse=True)
+    held = np.zeros((len(found), COPIES), np.int64) - 1
+    for i in range(0, len(found), 512):
+        for k, own in enumerate(lists_of(index, sample[found[i : i + 512]]), i):
+            held[k, : len(own)] = own
+    needed = []
+    for q, own in zip(asked.tolist(), held[at.reshape(near.shape)], strict=True):
         e = np.sqrt(((index.centroids - sample[q]) ** 2).sum(axis=1))
-        to = np.where(held[near] >= 0, e[held[near]], np.inf).min(axis=1)
-        needed.append(to / max(e.min(), 1e-300))
+        needed.append(np.where(own >= 0, e[own], np.inf).min(axis=1) / max(e.min(), 1e-300))
     needed = np.sort(np.concatenate(needed))
-    ratio = needed[min(len(needed) - 1, int(np.ceil(goal * len(needed))) - 1)]
-    return float(RATIOS[min(len(RATIOS) - 1, int(np.searchsorted(RATIOS, ratio)))])
+    return float(needed[min(len(needed) - 1, int(np.ceil(goal * len(needed))) - 1)])
 
 
 def usable(vectors: DataFrame, key: str, vector: str, number: str = "double") -> DataFrame:
