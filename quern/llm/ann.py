@@ -37,14 +37,14 @@ COPIES, NEAR = 2, 1.10
 #: Lists of one vector must be apart from each other by this share of its distance to the farther one.
 APART = 0.4
 #: The share of neighbours that the ratio must find in the sample, by so many queries.
-GOAL, TRIED = 0.96, 400
+GOAL, TRIED = 0.98, 400
 #: Neighbours in the graph, candidates that a walk keeps at first, its rounds, and where walks may begin: so many
 #: centroids, or so many times the root of their number.
 LINKS, BEAM, ROUNDS, ENTRIES = 12, 128, 8, (128, 4)
 #: Times that centroids are moved to their vectors' means.
 MOVES = 8
-#: Vectors and queries of a block at most, and distances that are held at a time.
-BLOCK, ASKING, HELD = 20_000, 2_000, 1 << 21
+#: Vectors and queries of a block at most, distances that are held at a time, and queries whose nearest a task merges.
+BLOCK, ASKING, HELD, MERGED = 20_000, 2_000, 1 << 21, 50_000
 
 
 @dataclass
@@ -252,8 +252,9 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, key: str = "ve
     wanted = calls.join(F.broadcast(blocks), "list").withColumn("group", F.pmod(F.xxhash64("query"), F.col("groups")).cast("int")).select("list", spread("blocks").alias("block"), "group", F.lit(0).alias("side"), "query", "v", F.lit(None).cast("array<bigint>").alias("ids"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Block(top)
-        task = None
+        # the nearest so far of all lists that this task reads, for at most MERGED queries at a time
+        best: dict[int, list] = {}
+        state = task = None
         for b in batches:
             keys = np.stack([b.column(k).to_numpy() for k in range(4)], axis=1)
             edges = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(b)]])
@@ -261,16 +262,16 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, key: str = "ve
                 if i == j:
                     continue
                 if tuple(keys[i, :3]) != task:
-                    if task is not None:
-                        yield from state.results()
-                    state, task = _Block(top), tuple(keys[i, :3])
+                    if len(best) > MERGED:
+                        yield _results(best, top)
+                        best = {}
+                    state, task = _Block(top, best), tuple(keys[i, :3])
                 part = b.slice(i, j - i)
                 if keys[i, 3] == 0:
                     state.ask(part.column(4).to_numpy(), _matrix(part.column(5)))
                 else:
                     state.see(_matrix(part.column(5)), part.column(6).to_pylist())
-        if task is not None:
-            yield from state.results()
+        yield _results(best, top)
 
     dealt = held.unionByName(wanted).select("list", "block", "group", "side", "query", "v", "ids").repartition("list", "block", "group").sortWithinPartitions("list", "block", "group", "side")
     found = dealt.mapInArrow(searched, "query_id bigint, vec_id bigint, score double")
@@ -280,17 +281,15 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, key: str = "ve
 
 
 class _Block:
-    """Queries of a block, and the nearest vectors to each among those seen so far."""
+    """Queries of a block, which look at vectors; `best` has each query's nearest so far: (distance, smallest key, keys)."""
 
-    def __init__(self, top: int):
-        self.top = top
+    def __init__(self, top: int, best: dict[int, list[tuple[float, int, list[int]]]]):
+        self.top, self.best = top, best
         self.queries, self.vectors = np.zeros(0, np.int64), None
-        self.best: list[list[tuple[float, int, list[int]]]] = []
 
     def ask(self, queries: np.ndarray, vectors: np.ndarray) -> None:
         self.queries = np.concatenate([self.queries, queries])
         self.vectors = vectors if self.vectors is None else np.concatenate([self.vectors, vectors])
-        self.best += [[] for _ in queries]
 
     def see(self, vectors: np.ndarray, ids: list[list[int]]) -> None:
         """Products of matrices tell which vectors may be among the nearest; their distances are then taken as such."""
@@ -303,17 +302,20 @@ class _Block:
             norms = (own**2).sum(axis=1)
             about = norms[:, None] + squares[None] - 2 * own @ vectors.T
             edges = np.partition(about, few - 1, axis=1)[:, few - 1] + 1e-9 * (norms + squares.max())
-            for k, (q, x, row, edge) in enumerate(zip(self.queries[a : a + step].tolist(), own, about, edges.tolist(), strict=True), a):
-                near = np.flatnonzero(row <= edge)
-                best = self.best[k]
+            for q, x, row, edge in zip(self.queries[a : a + step].tolist(), own, about, edges.tolist(), strict=True):
+                near, best = np.flatnonzero(row <= edge), self.best.setdefault(q, [])
                 for i, d in zip(near.tolist(), np.sqrt(((vectors[near] - x) ** 2).sum(axis=1)).tolist(), strict=True):
                     if len(best) < self.top or d <= best[-1][0]:
                         found = [c for c in ids[i] if c != q][: self.top]
-                        if found:
-                            bisect.insort(best, (d, found[0], found))
+                        if not found:
+                            continue
+                        at = bisect.bisect_left(best, (d, found[0]))
+                        if at == len(best) or best[at][:2] != (d, found[0]):  # else seen in another list
+                            best.insert(at, (d, found[0], found))
                             del best[self.top :]
 
-    def results(self) -> Iterator[pa.RecordBatch]:
-        rows = [(q, c, d) for q, found in zip(self.queries.tolist(), self.best, strict=True) for d, _, own in found for c in own]
-        q, c, d = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
+
+def _results(best: dict[int, list[tuple[float, int, list[int]]]], top: int) -> pa.RecordBatch:
+    rows = [(q, c, d) for q, found in best.items() for d, c in sorted((d, c) for d, _, own in found for c in own)[:top]]
+    q, c, d = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
