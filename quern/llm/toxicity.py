@@ -10,7 +10,9 @@ Scores see nothing but the text.
 
 Null and empty texts are scored like a text without words. With labels of one class only, or none, all scores are the
 share of positive labels, or 0. Labels without a document, null labels and repeated labels of a document (their
-largest counts once) do no harm. An empty table gives an empty result. Texts are scored as a whole.
+largest counts once) do no harm. An empty table gives an empty result. Texts are scored as a whole; one that is longer
+than SLICE bytes is read in parts, which gives the same maxima and function words. A run of more than LETTERS letters
+counts as several words. Repeated rows get equal scores; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ POSITIVES, NEGATIVES, LONGEST = 2500, 5000, 100_000
 #: Buckets are numbered in 16 bits.
 BUCKETS, DIM, WIDTHS, FILTERS, GRAMS = 1 << 16, 12, (1, 2, 3), 8, (3, 4, 5)
 EPOCHS, STEPS, BATCH, RATE = 4, 100, 64, 0.05
-SLICE = 1 << 19
+#: Bytes of texts that are read at a time, and of a word at most; the one is a multiple of the other.
+SLICE, LETTERS = 1 << 19, 1 << 10
 #: Function words by which a text's language is guessed; languages that it doesn't know share a threshold of their own.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on are as with be by this from",
@@ -71,6 +74,7 @@ class Words:
     starts: np.ndarray
     ids: np.ndarray
     edges: np.ndarray
+    spans: tuple[np.ndarray, np.ndarray]
 
 
 def words_of(data: np.ndarray, edges: np.ndarray) -> Words:
@@ -82,11 +86,16 @@ def words_of(data: np.ndarray, edges: np.ndarray) -> Words:
     cut[edges] = True
     starts = np.flatnonzero(letter[1:-1] & (~letter[:-2] | cut[:-1]))
     ends = np.flatnonzero(letter[1:-1] & (~letter[2:] | cut[1:])) + 1
+    if (ends - starts).max(initial=0) > LETTERS:
+        times = -(-(ends - starts) // LETTERS)
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        starts, ends = np.repeat(starts, times) + LETTERS * inner, np.repeat(ends, times)
+        ends = np.minimum(ends, starts + LETTERS)
     # all words, each between two marks (256), one after the other
     lengths = ends - starts
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), empty, empty, empty, np.zeros(len(edges), np.int64))
+        return Words(np.zeros(0, np.uint64), empty, empty, empty, np.zeros(len(edges), np.int64), (starts, ends))
     hashes = _word_hash(low, starts, ends)
     distinct, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
     s, size = starts[first], lengths[first] + 2
@@ -107,7 +116,7 @@ def words_of(data: np.ndarray, edges: np.ndarray) -> Words:
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     counts = np.bincount(owners, minlength=len(distinct))
-    return Words(distinct, np.concatenate(found)[order].astype(np.uint16), np.concatenate([[0], np.cumsum(counts)[:-1]]), ids.astype(np.int32), np.searchsorted(starts, edges))
+    return Words(distinct, np.concatenate(found)[order].astype(np.uint16), np.concatenate([[0], np.cumsum(counts)[:-1]]), ids.astype(np.int32), np.searchsorted(starts, edges), (starts, ends))
 
 
 def _word_hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -161,7 +170,9 @@ def pooled(model: Model, w: Words, vectors: np.ndarray) -> tuple[np.ndarray, np.
             total += (vectors @ f[j])[run[j : size + j]]
         values.append(total)
     together = np.concatenate(values, axis=1)
-    best = np.maximum.reduceat(together, starts, axis=0) if n else np.zeros((0, len(WIDTHS) * FILTERS), np.float32)
+    # windows begin at a text's words and at the first place behind; those further on would reach into the next text
+    own = np.stack([starts, starts + counts + 1], axis=1).ravel()
+    best = np.maximum.reduceat(together, own, axis=0)[::2] if n else np.zeros((0, len(WIDTHS) * FILTERS), np.float32)
     return best, _Run(run, starts, together)
 
 
@@ -177,8 +188,8 @@ def logits(model: Model, w: Words) -> np.ndarray:
     return np.maximum(best + model.bias, 0) @ model.output + model.base
 
 
-def languages(w: Words) -> np.ndarray:
-    """The language that most function words of each text point to; the last number where none does."""
+def function_votes(w: Words) -> np.ndarray:
+    """How many function words of each language each text has."""
     keys, bits = _stops or _stops.extend(function_words()) or _stops
     n, k = len(w.edges) - 1, len(FUNCTION_WORDS)
     votes = np.zeros((n, k))
@@ -188,7 +199,12 @@ def languages(w: Words) -> np.ndarray:
         text = np.repeat(np.arange(n), np.diff(w.edges))
         for j in range(k):
             votes[:, j] = np.bincount(text, (own >> j) & 1, n)
-    return np.where(votes.max(axis=1, initial=0) > 0, votes.argmax(axis=1), k) if n else np.zeros(0, np.int64)
+    return votes
+
+
+def languages(votes: np.ndarray) -> np.ndarray:
+    """The language that most function words of each text point to; the last number where none does."""
+    return np.where(votes.max(axis=1, initial=0) > 0, votes.argmax(axis=1), votes.shape[1]) if len(votes) else np.zeros(0, np.int64)
 
 
 _stops: list[np.ndarray] = []
@@ -304,7 +320,7 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
     for a, b in by_bytes(np.array([len(t) for t in texts]), SLICE):
         w = words_of(*_packed(texts[a:b]))
         z.append(logits(model, w))
-        lang.append(languages(w))
+        lang.append(languages(function_votes(w)))
     z, lang = np.concatenate(z), np.concatenate(lang)
     overall = _threshold(z, y)
     for k in range(len(model.shift)):
@@ -314,15 +330,50 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
         model.shift[k] = overall + trust * (_threshold(z[own], y[own]) - overall) if few else overall
 
 
+def _parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of at most SLICE bytes; a cut stands behind a byte that is no letter, or else where a long run is cut."""
+    at = 0
+    while len(data) - at > SLICE:
+        inner = np.flatnonzero(~_LETTER[lowered(data[at : at + SLICE])])
+        cut = at + (int(inner[-1]) + 1 if len(inner) else SLICE)
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
+def _long_logit(model: Model, data: np.ndarray) -> tuple[float, np.ndarray]:
+    """The logit and the function words of one long text, part by part. A part begins with the last words of the one
+    before, where windows that reach into it begin."""
+    lead, before = max(WIDTHS) - 1, b""
+    best, votes, left = None, np.zeros((1, len(FUNCTION_WORDS))), len(data)
+    for part in _parts(data):
+        left -= len(part)
+        own = np.frombuffer(before + part.tobytes(), np.uint8)
+        w = words_of(own, np.array([0, len(own)]))
+        highest, run = pooled(model, w, embedded(model, w))
+        n = len(w.ids)
+        if left:
+            highest = run.values[: max(0, n - lead)].max(axis=0, keepdims=True, initial=-np.inf)
+        best = highest if best is None else np.maximum(best, highest)
+        old = before.count(b" ")
+        votes += function_votes(Words(w.hashes, w.features, w.starts, w.ids[old:], np.array([0, n - old]), w.spans))
+        before = b"".join(own[i:j].tobytes() + b" " for i, j in zip(w.spans[0][-lead:].tolist(), w.spans[1][-lead:].tolist(), strict=True))
+    return float((np.maximum(best + model.bias, 0) @ model.output + model.base)[0]), votes
+
+
 def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A score from 0 to 1 for each text of an Arrow buffer."""
     out = np.zeros(len(offsets) - 1)
     if model.constant is not None:
         return out + model.constant
     for a, b in by_bytes(np.diff(offsets), SLICE):
-        w = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        z = logits(model, w) - model.shift[languages(w)]
-        out[a:b] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        part = data[offsets[a] : offsets[b]]
+        if len(part) > SLICE:
+            z, votes = _long_logit(model, part)
+        else:
+            w = words_of(part, offsets[a : b + 1] - offsets[a])
+            z, votes = logits(model, w), function_votes(w)
+        out[a:b] = 1 / (1 + np.exp(-np.clip(z - model.shift[languages(votes)], -40, 40)))
     return out
 
 
@@ -338,7 +389,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     for value, most in ((1, POSITIVES), (0, NEGATIVES)):
         picked = known.where(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(most)
         found = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(picked), key).where(F.length("_text") <= LONGEST)
-        rows += found.limit(most).select(F.col(key), "_text", "_label").collect()
+        rows += found.orderBy(F.xxhash64(key), key, F.xxhash64("_text")).limit(most).select(F.col(key), "_text", "_label").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1]))
     return [r[1] for r in rows], [r[2] for r in rows]
 
@@ -372,4 +423,5 @@ def clean_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
 
 def _worker_scores(model, texts: pa.Array) -> np.ndarray:
-    return scores(held("toxicity", "model", lambda: model).value, *text_buffers(texts))
+    held("toxicity", "", lambda: None)  # other operators' tables go; the model itself is kept by its broadcast
+    return scores(model.value, *text_buffers(texts))

@@ -156,28 +156,49 @@ def test_quality_counts(spark):
 
 
 def em(patterns):
-    """The same estimate in plain Python."""
-    k = len(quality.RULES)
-    share, good, bad = 0.8, [0.995] * k, [0.6] * k
+    """The same estimate in plain Python: rates of keeping, rejecting and abstaining by class, all free."""
+    k, n = len(quality.RULES), sum(patterns.values())
+    prior = {c: {1: p[0], -1: p[1], 0: 1 - sum(p)} for c, p in (("good", quality.GOOD), ("bad", quality.BAD))}
+    share, rates = 0.8, {c: [dict(p) for _ in range(k)] for c, p in prior.items()}
 
     def posterior(v):
         g, b = share, 1 - share
-        for x, a, c in zip(v, good, bad, strict=True):
-            g, b = g * (a if x == 1 else 1 - a if x == -1 else 1), b * (c if x == 1 else 1 - c if x == -1 else 1)
+        for x, good, bad in zip(v, rates["good"], rates["bad"], strict=True):
+            g, b = g * good[x], b * bad[x]
         return g / (g + b)
 
     for _ in range(quality.ROUNDS):
         q = {v: posterior(v) for v in patterns}
-        n = sum(patterns.values())
-        rate = lambda j, w, on: sum(m * w(q[v]) for v, m in patterns.items() if on(v[j]))
-        kg = [(rate(j, lambda x: x, lambda x: x == 1), rate(j, lambda x: x, lambda x: x != 0)) for j in range(k)]
-        kb = [(rate(j, lambda x: 1 - x, lambda x: x == 1), rate(j, lambda x: 1 - x, lambda x: x != 0)) for j in range(k)]
-        share = min(0.98, max(0.3, (sum(m * q[v] for v, m in patterns.items()) + 9) / (n + 10)))
-        good = [min(0.999, max(0.99, (a + 199) / (b + 200))) for a, b in kg]
-        bad = [min(0.95, max(0.001, (a + 1) / (b + 2))) for a, b in kb]
+        mass = {"good": {v: m * q[v] for v, m in patterns.items()}, "bad": {v: m * (1 - q[v]) for v, m in patterns.items()}}
+        total = {c: sum(m.values()) for c, m in mass.items()}
+        seen = lambda c, j, x: sum(m for v, m in mass[c].items() if v[j] == x)
+        new = {c: [{x: (seen(c, j, x) + quality.IMAGINED * prior[c][x]) / (total[c] + quality.IMAGINED) for x in (1, -1, 0)} for j in range(k)] for c in mass}
+        for j in range(k):  # worse than chance: both classes get the rates of all
+            g, b = new["good"][j], new["bad"][j]
+            if g[1] < b[1] or g[-1] > b[-1]:
+                new["good"][j] = new["bad"][j] = {x: (total["good"] * g[x] + total["bad"] * b[x]) / n for x in g}
+        rates, share = new, min(0.98, max(0.3, (total["good"] + 9) / (n + 10)))
     return {v: posterior(v) for v in patterns}
 
 
+def test_planted_rates_are_recovered(spark):
+    """Votes drawn from known rates: the estimate finds the share of good documents and each rule's rates to 0.05."""
+    rng = np.random.default_rng(8)
+    k, n, share = len(quality.RULES), 40_000, 0.7
+    good = np.stack([rng.uniform(0.55, 0.95, k), rng.uniform(0.01, 0.1, k)])  # keep, reject
+    bad = np.stack([rng.uniform(0.1, 0.4, k), rng.uniform(0.3, 0.55, k)])
+    is_good = rng.random(n) < share
+    u, p = rng.random((n, k)), np.where(is_good[:, None, None], good[None], bad[None])
+    votes = np.where(u < p[:, 0], 1, np.where(u < p[:, 0] + p[:, 1], -1, 0))
+    counted = collections.Counter(map(tuple, votes.tolist()))
+    got = {tuple(r.votes): r.quality for r in quality.estimated(spark.createDataFrame([(list(v), m) for v, m in counted.items()], "votes array<int>, n bigint")).collect()}
+    q = np.array([got[tuple(v)] for v in votes.tolist()])
+    assert abs(q.mean() - share) < 0.05 and ((q >= 0.5) == is_good).mean() > 0.95
+    for w, planted in ((q, good), (1 - q, bad)):
+        for x, rates in zip((1, -1), planted, strict=True):
+            assert np.abs((w[:, None] * (votes == x)).sum(axis=0) / w.sum() - rates).max() < 0.05
+
+
 def test_quality_estimate_and_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     voted = quality.with_counts(docs).select("doc_id", quality.votes().alias("v")).collect()
@@ -316,6 +337,67 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labelled).count() == 0
 
 
+def toxic_model(rng):
+    plain = [f"{a}{b}" for a in ("an", "the", "or", "en", "ti") for b in ("der", "ing", "on", "es", "ha")]
+    texts = [" ".join([*rng.choice(plain, 12), *(["zorx " + str(rng.choice(plain))] if i % 3 == 0 else [])]) for i in range(300)]
+    return toxicity.fitted(texts, [int(i % 3 == 0) for i in range(300)])
+
+
+def test_scores_match_a_direct_forward_pass():
+    """Embeddings, filters, maxima and output, word by word; and the same in parts of a long text."""
+    rng = np.random.default_rng(9)
+    model = toxic_model(rng)
+    for text in ("", "!!", "one", "the zorx ander", " ".join(rng.choice(["zorx", "ander", "été", "theha", "a1_b", "x" * 2500], 200))):
+        w = toxicity.words_of(*toxicity._packed([text]))
+        vectors = toxicity.embedded(model, w)
+        run = np.concatenate([vectors[w.ids], np.zeros((3, toxicity.DIM), np.float32)])
+        best = [max(sum(run[i + j] @ f[j][:, m] for j in range(width)) if i + width <= len(run) else 0.0 for i in range(len(run))) for f, width in zip(model.filters, toxicity.WIDTHS, strict=True) for m in range(toxicity.FILTERS)]
+        want = np.maximum(np.array(best) + model.bias, 0) @ model.output + model.base
+        assert abs(toxicity.logits(model, w)[0] - want) < 1e-4
+
+
+def test_long_texts_are_scored_by_parts(monkeypatch):
+    rng = np.random.default_rng(10)
+    model = toxic_model(rng)
+    words = ["zorx", "ander", "été", "theha", "le", "der", "the", "x" * 2500, "...", "\n \n", "-" * 300]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(6)] + ["é" * 20_000, " " * 9000, "." * 5000 + "zorx" + "." * 5000 + " ander", "zorx" * 5000]
+    data, offsets = toxicity._packed(texts)
+    whole = toxicity.scores(model, data, offsets)
+    monkeypatch.setattr(toxicity, "SLICE", 1 << 11)
+    assert np.abs(toxicity.scores(model, data, offsets) - whole).max() < 1e-5
+
+
+def test_gradient_steps_lower_the_loss():
+    """A step on a batch moves each part of the model as finite differences say."""
+    rng = np.random.default_rng(11)
+    model = toxic_model(rng)
+    texts, y = ["zorx ander theha", "ander theha oron", "the zorx", "tion andes enha"], np.array([1, 0, 1, 0])
+    w = toxicity.words_of(*toxicity._packed(texts))
+
+    def loss():
+        z = toxicity.logits(model, w)
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    at = (0, 0, 0)
+    for part in (model.bias, model.output, model.filters[0]):
+        where = at[: part.ndim]
+        old, values = part[where], []
+        for move in (-1e-2, 1e-2):
+            part[where] = old + move
+            values.append(loss())
+        part[where] = old
+        slope = values[1] - values[0]
+        before = np.array(part, float)
+        keep = [np.array(x) for x in (model.vectors, *model.filters, model.bias, model.output)]
+        base = model.base
+        toxicity._step(model, w, y, [np.full(len(model.vectors), 1e-3, np.float32), *[np.full(f.shape, 1e-3, np.float32) for f in model.filters], np.full(model.bias.shape, 1e-3), np.full(model.output.shape, 1e-3)])
+        moved = float(part[where] - before[where])
+        for x, k in zip((model.vectors, *model.filters, model.bias, model.output), keep, strict=True):
+            x[...] = k
+        model.base = base
+        assert abs(slope) < 1e-7 or moved * slope < 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="the larger tables are missing")
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/check_s"
