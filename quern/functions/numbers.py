@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def finite(value: Column) -> Column:
@@ -57,6 +60,52 @@ def wilson_upper(failures: Column, count: Column, delta: float) -> Column:
     return F.coalesce(F.least(F.lit(1.0), (centre + margin) / (1 + z * z / n)), F.lit(1.0))
 
 
+def binomial_upper(failures: Column, count: Column, delta: float) -> Column:
+    """The exact one-sided upper bound (Clopper-Pearson): the rate at which so few failures have probability delta. Spark has no
+    beta quantile, so an Arrow function finds it."""
+
+    @pandas_udf("double")
+    def bound(f: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(upper_rates(f.to_numpy(float), n.to_numpy(float), delta))
+
+    return F.coalesce(F.when(failures < count, bound(failures.cast("double"), count.cast("double"))), F.lit(1.0))
+
+
+def upper_rates(failures: np.ndarray, count: np.ndarray, delta: float) -> np.ndarray:
+    """By bisection: P(at most f of n fail) is 1 - I(p; f + 1, n - f) with the incomplete beta integral I."""
+    a, b = failures + 1, np.maximum(count - failures, 1e-9)
+    scale = np.array([math.lgamma(x + y) - math.lgamma(x) - math.lgamma(y) for x, y in zip(a, b, strict=True)])
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(60):
+        p = (low + high) / 2
+        above = _beta_integral(p, a, b, scale) < 1 - delta
+        low, high = np.where(above, p, low), np.where(above, high, p)
+    return (low + high) / 2
+
+
+def _beta_integral(x: np.ndarray, a: np.ndarray, b: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta integral, by the continued fraction that converges on x's side of the mean."""
+    swap = x > (a + 1) / (a + b + 2)
+    u, p, q = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    with np.errstate(all="ignore"):
+        front = np.exp(scale + p * np.log(u) + q * np.log1p(-u)) / p
+        value, c, d = np.ones(len(x)), np.ones(len(x)), 1 / _off_zero(1 - (p + q) * u / (p + 1))
+        value = d.copy()
+        for m in range(1, 100_000):
+            for factor in (m * (q - m) / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) / ((p + 2 * m) * (p + 2 * m + 1))):
+                d = 1 / _off_zero(1 + factor * u * d)
+                c = _off_zero(1 + factor * u / c)
+                value = value * c * d
+            if (np.abs(c * d - 1) < 1e-14).all():
+                break
+    part = np.where(u > 0, front * value, 0.0)
+    return np.where(swap, 1 - part, part)
+
+
+def _off_zero(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 1e-300, 1e-300, x)
+
+
 def day(text: Column) -> Column:
     """The date that the first ten characters spell, or null."""
     return F.when(F.regexp_like(F.substring(text, 1, 10), F.lit("^\\d{4}-\\d{2}-\\d{2}$")), F.substring(text, 1, 10).try_cast("date"))

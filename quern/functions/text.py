@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Patterns. Java's classes are ASCII unless (?U) is given.
 TOKEN = "[A-Za-z0-9_]+|[\u4e00-\u9fff]"
@@ -57,7 +57,21 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def normalize_text(text: Column) -> Column:
     """Composed, with line feeds alone, no zero-width characters, single spaces, trimmed lines, one blank line at most."""
-    t = F.regexp_replace(nfkc(text), "\r\n?", "\n")
+    return _tidy(nfkc(text))
+
+
+@pandas_udf(ArrayType(StringType()))
+def nfkc_all(texts: pd.Series) -> pd.Series:
+    """Compatibility composition of an array's texts; a Python function cannot stand inside transform."""
+    return texts.map(lambda ts: ts if ts is None else [t if t is None else unicodedata.normalize("NFKC", t) for t in ts])
+
+
+def normalize_all(texts: Column) -> Column:
+    return F.transform(nfkc_all(texts), _tidy)
+
+
+def _tidy(text: Column) -> Column:
+    t = F.regexp_replace(text, "\r\n?", "\n")
     t = F.regexp_replace(t, ZERO_WIDTH, "")
     t = F.regexp_replace(t, "(?U)[^\\S\r\n]+", " ")
     t = F.array_join(F.transform(F.split(t, "\n", -1), lambda x: strip(x)), "\n")
@@ -123,9 +137,13 @@ def bigrams(text: Column) -> Column:
 
 def action_matched(action: Column, answer: Column, share: float = 0.55) -> Column:
     """Whether the answer holds the action, or at least `share` of its bigrams."""
-    wanted = bigrams(action)
-    held = F.size(F.array_intersect(wanted, bigrams(answer))) / F.greatest(F.size(wanted), F.lit(1))
-    return F.contains(compact(answer), compact(action)) | ((F.size(wanted) > 0) & (held >= share))
+    return prepared_match(compact(action), bigrams(action), compact(answer), bigrams(answer), share)
+
+
+def prepared_match(action: Column, wanted: Column, answer: Column, held: Column, share: float = 0.55) -> Column:
+    """action_matched over compact texts and their bigrams, which a join of many pairs makes once for each row."""
+    part = F.size(F.array_intersect(wanted, held)) / F.greatest(F.size(wanted), F.lit(1))
+    return F.contains(answer, action) | ((F.size(wanted) > 0) & (part >= share))
 
 
 def positive_instruction(action: Column, answer: Column, back: int = 8) -> Column:

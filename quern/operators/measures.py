@@ -95,7 +95,7 @@ def set_agreement(a: Column, b: Column) -> dict[str, Column]:
     return {"exact": (inside == union).cast("int"), "iou": F.coalesce(F.try_divide(inside, union), F.lit(1.0)), "dice": F.coalesce(F.try_divide(2 * inside, both), F.lit(1.0))}
 
 
-def bootstrap_interval(df: DataFrame, group: str, value: Column, rounds: int = 200, seed: int = 20260821, level: float = 0.95) -> DataFrame:
+def bootstrap_interval(df: DataFrame, group: str, value: Column, rounds: int = 2000, seed: int = 20260821, level: float = 0.95) -> DataFrame:
     """(mean, low, high): the mean and its interval over resampled groups.
 
     A group is drawn in a round as often as a Poisson variable of mean 1 says, taken from a hash of both; so

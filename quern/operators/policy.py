@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.numbers import sigmoid, wilson_upper
+from quern.functions.numbers import binomial_upper, sigmoid, wilson_upper
 
 #: Configurations that can be chosen, the one to fall back to, and risk offsets of the simple predictor.
 CONFIGURATIONS, FALLBACK = ("C0", "C1", "C2"), "C3"
 OFFSETS = {"C0": 0.18, "C1": 0.02, "C2": -0.04}
+#: Upper bounds of a failure rate: Wilson's approximation in the JVM, or the exact one.
+BOUNDS = {"wilson": wilson_upper, "clopper-pearson": binomial_upper}
 HEADS = ("trigger", "miss", "quality_failure", "combined_risk", "severe_failure")
 
 
@@ -99,20 +101,41 @@ def logistic_score(features: Column) -> Column:
     return F.coalesce(sigmoid(logit), F.lit(1.0))
 
 
-def calibrated(scores: DataFrame, by: list[str], alpha: float, delta: float, score: str = "score", failed: str = "failed") -> DataFrame:
-    """The largest threshold of each group whose accepted rows' failure rate is below alpha by its upper bound; -1 if none is.
+def scored_runs(runs: DataFrame, models: DataFrame) -> DataFrame:
+    """Runs with risk_scores by head, the largest one as risk_score, and failure: runs that went well and have features and labels.
+
+    Runs have configuration, status, features and labels (a map by head); models one row for each head and configuration.
+    A head without a model for the configuration scores 1, and so does a run without any head.
+    """
+    ready = runs.where((F.col("status") == "ok") & F.col("features").isNotNull() & F.col("labels").isNotNull())
+    # as many rows as there are configurations, with a model for each of the few heads
+    own = models.groupBy("configuration").agg(F.map_from_entries(F.collect_list(F.struct("head", F.struct("intercept", "coefficients", "means", "scales")))).alias("_models"))
+    heads = models.agg(F.array_sort(F.collect_set("head")).alias("_heads"))
+
+    def risk(m: Column) -> Column:
+        z = F.zip_with(F.zip_with("features", m["means"], lambda x, a: x - a), m["scales"], lambda x, s: x / F.greatest(s, F.lit(1e-8)))
+        return F.coalesce(sigmoid(F.aggregate(F.zip_with(z, m["coefficients"], lambda x, w: x * w), m["intercept"], lambda a, x: a + x)), F.lit(1.0))
+
+    scored = ready.join(own, "configuration", "left").crossJoin(F.broadcast(heads))
+    scored = scored.withColumn("risk_scores", F.map_from_arrays("_heads", F.transform("_heads", lambda h: risk(F.try_element_at("_models", h)))))
+    failure = F.coalesce(F.try_element_at("labels", F.lit("combined_risk")), F.try_element_at("labels", F.lit("severe_failure")), F.lit(True))
+    return scored.withColumn("risk_score", F.coalesce(F.array_max(F.map_values("risk_scores")), F.lit(1.0))).withColumn("failure", failure).drop("_models", "_heads")
+
+
+def calibrated(scores: DataFrame, by: list[str], alpha: float, delta: float, score: str = "score", failed: str = "failed", bound: str = "wilson") -> DataFrame:
+    """The largest threshold of each group whose accepted rows' failure rate is below alpha by its upper bound (wilson or clopper-pearson); -1 if none is.
 
     Rows are summed by score first, so the running sums go over distinct scores.
     """
     each = scores.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("f"))
     upto = Window.partitionBy(*by).orderBy(score).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = each.withColumn("accepted", F.sum("n").over(upto)).withColumn("failures", F.sum("f").over(upto)).withColumn("upper_risk", wilson_upper(F.col("failures"), F.col("accepted"), delta))
+    sums = each.withColumn("accepted", F.sum("n").over(upto)).withColumn("failures", F.sum("f").over(upto)).withColumn("upper_risk", BOUNDS[bound](F.col("failures"), F.col("accepted"), delta))
     fits = F.when(F.col("upper_risk") <= alpha, F.struct(F.col(score).alias("threshold"), "accepted", "failures", "upper_risk"))
     best = sums.groupBy(*by).agg(F.max(fits).alias("b"), F.sum("n").alias("total"))
     return best.select(
         *by, F.coalesce("b.threshold", F.lit(-1.0)).alias("threshold"), F.coalesce("b.accepted", F.lit(0)).alias("accepted"), F.coalesce("b.failures", F.lit(0)).alias("failures"),
         F.coalesce(F.try_divide("b.failures", "b.accepted"), F.lit(0.0)).alias("empirical_risk"), F.coalesce("b.upper_risk", F.lit(1.0)).alias("upper_risk"),
-        F.coalesce(F.col("b.accepted") / F.col("total"), F.lit(0.0)).alias("coverage"), F.when(F.col("b").isNull(), F.lit("no-feasible-threshold")).otherwise(F.lit("wilson")).alias("bound_method"),
+        F.coalesce(F.col("b.accepted") / F.col("total"), F.lit(0.0)).alias("coverage"), F.when(F.col("b").isNull(), F.lit("no-feasible-threshold")).otherwise(F.lit(bound)).alias("bound_method"),
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import REPEATED, SHORT_CUES, hash_fraction, normalize_text, redact, text_variant
+from quern.functions.text import REPEATED, SHORT_CUES, hash_fraction, normalize_all, redact, text_variant
 
 # Required columns, those that only annotated data may have, and those that inference data may have.
 REQUIRED = ("query_id", "text", "disaster_type", "query_type", "risk_level", "language", "should_fallback", "source_group_id")
@@ -45,7 +46,7 @@ def text_reasons(text: Column, risk: Column, fallback: Column, least: int = 6, m
 
 def string_list(values: Column) -> Column:
     """Normalised, non-empty, distinct, in order."""
-    return F.array_distinct(F.filter(F.transform(values, lambda x: normalize_text(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(normalize_all(values), lambda x: x != ""))
 
 
 def fingerprint(columns: tuple[str, ...] = FINGERPRINT) -> Column:
@@ -162,3 +163,40 @@ def query_errors(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
         return found
     lost = missing_references(df, "query_id", "gold_evidence_ids", known, "evidence_id")
     return found.unionByName(lost.select("query_id", F.concat(F.lit("missing evidence "), "reference").alias("error")))
+
+
+def capped_round_robin(df: DataFrame, kind: str, group: str, canonical: str, key: str, quotas: dict[str, int], cap: int, seed: int = 42) -> DataFrame:
+    """round_robin over the kinds in the order of their quotas, where at most `cap` rows of a canonical id are taken in all; an error if a quota cannot be met.
+
+    Which rows the cap refuses depends on all choices before, so one task makes them; but few rows can matter. Of a kind,
+    group and canonical id only the first `cap` rows, and then, as at most sum(quotas) / cap canonical ids ever fill up and
+    refuse `cap` rows each, of a kind and group only the first quota + sum(quotas).
+    """
+    rank = stable_rank(seed, F.concat_ws(":", F.col(group).cast("string"), F.col(key).cast("string")))
+    rows = df.select(*[F.col(c).alias(a) for c, a in ((kind, "kind"), (group, "grp"), (canonical, "canonical"), (key, "key"))], rank.alias("rank")).where(F.col("kind").isin(*quotas))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("kind", "grp", "canonical").orderBy("rank", "key"))).where(F.col("n") <= cap)
+    total, most = sum(quotas.values()), F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("kind", "grp").orderBy("rank", "key"))).where(F.col("n") <= most[F.col("kind")] + total)
+
+    def choose(pdf):
+        taken, used = [], {}
+        for name, quota in quotas.items():
+            own = pdf[pdf["kind"] == name].sort_values(["grp", "n"])
+            queues = [iter(list(zip(g["key"], g["canonical"], strict=True))) for _, g in own.groupby("grp", sort=True)]
+            left = quota
+            while left and queues:
+                still = []
+                for queue in queues:
+                    found = next((x for x in queue if used.get(x[1], 0) < cap), None) if left else None
+                    if found:
+                        used[found[1]] = used.get(found[1], 0) + 1
+                        taken.append(found[0])
+                        left -= 1
+                        still.append(queue)
+                queues = still
+            if left:
+                raise ValueError(f"cannot take {quota} of {name} with at most {cap} of a canonical id")
+        return pd.DataFrame({"key": taken})
+
+    kept = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, f"key {df.schema[key].dataType.simpleString()}")
+    return df.join(kept.withColumnRenamed("key", key), key, "left_semi")

@@ -8,6 +8,7 @@ additions cannot change a result.
 
 from __future__ import annotations
 
+from collections import Counter
 from hashlib import blake2b
 
 import numpy as np
@@ -37,20 +38,31 @@ def _with_fill(matched: DataFrame, queries: DataFrame, corpus: DataFrame, top_k:
     return matched.select("query_id", "evidence_id", "score").unionByName(zero).groupBy("query_id", "evidence_id").agg(F.max("score").alias("score"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, evidence_id, score, rank). Repeated query terms count repeatedly; documents without a term score 0."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+def lexical_index(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(term, evidence_id, length, tf) of the queries' terms, from one scan of the texts, written once.
+
+    Every document has a row for the empty term besides, which no query asks for: its length counts even if nothing in it matches.
+    """
+    terms = queries.select(F.explode(tokens(F.col("text"))).alias("term")).unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     listed = corpus.select("evidence_id", tokens(F.col("text")).alias("terms"))
-    stats = listed.agg(F.count("*").cast("double").alias("docs"), F.greatest(F.avg(F.size("terms")), F.lit(1.0)).alias("mean"))
-    # postings of the queries' terms alone; terms repeat in a document, so they are summed before the shuffle
-    hits = listed.select("evidence_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    # written once, as document frequencies and weights both need them; texts are not read again
-    postings = stored(hits.groupBy("term", "evidence_id", "length").agg(F.count("*").alias("tf")), "postings")
+    hits = listed.select("evidence_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).join(terms, "term", "left_semi")
+    return stored(hits.groupBy("term", "evidence_id", "length").agg(F.count("*").alias("tf")), "postings")
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, evidence_id, score, rank). Repeated query terms count repeatedly; documents without a term score 0.
+
+    Lists over the same corpus and queries may share a lexical_index.
+    """
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    index = lexical_index(corpus, queries) if index is None else index
+    stats = index.where("term = ''").agg(F.count("*").cast("double").alias("docs"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean"))
+    postings = index.where("term <> ''")
     often = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    terms = asked.join(often, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "mean", idf.alias("idf"))
-    matched = postings.join(terms, "term").groupBy("query_id", "evidence_id").agg(F.sum(weight).alias("score"))
+    weighted = asked.join(often, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "mean", idf.alias("idf"))
+    matched = postings.join(weighted, "term").groupBy("query_id", "evidence_id").agg(F.sum(weight).alias("score"))
     return ranked(_with_fill(matched, queries, corpus, top_k), top_k)
 
 
@@ -59,12 +71,21 @@ def hashing_encoder(dimensions: int = 384):
 
     @pandas_udf("array<double>")
     def encode(text: pd.Series, words: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, int]] = {}
+
+        def place(f: str) -> tuple[int, int]:
+            # a batch's distinct features are hashed once
+            if f not in known:
+                d = blake2b(f.encode(), digest_size=8).digest()
+                known[f] = (int.from_bytes(d[:4], "little") % dimensions, 1 if d[4] & 1 else -1)
+            return known[f]
+
         def one(t: str, own) -> list[float]:
             small = "".join((t or "").lower().split())
             v = np.zeros(dimensions)
-            for f in [*own, *(small[i : i + 2] for i in range(len(small) - 1))]:
-                d = blake2b(f.encode(), digest_size=8).digest()
-                v[int.from_bytes(d[:4], "little") % dimensions] += 1 if d[4] & 1 else -1
+            for f, n in Counter([*own, *map("".join, zip(small, small[1:], strict=False))]).items():
+                at, sign = place(f)
+                v[at] += sign * n
             size = np.linalg.norm(v)
             return (v / size if size else v).tolist()
 
@@ -157,4 +178,4 @@ def conflicts(evidence: DataFrame, least: float = 0.45) -> DataFrame:
     return found.select("query_id", "left_evidence_id", "right_evidence_id", "left_clause", "right_clause", F.round("share", 4).alias("token_jaccard"), F.lit("candidate_requires_review").alias("status"))
 
 
-__all__ = ["bm25", "compact", "conflicts", "dense", "fused", "hashing_encoder", "hybrid", "merged", "ranked", "rejection", "reranked", "second_step"]
+__all__ = ["bm25", "compact", "conflicts", "dense", "fused", "hashing_encoder", "hybrid", "lexical_index", "merged", "ranked", "rejection", "reranked", "second_step"]

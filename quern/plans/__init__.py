@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import audits, flows, measures, policy, records, retrieval
+from quern.plans import audits, flows, measures, policy, preprocess, records, retrieval
 
-MODULES = (retrieval, records, measures, policy, flows, audits)
+MODULES = (retrieval, records, measures, policy, flows, audits, preprocess)
 
 
 def queries() -> dict:

@@ -214,6 +214,5 @@ def energy_forest(spark, sf_dir):
     names = ["l_quantity", "l_discount", "l_tax"]
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *names, "l_extendedprice")
     assemble, forest = P.energy_forest(rows, names, "l_extendedprice")
-    forest.setNumTrees(20).setMaxDepth(4)
     ready = assemble.transform(rows)
     return forest.fit(ready).transform(ready).select("l_orderkey", "l_linenumber", F.round(F.greatest("prediction", F.lit(0.0)), 3).alias("energy"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import records as C
 from quern.plans.retrieval import TOKENS, table
+from quern.sources.files import stored
 
 QUERIES, SQL = {}, {}
 
@@ -171,28 +172,18 @@ def round_robin_quota(spark, sf_dir):
     return C.round_robin(c, "c_mktsegment", "c_nationkey", "c_custkey", {"BUILDING": 40, "MACHINERY": 25}).select("c_custkey", "c_mktsegment", "place")
 
 
-@query(
-    """WITH b AS (SELECT item_id, list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, i, 2))) AS grams, t FROM (SELECT item_id, regexp_replace(substr(text, 1, 60), '\\s+', '', 'g') AS t FROM benchmark)),
-c AS (SELECT conv_id, turn, list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, i, 2))) AS grams, t FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations WHERE role = 'user'))
-SELECT item_id, CAST(count(*) AS BIGINT) AS matched FROM b, c WHERE contains(c.t, b.t) OR len(list_intersect(b.grams, c.grams)) / len(b.grams) >= 0.55 GROUP BY ALL"""
-)
-def bigram_match(spark, sf_dir):
-    """In how many user turns an item's opening is found, by text or by its character pairs."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("action"))
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("text").alias("answer"))
-    return c.crossJoin(F.broadcast(b)).where(T.action_matched(F.col("action"), F.col("answer"))).groupBy("item_id").agg(F.count("*").alias("matched"))
-
-
 @query(
     """WITH b AS (SELECT item_id, list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, i, 2))) AS grams, t FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark)),
 c AS (SELECT conv_id, turn, list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, i, 2))) AS grams, t FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations WHERE role = 'user'))
 SELECT item_id, CAST(count(*) AS BIGINT) AS matched FROM b, c WHERE contains(c.t, b.t) OR len(list_intersect(b.grams, c.grams)) / len(b.grams) >= 0.55 GROUP BY ALL"""
 )
-def bigram_match_whole(spark, sf_dir):
+def bigram_match(spark, sf_dir):
     """In how many user turns a whole item is found, by text or by its character pairs."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("action"))
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("text").alias("answer"))
-    return c.crossJoin(F.broadcast(b)).where(T.action_matched(F.col("action"), F.col("answer"))).groupBy("item_id").agg(F.count("*").alias("matched"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.compact(F.col("text")).alias("action"), T.bigrams(F.col("text")).alias("wanted"))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(T.compact(F.col("text")).alias("answer"), T.bigrams(F.col("text")).alias("held"))
+    # the stated set of items meets all turns; both sides are written with their bigrams, so that no pair makes them again
+    pairs = stored(c, "answers").crossJoin(stored(b, "actions"))
+    return pairs.where(T.prepared_match(*map(F.col, ("action", "wanted", "answer", "held")))).groupBy("item_id").agg(F.count("*").alias("matched"))
 
 
 @query("SELECT doc_id, md5(concat('42:', source)) AS digest, substr(sha256(concat('key:', doc_id)), 1, 20) AS blind_id FROM documents")

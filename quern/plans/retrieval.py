@@ -63,7 +63,8 @@ SELECT query_id, evidence_id, round(score, 8) AS score, CAST(row_number() OVER (
 def rank_fusion(spark, sf_dir):
     """Two lexical lists, with and without length normalisation, fused by rank."""
     c, q = corpus(spark, sf_dir), asked(spark, sf_dir)
-    return R.fused([(R.bm25(c, q, 20), 1.0), (R.bm25(c, q, 20, b=0.0), 0.5)], 5).withColumn("score", F.round("score", 8)).select("query_id", "evidence_id", "score", "rank")
+    i = R.lexical_index(c, q)
+    return R.fused([(R.bm25(c, q, 20, index=i), 1.0), (R.bm25(c, q, 20, b=0.0, index=i), 0.5)], 5).withColumn("score", F.round("score", 8)).select("query_id", "evidence_id", "score", "rank")
 
 
 @query(
@@ -73,7 +74,8 @@ SELECT query_id, evidence_id, round(score, 6) AS score, CAST(row_number() OVER (
 )
 def merge_max_score(spark, sf_dir):
     c, q = corpus(spark, sf_dir), asked(spark, sf_dir)
-    return R.merged(R.bm25(c, q, 10), R.bm25(c, q, 10, b=0.0)).withColumn("score", F.round("score", 6)).select("query_id", "evidence_id", "score", "rank")
+    i = R.lexical_index(c, q)
+    return R.merged(R.bm25(c, q, 10, index=i), R.bm25(c, q, 10, b=0.0, index=i)).withColumn("score", F.round("score", 6)).select("query_id", "evidence_id", "score", "rank")
 
 
 @query(

@@ -24,11 +24,88 @@ def numbered(df: DataFrame, name: str = "row_number") -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(row_number, value): the objects of a file's non-blank lines; a line that is no object stops the job and is named."""
-    lines = numbered(spark.read.text(path).where(F.trim("value") != ""))
+    lines = numbered(spark.read.text(path)).where(F.trim("value") != "")
     kept = F.when(F.json_object_keys("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"{path}: row "), F.col("row_number").cast("string"), F.lit(" must be an object"))).cast("string"))
     return lines.select("row_number", kept.alias("value"))
 
 
+#: What inference rows may have besides their own fields, and text fields of a protocol that default to blank.
+INFERENCE_FIELDS = ("query_id", "text", "language", "source_group_id", "split", "jurisdiction", "as_of_date", "query_date", "target_population")
+PROTOCOL_TEXTS = (
+    "source_id", "title", "source_url", "jurisdiction", "target_population", "version", "effective_date", "expiry_date", "status_detail", "source_tier", "content_review_status", "license_status",
+    "redistribution_status", "file_sha256", "parent_source_id", "parent_file_sha256", "source_locator", "derivation_method", "derivation_rule_reason",
+)
+
+
+def _get(field: str, kind: str = "string") -> Column:
+    return F.try_variant_get(F.parse_json("value"), f"$.{field}", kind)
+
+
+def _trimmed(field: str, default: str | None = "") -> Column:
+    """A text without white space around it; the default where it is missing, or an error if there is none."""
+    text = F.regexp_replace(_get(field), "(?U)^\\s+|\\s+$", "")
+    return F.coalesce(text, F.raise_error(F.lit(f"{field} is missing")).cast("string") if default is None else F.lit(default)).alias(field)
+
+
+def _texts(field: str) -> Column:
+    return F.coalesce(_get(field, "array<string>"), F.array().cast("array<string>")).alias(field)
+
+
+def typed_protocols(rows: DataFrame) -> DataFrame:
+    """Protocol rows from JSON objects in `value`."""
+    level = F.coalesce(_get("authority_level", "int"), F.lit(0)).alias("authority_level")
+    return rows.select(*[_trimmed(c, None) for c in ("evidence_id", "text", "source_org")], *[_trimmed(c) for c in PROTOCOL_TEXTS], level, _texts("hazard_types"), _texts("applicability"), F.coalesce(_get("status"), F.lit("current")).alias("status"))
+
+
+def typed_queries(rows: DataFrame) -> DataFrame:
+    """Annotated queries from JSON objects in `value`; a risk level is a number or one of L0 to L3, other fields go to `metadata` as JSON."""
+    level = F.upper(F.trim(_get("risk_level")))
+    risk = F.when(level.isin("L0", "L1", "L2", "L3"), F.substring(level, 2, 1)).otherwise(level).cast("int").alias("risk_level")
+    lists = ("gold_evidence_ids", "required_actions", "prohibited_actions")
+    known = ("query_id", "text", "disaster_type", "query_type", "risk_level", "language", "should_fallback", *lists, "source_group_id", "split")
+    extra = F.to_json(F.map_filter(F.expr("cast(parse_json(value) as map<string, variant>)"), lambda k, _: ~k.isin(*known)))
+    return rows.select(*[_trimmed(c, None) for c in ("query_id", "text", "disaster_type", "query_type")], risk, _trimmed("language", "unknown"), F.coalesce(_get("should_fallback", "boolean"), F.lit(False)).alias("should_fallback"), *map(_texts, lists), _trimmed("source_group_id"), _trimmed("split"), extra.alias("metadata"))
+
+
+def typed_inference_queries(rows: DataFrame, gold: tuple[str, ...] = ("disaster_type", "query_type", "risk_level", "should_fallback", "gold_evidence_ids", "required_actions", "prohibited_actions")) -> DataFrame:
+    """Queries as inference may see them; a row with an annotated field, or one that is not allowed, stops the job and names it."""
+    keys = F.json_object_keys("value")
+    listed = lambda found: F.array_join(F.array_sort(found), ", ")
+    leaked, unknown = F.filter(keys, lambda k: k.isin(*gold)), F.filter(keys, lambda k: ~k.isin(*INFERENCE_FIELDS))
+    fault = F.when(F.size(leaked) > 0, F.concat(F.lit("inference query contains gold-only fields: "), listed(leaked))).when(F.size(unknown) > 0, F.concat(F.lit("inference query contains fields that are not allowed: "), listed(unknown)))
+    sure = rows.withColumn("value", F.when(fault.isNull(), F.col("value")).otherwise(F.raise_error(fault).cast("string")))
+    return sure.select(_trimmed("query_id", None), _trimmed("text", None), _trimmed("language", "unknown"), *[_trimmed(c) for c in ("source_group_id", "split")], *[_get(c).alias(c) for c in INFERENCE_FIELDS[5:]])
+
+
+def configured_data(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
+    """Protocols and queries of a configuration; its role says whether queries are annotated or for inference."""
+    data = config.get("data", {})
+    loaders = {"annotated": typed_queries, "inference": typed_inference_queries}
+    role = str(data.get("query_role", "annotated"))
+    if role not in loaders:
+        raise ValueError("data.query_role must be 'annotated' or 'inference'")
+    read = lambda name: read_jsonl(spark, str(project_path(config, data[name])))
+    return typed_protocols(read("protocols")), loaders[role](read("queries"))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of a folder's text and Markdown files, each as a whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike("\\.(txt|md)$"))
+    return files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+
+
+def write_preprocessed(result: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Writes records, quarantine, events and report as JSON lines below a folder, and returns the manifests of the files; an empty output has none."""
+    spark, parts = next(iter(result.values())).sparkSession, []
+    for name, df in result.items():
+        write_jsonl(df, f"{folder}/{name}")
+        parts.append(manifest(spark, f"{folder}/{name}").withColumn("output", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("output", "file", "length", "sha256")
+
+
 def json_type(value: Column, path: str) -> Column:
     """The type that a JSON value has by itself, such as BIGINT, DECIMAL(1,0), BOOLEAN or STRING; VOID if it is missing."""
     return F.coalesce(F.schema_of_variant(F.variant_get(F.parse_json(value), path, "variant")), F.lit("VOID"))
@@ -79,7 +156,7 @@ def marked_text(html: Column, start: str | None = None, end: str | None = None)
     t = F.regexp_replace(F.regexp_replace(t, "(?is)<(br|/p|/div|/li|/h[1-6]|/tr)\\b[^>]*>", "\n"), "(?s)<[^>]*>", "")
     t = unescaped(t)
     if start:
-        t = F.when(F.contains(t, F.lit(start)), F.concat(F.lit(start), F.substring_index(t, start, -1))).otherwise(t)
+        t = F.when(F.contains(t, F.lit(start)), F.substring(t, F.instr(t, F.lit(start)), F.length(t))).otherwise(t)
     if end:
         t = F.substring_index(t, end, 1)
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, "(?U)\\s+", " "))), lambda x: x != "")
