@@ -7,7 +7,9 @@ Newton's method, whose sums Spark takes over all documents. Rates then become wh
 stands for its place between two whole numbers, and one shift for each source makes the copies' words meet the target.
 
 Null or empty texts have size 0 and are taken 0 or 1 times like others, for 0 words. A null source is one source, the
-last one. Rows with the same key are rounded alike. An empty table gives an empty result.
+last one. Rows that share a key, null keys too, have places of their own, by their turn among equal rows; so a source of
+one repeated key meets its target like any other, and reruns take as many copies of equal rows. Sums, not
+the search for the tilt, decide the last copies: a source whose search has not ended after STEPS still meets its target. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,12 +84,15 @@ def tilted(hist: DataFrame, targets: DataFrame, most: float) -> DataFrame:
 
 
 def _rate(most: float) -> Column:
-    return F.when(F.col("tilt").isNull(), F.least(F.lit(float(most)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))).otherwise(float(most) / (1 + F.exp(-F.col("tilt") * F.try_divide(F.col("size"), F.col("mean")))))
+    """Rounded, as are the gaps of the rounding shifts, so that the order of a sum's additions decides nothing."""
+    tilted_rate = float(most) / (1 + F.exp(-F.col("tilt") * F.try_divide(F.col("size"), F.col("mean"))))
+    even = F.least(F.lit(float(most)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))
+    return F.round(F.when(F.col("tilt").isNull(), even).otherwise(tilted_rate), 12)
 
 
 def _place() -> Column:
-    """Where between -1 and 1 the shift must stand for one more copy, as a whole number of places."""
-    u = F.shiftrightunsigned(F.xxhash64("key"), 11) * F.lit(2.0**-53)
+    """Where between -1 and 1 the shift must stand for one more copy, as a whole number of places. The hash passes over a null `at`."""
+    u = F.shiftrightunsigned(F.xxhash64("key", "at"), 11) * F.lit(2.0**-53)
     return F.floor((u - (F.col("rate") - F.floor("rate")) + 1) * (PLACES / 2)).cast("long")
 
 
@@ -96,9 +101,37 @@ def _level() -> Column:
     return sum(((F.col("size") > F.col("mean") * m).cast("int") for m in LEVELS), F.lit(0))
 
 
+def _turns(sized: DataFrame) -> DataFrame | None:
+    """(_at, at) of the rows whose key repeats: their number among rows of equal key, source and size; None if no key repeats.
+
+    Numbers are given within the parts that rows were written in, behind the counts of earlier parts, so that the
+    rows of one key do not meet in one task.
+    """
+    often = stored(sized.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key")), "often")
+    if often.isEmpty():
+        return None
+    rows = sized.join(often, F.col("key").eqNullSafe(F.col("_key")), "left_semi").select("_at", "_part", F.xxhash64("key", "src", "src_null", "size").alias("g"))
+    counts = rows.groupBy("g", "_part").agg(F.count("*").alias("n"))
+    ahead = counts.select("g", "_part", (F.sum("n").over(Window.partitionBy("g").orderBy("_part")) - F.col("n")).alias("ahead"))
+    turn = F.row_number().over(Window.partitionBy("g", "_part").orderBy("_at"))
+    return stored(rows.withColumn("turn", turn).join(ahead, ["g", "_part"]).select("_at", (F.col("ahead") + F.col("turn")).alias("at")), "turns")
+
+
+def _sized(key: str, text: str, source: str) -> list[Column]:
+    place = [F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part")]
+    return [F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("src_null"), word_count(F.col(text)).alias("size"), *place]
+
+
+def _with_turns(rows: DataFrame, turns: DataFrame | None) -> DataFrame:
+    found = rows.withColumn("at", F.lit(None).cast("long")) if turns is None else rows.join(turns, "_at", "left")
+    return found.drop("_at", "_part")
+
+
 def mixing_plan(docs: DataFrame, weights: list[float], share: float, most: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, size, source_size, target, rate, copies) of each row; copies are 0 to `most`."""
-    sized = stored(docs.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("src_null"), word_count(F.col(text)).alias("size")), "sizes")
+    sized = stored(docs.select(*_sized(key, text, source)), "sizes")
+    turns = _turns(sized)
+    sized = _with_turns(sized, turns) if turns is None else stored(_with_turns(sized, turns), "sizes")
     params = mixing_params(sized, weights, share, most)
     return with_copies(sized, params, most).select(F.col("key").alias(key), F.when(~F.col("src_null"), F.col("src")).alias(source), "size", "source_size", "target", "rate", "copies")
 
@@ -129,7 +162,7 @@ def mixing_params(sized: DataFrame, weights: list[float], share: float, most: in
         found = found.join(own, same, "left").withColumn("asked_so_far", F.col("asked_so_far") + F.coalesce("asked", F.lit(0.0)))
         goal = (F.col("target") if level == 0 else F.col("asked_so_far")) - F.col("taken") - F.col("sure")
         here = running.where(F.col("level") == level).select(*same, "place", "more").join(found.select(*same, goal.alias("goal")), same)
-        best = here.groupBy(*same).agg(F.min(F.struct(F.abs(F.col("more") - F.col("goal")).alias("gap"), "place", "more")).alias("best"), F.abs(F.first("goal")).alias("none"))
+        best = here.groupBy(*same).agg(F.min(F.struct(F.round(F.abs(F.col("more") - F.col("goal")), 6).alias("gap"), "place", "more")).alias("best"), F.round(F.abs(F.first("goal")), 6).alias("none"))
         best = best.select(*same, F.when(F.col("none") > F.col("best.gap"), F.col("best.place")).otherwise(-1).alias(f"shift{level}"), F.when(F.col("none") > F.col("best.gap"), F.col("best.more")).otherwise(0).alias("more"))
         found = found.join(best, same, "left").withColumn("taken", F.col("taken") + F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0))).drop("sure", "asked", "more")
         found = stored(found, "shifts")
@@ -146,7 +179,14 @@ def with_copies(sized: DataFrame, params: DataFrame, most: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: list[float], share: float, most: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: the rows of docs, each as often as its copies say."""
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("src_null"), word_count(F.col(text)).alias("size"), columns.alias("row"))
-    params = mixing_params(stored(rows.drop("row"), "sizes"), weights, share, most)
+    rows = docs.select(*_sized(key, text, source), columns.alias("row"))
+    sized = stored(rows.drop("row"), "sizes")
+    if (turns := _turns(sized)) is not None:
+        # numbers stand for rows as they were written, so texts are written with them
+        rows = stored(rows, "rows")
+        turns = _turns(rows.drop("row"))
+        sized = rows.drop("row")
+    rows, sized = _with_turns(rows, turns), _with_turns(sized, turns)
+    params = mixing_params(sized, weights, share, most)
     copied = with_copies(rows, params, most).where("copies > 0")
     return copied.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

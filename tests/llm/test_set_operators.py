@@ -182,6 +182,21 @@ def test_mixing_meets_targets(spark):
     assert copied.columns == df.columns and copied.count() == sum(r.copies for r in got)
 
 
+def test_mixing_of_repeated_keys(spark):
+    """Rows of one key, or of none, are rounded each by itself; equal rows are taken as often in every run."""
+    rows = [(7, "w " * 10, "a")] * 100 + [(None, "w " * 10, "b")] * 90 + [(k % 5, "w " * (1 + k % 4), "c") for k in range(300)] + [(10_000 + k, "w " * 10, "d") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    runs = [mixing.mixing_plan(x, [3, 1, 2], 1.5, 2).collect() for x in (df, df.repartition(5))]
+    taken, target = {}, {}
+    for r in runs[0]:
+        taken[r.source] = taken.get(r.source, 0) + r["size"] * r.copies
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target) and len(runs[0]) == len(rows)
+    one, two = (sorted((str(r.doc_id), r.source, r["size"], r.copies) for r in run) for run in runs)
+    assert one == two
+    assert mixing.mixed_documents(df, [3, 1, 2], 1.5, 2).count() == sum(r.copies for r in runs[0])
+
+
 def test_mixing_solves_the_dual(spark):
     """Rates tilt by size: rate / (most - rate) is an exponential of it, and words meet the target."""
     rows = [(i, "w " * (1 + i % 50), s) for i, s in enumerate("aab" * 200)]
