@@ -9,6 +9,7 @@ additions cannot change a result.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -19,9 +20,11 @@ from pyspark.sql.functions import pandas_udf
 
 from quern.functions.numbers import day, dot, jurisdiction_applies
 from quern.functions.text import SECOND_STEP, clauses, compact, tokens
-from quern.sources.files import stored
+from quern.sources.files import numbered, stored
 
 DIGITS = 9
+#: Bytes of query vectors that are broadcast at a time.
+BLOCK_BYTES = 64 << 20
 
 
 def ranked(scored: DataFrame, top_k: int) -> DataFrame:
@@ -94,10 +97,26 @@ def hashing_encoder(dimensions: int = 384):
     return lambda column: encode(column, tokens(column))
 
 
-def dense(corpus: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
-    """(query_id, evidence_id, score, rank) by inner product; both sides have (id, vector). The stated query set meets all rows."""
-    scored = corpus.select("evidence_id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("asked"))))
-    return ranked(scored.select("query_id", "evidence_id", dot(F.col("vector"), F.col("asked")).alias("score")), top_k)
+def dense(corpus: DataFrame, queries: DataFrame, top_k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, evidence_id, score, rank) by inner product; both sides have (id, vector). The stated query set meets all rows.
+
+    Queries are measured first and go out in blocks of at most `block_bytes`, each of which reads the corpus once. A query whose
+    own row is larger is a block by itself.
+    """
+    asked = queries.select("query_id", F.col("vector").alias("asked"))
+    # numbers of a vector, its key, and what a row costs besides
+    size = 8 * F.greatest(F.size("asked"), F.lit(0)) + F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0)) + 64
+    held = asked.agg(F.count("*").alias("rows"), F.coalesce(F.max(size), F.lit(1)).alias("longest")).first()
+    per = max(1, block_bytes // held.longest)
+    blocks = [asked]
+    if held.rows > per:
+        asked = stored(numbered(asked), "asked")
+        edges = range(0, held.rows, per)
+        blocks = [asked.where((F.col("row_number") > at) & (F.col("row_number") <= at + per)).drop("row_number") for at in edges]
+    score = dot(F.col("vector"), F.col("asked")).alias("score")
+    # each block keeps its own first rows, so that the blocks' rows meet as few
+    first = [ranked(corpus.select("evidence_id", "vector").crossJoin(F.broadcast(b)).select("query_id", "evidence_id", score), top_k) for b in blocks]
+    return first[0] if len(first) == 1 else ranked(reduce(DataFrame.unionByName, first), top_k)
 
 
 def fused(lists: list[tuple[DataFrame, float]], top_k: int, rrf_k: int = 60) -> DataFrame:

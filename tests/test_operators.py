@@ -29,6 +29,22 @@ def test_fusion_and_merge(spark):
     assert [(r.evidence_id, r.score) for r in R.merged(a, b).orderBy("rank").collect()] == [("x", 9.0), ("y", 1.0)]
 
 
+def test_dense_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"e{i:02}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(30)]
+    asks = [(f"q{i}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(5)]
+    corpus = spark.createDataFrame(rows, "evidence_id string, vector array<double>")
+    queries = spark.createDataFrame(asks, "query_id string, vector array<double>")
+    plain = set()
+    for q, v in asks:
+        best = sorted((-float(np.dot(v, x)), e) for e, x in rows)[:3]
+        plain |= {(q, e, -s, k) for k, (s, e) in enumerate(best, 1)}
+    for size in (1, 300, R.BLOCK_BYTES):
+        got = R.dense(corpus, queries, 3, size)
+        assert got.columns == ["query_id", "evidence_id", "score", "rank"] and {tuple(r) for r in got.collect()} == plain
+    assert R.dense(corpus, queries.limit(0), 3).count() == 0 and R.dense(corpus.limit(0), queries, 3, 1).count() == 0
+
+
 def test_gates_count_the_first_reason(spark):
     rows = [("e1", "Draft v2", "CN", "", "", "", []), ("e2", "superseded", "US", "2030-01-01", "", "", []), ("e3", "current", "CN", "2030-01-01", "", "", []), ("e4", "current", "", "bad", "2020-01-01", "x", []), ("e5", "current", "CN", "2024-01-01", "2024-01-01", "", ["flood"]), ("e6", "current", "CN", "", "", "children", ["all_hazards"])]
     df = spark.createDataFrame(rows, "evidence_id string, status string, jurisdiction string, effective_date string, expiry_date string, target_population string, hazard_types array<string>")
