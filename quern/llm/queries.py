@@ -18,6 +18,7 @@ from quern.llm.token_store import document_checksums, write_store
 from quern.llm.tokens import default_path
 from quern.llm.toxicity import toxicity
 from quern.llm.url_rules import url_verdicts
+from quern.llm.whitening import whitened
 from quern.llm.word_bpe import word_bpe_digests
 
 #: Documents with more tokens are over the limit.
@@ -75,6 +76,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"), most=8).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
