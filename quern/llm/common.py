@@ -61,13 +61,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting that shuffle files go when the write that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """The rows of df, written as Parquet to a scratch folder and read from there.
 
-    It cuts the lineage, so that a lost executor costs the tasks of one step only.
+    It cuts the lineage, so that a lost executor costs the tasks of one step only. With `tidy`, the write's shuffle files are
+    deleted with its end, rather than when the driver's garbage is collected.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    if tidy:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

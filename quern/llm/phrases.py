@@ -171,22 +171,22 @@ def _levels(blocks: DataFrame, most_words: int, least: int) -> list[DataFrame]:
     once = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
     once = once.select((F.shiftleft("block", PLACE_BITS) + F.col("place")).alias("ref"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("m"))
     first = F.col("ref") == F.col("id")  # the spelling is needed once
-    names = stored(_named(once, ["lang", "word"], least).select("ref", "id", F.when(first, F.struct("lang", "word", "f")).alias("own")), "names")
+    names = stored(_named(once, ["lang", "word"], least).select("ref", "id", F.when(first, F.struct("lang", "word", "f")).alias("own")), "names", tidy=True)
     none = F.array().cast("array<bigint>")
     found = [names.where("own is not null").select("own.lang", "id", "own.f", F.col("own.word").alias("phrase"), F.col("own.word").alias("last"), none.alias("prefixes"), none.alias("suffixes"))]
     coded = None
     for k in range(2, most_words + 1):
-        following = stored(_coded(blocks.select("block", "lang", "seq") if coded is None else coded, names.select("ref", "id"), further=coded is not None), "coded")
+        following = stored(_coded(blocks.select("block", "lang", "seq") if coded is None else coded, names.select("ref", "id"), further=coded is not None), "coded", tidy=True)
         if coded is not None:
             dropped(coded)
         coded = following
         pairs = _pairs(coded)
         if k == most_words:
-            counted = stored(pairs.groupBy("left", "right").agg(F.sum("m").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "counted")
+            counted = stored(pairs.groupBy("left", "right").agg(F.sum("m").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "counted", tidy=True)
         else:
-            names = stored(_named(pairs, ["left", "right"], least).select("ref", "id", F.when(first, F.struct("left", "right", "f")).alias("own")), "names")
+            names = stored(_named(pairs, ["left", "right"], least).select("ref", "id", F.when(first, F.struct("left", "right", "f")).alias("own")), "names", tidy=True)
             counted = names.where("own is not null").select("id", "own.*")
-        found.append(stored(_spelled(counted, found[-1]), "phrases"))
+        found.append(stored(_spelled(counted, found[-1]), "phrases", tidy=True))
     if coded is not None:
         dropped(coded)
     return found
