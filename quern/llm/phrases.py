@@ -38,6 +38,8 @@ GAP[[0x20, 0x09]] = True
 WAITING = 8 * PIECE
 #: An id is (task, block of the task, place in the block's list): bits of the latter two.
 BLOCK_BITS, PLACE_BITS = 16, 27
+#: Shares of a language's phrases that are ranked apart first.
+SHARES = 64
 
 
 def words_of(data: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -167,18 +169,17 @@ def _spelled(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
 
 
 def _levels(blocks: DataFrame, most_words: int, least: int) -> list[DataFrame]:
-    """The frequent phrases of 1, 2 and up to most_words words."""
+    """The frequent phrases of 2 and up to most_words words; the blocks are deleted on the way."""
     once = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
     once = once.select((F.shiftleft("block", PLACE_BITS) + F.col("place")).alias("ref"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("m"))
     first = F.col("ref") == F.col("id")  # the spelling is needed once
-    names = stored(_named(once, ["lang", "word"], least).select("ref", "id", F.when(first, F.struct("lang", "word", "f")).alias("own")), "names", tidy=True)
+    before = names = stored(_named(once, ["lang", "word"], least).select("ref", "id", F.when(first, F.struct("lang", "word", "f")).alias("own")), "names", tidy=True)
     none = F.array().cast("array<bigint>")
     found = [names.where("own is not null").select("own.lang", "id", "own.f", F.col("own.word").alias("phrase"), F.col("own.word").alias("last"), none.alias("prefixes"), none.alias("suffixes"))]
     coded = None
     for k in range(2, most_words + 1):
         following = stored(_coded(blocks.select("block", "lang", "seq") if coded is None else coded, names.select("ref", "id"), further=coded is not None), "coded", tidy=True)
-        if coded is not None:
-            dropped(coded)
+        dropped(blocks if coded is None else coded)
         coded = following
         pairs = _pairs(coded)
         if k == most_words:
@@ -187,9 +188,10 @@ def _levels(blocks: DataFrame, most_words: int, least: int) -> list[DataFrame]:
             names = stored(_named(pairs, ["left", "right"], least).select("ref", "id", F.when(first, F.struct("left", "right", "f")).alias("own")), "names", tidy=True)
             counted = names.where("own is not null").select("id", "own.*")
         found.append(stored(_spelled(counted, found[-1]), "phrases", tidy=True))
-    if coded is not None:
-        dropped(coded)
-    return found
+        dropped(before)
+        before = names
+    dropped(coded)
+    return found[1:]
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: int = 3, least: int = 10, covered: int = 50, top: int = 2000) -> DataFrame:
@@ -200,11 +202,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", most_w
     """
     small_batches(docs.sparkSession)
     blocks = stored(_blocks(docs, text, lang), "blocks")
+    totals = stored(blocks.groupBy("lang").agg(F.sum("total").alias("n")), "totals", tidy=True)
     levels = _levels(blocks, most_words, least)
     left = []
-    for k, phrases in enumerate(levels[1:], 1):
-        if k + 1 < len(levels):
-            longer = levels[k + 1]
+    for k, phrases in enumerate(levels, 1):
+        if k < len(levels):
+            longer = levels[k]
             holds = longer.select(F.col("left").alias("id"), "f").unionAll(longer.select("right", "f")).groupBy("id").agg(F.max("f").alias("held"))
             phrases = phrases.join(holds, "id", "left").where(F.coalesce(100 * F.col("held") < covered * F.col("f"), F.lit(True)))
         left.append(phrases.select("lang", "phrase", F.col("f").alias("a"), F.array_min(F.expr(CUTS)).alias("cut")))
@@ -212,7 +215,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", most_w
     for other in left[1:]:
         scored = scored.unionAll(other)
     scored = scored.select("lang", "phrase", "a", "cut.l", "cut.r", F.col("cut.score").cast("bigint").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    totals = blocks.groupBy("lang").agg(F.sum("total").alias("n"))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the first of each share of a language's phrases, before the language's meet in one task
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

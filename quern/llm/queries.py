@@ -11,6 +11,7 @@ from quern.llm.ann import nearest
 from quern.llm.common import scratch, table
 from quern.llm.html_text import extract_text
 from quern.llm.mixing import mixing_plan
+from quern.llm.near_dups import near_duplicates
 from quern.llm.ngram_join import ngram_components
 from quern.llm.phrases import collocations
 from quern.llm.quality import quality_votes
@@ -85,22 +86,27 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"), most=8).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, least=80, per=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-#: All pairs of documents that share a run of words, and the smallest document that links lead to.
-NGRAM_SQL = r"""
+def ngram_sql(words: int, least: int) -> str:
+    """All pairs of documents that share a run of words, and the smallest document that links lead to."""
+    return r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {words} THEN list_transform(generate_series(1, len(w) - {words} + 1), lambda i: array_to_string(w[i:i+{words}-1], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= {least} * (a.n + b.n - i)),
 b AS (SELECT x AS u, y AS v FROM e UNION ALL SELECT y, x FROM e),
 r(u, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.v, r.m FROM r JOIN b ON b.u = r.u)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT u, min(m) AS m FROM r GROUP BY u) c ON c.u = d.doc_id
-"""
+""".replace("{words}", str(words)).replace("{least}", str(least))
 
 #: All phrases of one to three words with their counts, their weakest cuts, and those that no longer one covers.
 PHRASE_SQL = r"""
@@ -124,4 +130,8 @@ SELECT k.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAS
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests hold the others against brute force."""
-    return {"op4_ngram_join": NGRAM_SQL, "op11_collocations": PHRASE_SQL}
+    return {
+        "op4_ngram_join": ngram_sql(4, 85),
+        "op11_collocations": PHRASE_SQL,
+        "op13_near_duplicates": f"SELECT *, doc_id = component_id AS kept FROM ({ngram_sql(2, 80)})",
+    }
