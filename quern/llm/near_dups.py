@@ -11,7 +11,8 @@ not higher than what pairs at the threshold exceed with a probability of ODD_MIS
 distribution. What goes on is compared on whole sets.
 
 No bucket is written out as pairs. First each member meets its bucket's smallest class, and what links becomes a
-component. Buckets whose other members are of more than one component then are searched as a whole: in blocks of bounded size the
+component; then the members of a bucket that are not of its most frequent component meet a class of that, another one in each
+bucket. Buckets that are still of more than one component are searched as a whole: in blocks of bounded size the
 sketches of different components are compared, and members with a promising partner go on, one row each, to blocks that compare
 their sets, and leave out what has become connected. So links that only join what is connected are not looked for, and no
 other pair of a bucket is left out, however large it is.
@@ -44,7 +45,9 @@ BAND_SHARE = 0.26
 #: Bits of a sketch.
 BITS = 1024
 #: Classes in one side of a block at most, and n-grams.
-BLOCK_CLASSES, BLOCK_GRAMS = 1024, 1 << 21
+BLOCK_CLASSES, BLOCK_GRAMS = 4096, 1 << 21
+#: Rows of a block's pairs that are compared together.
+STRIP = 256
 #: N-grams whose samples are taken together.
 CHUNK = 1 << 15
 #: Keys with more than this share of all rows are joined by broadcast; there are fewer of them than its inverse.
@@ -235,12 +238,16 @@ def _grouped(df: DataFrame, schema: str, make: Callable[[tuple, list[tuple], lis
 def _promising(left: list[tuple], right: list[tuple], rule: Rule, most: int) -> np.ndarray:
     """Whether each pair of two sides is of different components, of sizes that can link, and has sketches close enough."""
     roots, sizes = [[np.array([r[k] for r in side], np.int64) for side in (left, right)] for k in (1, 2)]
-    odd = np.zeros((len(left), len(right)), np.uint16)
     one, other = (np.stack([r[3] for r in side]).view(np.uint64) for side in (left, right))
-    for w in range(one.shape[1]):
-        odd += np.bitwise_count(one[:, w][:, None] ^ other[:, w][None, :])
-    small, large = np.minimum(sizes[0][:, None], sizes[1][None, :]), np.maximum(sizes[0][:, None], sizes[1][None, :])
-    return (roots[0][:, None] != roots[1][None, :]) & (rule.per * small >= rule.least * large) & (odd <= most)
+    fits = np.empty((len(left), len(right)), bool)
+    for at in range(0, len(left), STRIP):
+        own = slice(at, at + STRIP)
+        odd = np.zeros(fits[own].shape, np.uint16)
+        for w in range(one.shape[1]):
+            odd += np.bitwise_count(one[own, w][:, None] ^ other[:, w][None, :])
+        small, large = np.minimum(sizes[0][own, None], sizes[1][None, :]), np.maximum(sizes[0][own, None], sizes[1][None, :])
+        fits[own] = (roots[0][own, None] != roots[1][None, :]) & (rule.per * small >= rule.least * large) & (odd <= most)
+    return fits
 
 
 def _searched(rows: DataFrame, rule: Rule, plan: Sampling) -> DataFrame:
@@ -280,7 +287,8 @@ def _joined(rows: DataFrame, rule: Rule, plan: Sampling) -> DataFrame:
             return c
 
         found = []
-        for i, j in np.argwhere(_promising(left, other, rule, plan.most_odd)).tolist():
+        fits = _promising(left, other, rule, plan.most_odd)
+        for i, j in ((i, j) for i in range(len(left)) for j in np.flatnonzero(fits[i]).tolist()):
             a, b = top(left[i][1]), top(other[j][1])
             if a == b or (same and j < i):
                 continue
@@ -328,40 +336,62 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "n", "a", "b", "key", "m", "s.*"), "classes", tidy=True)
     slim, sketches = classes.select("cid", "n", "a", "b", "key", "m"), classes.select("cid", "n", "sketch")
 
-    # buckets of two classes or more, and each other member beside its bucket's smallest class
+    # buckets of two classes or more
     rows = classes.select("cid", "n", F.explode("bands").alias("band"))
-    shared = stored(rows.groupBy("band").agg(F.min("cid").alias("first"), F.count("*").alias("m")).where("m > 1").select("band", "first"), "shared", tidy=True)
-    members = stored(rows.join(shared, "band"), "members", tidy=True)
+    shared = rows.groupBy("band").agg(F.min("cid").alias("first"), F.count("*").alias("m")).where("m > 1").select("band", "first")
+    members = stored(rows.join(stored(shared, "shared", tidy=True), "band"), "members", tidy=True)
     one, other = sketches.toDF("x", "nx", "sx"), sketches.toDF("y", "ny", "sy")
-    pairs = members.where("cid <> first").select(F.col("first").alias("x"), F.col("cid").alias("y")).distinct().join(one, "x").join(other, "y")
     fits = (rule.per * F.least("nx", "ny") >= rule.least * F.greatest("nx", "ny")) & (differing("sx", "sy") <= plan.most_odd)
-    pairs = stored(pairs.where(fits).select("x", "y"), "pairs", tidy=True)
-    wanted = slim.join(pairs.select(F.col("x").alias("cid")).unionAll(pairs.select("y")).distinct(), "cid")
-    sets = stored(_whole_sets(docs, key, text, rule, stored(wanted, "wanted", tidy=True), repeated), "sets", tidy=True)
-    links = stored(_linked(pairs, sets, rule), "links", tidy=True)
-    dropped(sets)
 
-    # buckets that the links leave in several components besides their smallest class
+    def sets_of(cids: DataFrame) -> DataFrame:
+        wanted = stored(slim.join(cids.distinct(), "cid"), "wanted", tidy=True)
+        return stored(_whole_sets(docs, key, text, rule, wanted, repeated), "sets", tidy=True)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (x, y) that link."""
+        pairs = stored(pairs.distinct().join(one, "x").join(other, "y").where(fits).select("x", "y"), "pairs", tidy=True)
+        sets = sets_of(pairs.select(F.col("x").alias("cid")).unionAll(pairs.select("y")))
+        found = stored(_linked(pairs, sets, rule), "links", tidy=True)
+        dropped(sets)
+        return found
+
+    def rooted(df: DataFrame, stars: DataFrame) -> DataFrame:
+        named = df.join(stars.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left")
+        return stored(named.withColumn("root", F.coalesce("root", "cid")), "rooted", tidy=True)
+
+    # each member beside its bucket's smallest class
+    links = confirmed(members.where("cid <> first").select(F.col("first").alias("x"), F.col("cid").alias("y")))
     stars = components(links)
-    rooted = members.join(stars.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rooted = stored(rooted, "members", tidy=True)
+    left = rooted(members, stars)
     dropped(members)
-    split = rooted.where("cid <> first").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    left = stored(rooted.where("cid <> first").join(split, "band").select("band", "cid", "root", "n"), "left", tidy=True)
+
+    # the rest of a bucket beside one of its most frequent component, which differs from bucket to bucket
+    each = left.groupBy("band", "root").agg(F.count("*").alias("m"), F.min_by("cid", F.xxhash64("cid", "band")).alias("x"))
+    main = each.groupBy("band").agg(F.max(F.struct("m", "root", "x")).alias("s"), F.count("*").alias("roots")).where("roots > 1").select("band", F.col("s.root").alias("main"), F.col("s.x").alias("x"))
+    rest = left.join(stored(main, "main", tidy=True), "band").where("root <> main").select("x", F.col("cid").alias("y"))
+    more = confirmed(rest)
+    if more.limit(1).count():
+        links = links.unionAll(more)
+        stars = components(links)
+        before, left = left, rooted(left.drop("root"), stars)
+        dropped(before)
+
+    # what is in several components still: all pairs of these have met the smallest class
+    split = left.where("cid <> first").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    left = stored(left.where("cid <> first").join(split, "band").select("band", "cid", "root", "n"), "left", tidy=True)
     if left.limit(1).count():
         dealt = _dealt(left).join(left.select("band", "cid", "root", "n"), ["band", "cid"]).join(sketches.select("cid", "sketch"), "cid")
         found = stored(_searched(dealt.select(*TASK, "side", "cid", "root", "n", "sketch"), rule, plan), "found", tidy=True)
-        wanted = slim.join(found.select("cid").distinct(), "cid")
-        sets = stored(_whole_sets(docs, key, text, rule, stored(wanted, "wanted", tidy=True), repeated), "sets", tidy=True)
+        sets = sets_of(found.select("cid"))
         more = stored(_joined(found.join(sets, "cid").select(*TASK, "side", "cid", "root", "n", "sketch", "grams"), rule, plan), "links", tidy=True)
         if more.limit(1).count():
             links = links.unionAll(more)
             stars = components(links)
         dropped(sets)
 
-    rooted = stored(slim.join(stars.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted", tidy=True)
-    roots = stored(rooted.groupBy("root").agg(F.min("key").alias("component_id"), F.count("*").alias("m")), "roots", tidy=True)
-    named = stored(joined_evenly(rooted.select("root", "n", "a", "b", F.col("m").alias("rows")), roots, ["root"], total).select("n", "a", "b", "component_id", F.col("rows").alias("m")), "named", tidy=True)
+    classes_ = rooted(slim, stars)
+    roots = stored(classes_.groupBy("root").agg(F.min("key").alias("component_id"), F.count("*").alias("m")), "roots", tidy=True)
+    named = stored(joined_evenly(classes_.select("root", "n", "a", "b", F.col("m").alias("rows")), roots, ["root"], total).select("n", "a", "b", "component_id", F.col("rows").alias("m")), "named", tidy=True)
     out = joined_evenly(base.select("key", "n", "a", "b"), named, ["n", "a", "b"], total)
     component = F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
