@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import finite
+from quern.operators import ranks
+from quern.sources.files import stored
 
 #: Fixed value: what makes a median absolute deviation a standard deviation's estimate.
 MAD_SCALE = 0.67448975
@@ -20,23 +22,22 @@ def valid_energy(energy: Column, meter_valid: Column) -> Column:
 
 def trapezoid(samples: DataFrame, run: str, clock: Column, power: Column, most_gap: float | None = None) -> DataFrame:
     """(run, energy_j, samples, duration_s) of each run; null energy below two samples. With most_gap, longer gaps add nothing."""
-    order = Window.partitionBy(run).orderBy("t", "p")
-    rows = samples.select(run, clock.alias("t"), power.alias("p")).where("p is not null")
-    rows = rows.withColumn("dt", F.col("t") - F.lag("t").over(order)).withColumn("area", F.col("dt") * (F.col("p") + F.lag("p").over(order)) / 2)
+    rows = ranks.with_previous(samples.select(run, clock.alias("t"), power.alias("p")).where("p is not null"), [run], ["t", "p"])
+    rows = rows.withColumn("dt", F.col("t") - F.col("previous.t")).withColumn("area", F.col("dt") * (F.col("p") + F.col("previous.p")) / 2)
     counted = F.col("area") if most_gap is None else F.when((F.col("dt") > 0) & (F.col("dt") <= most_gap), F.col("area"))
     return rows.groupBy(run).agg(F.sum(counted).alias("energy_j"), F.count("*").alias("samples"), (F.max("t") - F.min("t")).alias("duration_s"))
 
 
 def stream_quality(samples: DataFrame, run: str, seq: Column, clock: Column) -> DataFrame:
     """Rate, gaps, missing sequence numbers, dropout and clock steps back of each run's stream."""
-    order = Window.partitionBy(run).orderBy("seq")
-    rows = samples.select(run, seq.alias("seq"), clock.alias("t"))
-    rows = rows.withColumn("gap", F.col("t") - F.lag("t").over(order)).withColumn("lost", F.greatest(F.col("seq") - F.lag("seq").over(order) - 1, F.lit(0)))
-    span = F.max("t") - F.min("t")
+    rows = ranks.with_previous(samples.select(run, seq.alias("seq"), clock.alias("t")), [run], ["seq", "t"])
+    rows = stored(rows.select(run, "seq", "t", (F.col("t") - F.col("previous.t")).alias("gap"), F.greatest(F.col("seq") - F.col("previous.seq") - 1, F.lit(0)).alias("lost")), "gaps")
+    span, gap = F.max("t") - F.min("t"), F.col("gap")
     out = rows.groupBy(run).agg(
         F.count("*").alias("received"), F.coalesce(F.sum("lost"), F.lit(0)).alias("missing"), F.count_if(F.col("gap") < 0).alias("regressions"),
-        F.try_divide(F.count("*") - 1, span).alias("rate_hz"), *[F.percentile("gap", F.lit(q)).alias(f"gap_p{int(q * 100)}") for q in (0.5, 0.95, 0.99)], F.max("gap").alias("gap_max"),
+        F.try_divide(F.count("*") - 1, span).alias("rate_hz"), F.max("gap").alias("gap_max"),
     )
+    out = ranks.with_percentiles(out, rows, [run], {f"gap_p{int(q * 100)}": (gap, q) for q in (0.5, 0.95, 0.99)})
     return out.withColumn("dropout", F.col("missing") / (F.col("received") + F.col("missing")))
 
 
@@ -61,18 +62,18 @@ def interval_join(samples: DataFrame, sessions: DataFrame, run: str, clock: str,
 
 def resource_profile(runs: DataFrame, configuration: str, latency: Column, memory: Column, energy: Column) -> DataFrame:
     """Medians and the 95th percentile by configuration, interpolated linearly."""
-    return runs.groupBy(configuration).agg(
-        F.count("*").alias("n_runs"), F.median(latency).alias("latency_ms_median"), F.percentile(latency, F.lit(0.95)).alias("latency_ms_p95"),
-        F.median(memory).alias("memory_mb_median"), F.median(energy).alias("energy_j_median"), F.count(energy).alias("energy_samples"),
-    )
+    groups = runs.groupBy(configuration).agg(F.count("*").alias("n_runs"), F.count(energy).alias("energy_samples"))
+    wanted = {"latency_ms_median": (latency, 0.5), "latency_ms_p95": (latency, 0.95), "memory_mb_median": (memory, 0.5), "energy_j_median": (energy, 0.5)}
+    return ranks.with_percentiles(groups, runs, [configuration], wanted)
 
 
 def robust_outliers(df: DataFrame, group: str, value: Column, threshold: float = 3.5, least: int = 5) -> DataFrame:
     """Adds median, mad and robust_z, and keeps rows beyond the threshold. Groups of fewer values or without spread have none."""
     rows = df.withColumn("value", finite(value)).where("value >= 0")
-    middle = rows.groupBy(group).agg(F.median("value").alias("median"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    middle = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    middle = ranks.with_percentiles(middle, rows, [group], {"median": (F.col("value"), 0.5)})
     near = rows.join(middle, group).withColumn("_off", F.abs(F.col("value") - F.col("median")))
-    spread = near.groupBy(group).agg(F.median("_off").alias("mad")).where("mad > 0")
+    spread = ranks.percentiles(near, [group], {"mad": (F.col("_off"), 0.5)}).where("mad > 0")
     z = F.lit(MAD_SCALE) * (F.col("value") - F.col("median")) / F.col("mad")
     return near.join(spread, group).withColumn("robust_z", z).where(F.abs("robust_z") > threshold).drop("_n", "_off")
 
@@ -124,4 +125,5 @@ def merged_energy(runs: DataFrame, energy: DataFrame, key: str = "run_key") -> D
 
 def percentiles(df: DataFrame, value: Column, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Linear percentiles, the largest value and the count, as for round trip times."""
-    return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(f"p{int(q * 100)}") for q in at], F.max(value).alias("most"), F.count(value).alias("n"))
+    groups = df.groupBy(*by).agg(F.max(value).alias("most"), F.count(value).alias("n"))
+    return ranks.with_percentiles(groups, df, by, {f"p{int(q * 100)}": (value, q) for q in at}).select(*by, *[f"p{int(q * 100)}" for q in at], "most", "n")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import binomial_upper, sigmoid, wilson_upper
+from quern.operators import descent, ranks
 
 #: Configurations that can be chosen, the one to fall back to, and risk offsets of the simple predictor.
 CONFIGURATIONS, FALLBACK = ("C0", "C1", "C2"), "C3"
@@ -65,33 +65,9 @@ def logistic_statistics(rows: DataFrame, features: list[str], label: str, by: li
     )
 
 
-def logistic_models(rows: DataFrame, features: list[str], label: str, by: list[str], iterations: int = 1200, rate: float = 0.1, l2: float = 0.01) -> DataFrame:
-    """One logistic model for each group, by gradient descent over standardised features.
-
-    Equal feature vectors are counted first, so what reaches a group's task is as large as its distinct vectors.
-    """
-    counted = rows.groupBy(*by, *features).agg(F.sum(F.col(label).cast("double")).alias("_failed"), F.count("*").cast("double").alias("_n"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, failed, n = pdf[features].to_numpy(float), pdf["_failed"].to_numpy(float), pdf["_n"].to_numpy(float)
-        total = n.sum()
-        mean = (n[:, None] * x).sum(axis=0) / total
-        scale = np.maximum(np.sqrt((n[:, None] * (x - mean) ** 2).sum(axis=0) / total), 1e-8)
-        z, share = (x - mean) / scale, (failed.sum() + 0.5) / (total + 1)
-        intercept, weights = np.log(share / (1 - share)), np.zeros(len(features))
-        if 0 < failed.sum() < total:
-            for k in range(iterations):
-                logit = intercept + z @ weights
-                p = np.where(logit >= 0, 1 / (1 + np.exp(-np.abs(logit))), np.exp(-np.abs(logit)) / (1 + np.exp(-np.abs(logit))))
-                error = n * p - failed
-                step = rate / np.sqrt(1 + k / 50)
-                gradient = error @ z / total + l2 * weights
-                intercept -= step * error.sum() / total
-                weights = weights - step * gradient
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "n_samples": int(total), "failure_rate": failed.sum() / total, "intercept": intercept, "coefficients": weights.tolist(), "means": mean.tolist(), "scales": scale.tolist()}])
-
-    return counted.groupBy(*by).applyInPandas(fit, f"{kinds}, n_samples bigint, failure_rate double, intercept double, coefficients array<double>, means array<double>, scales array<double>")
+def logistic_models(rows: DataFrame, features: list[str], label: str, by: list[str], **options) -> DataFrame:
+    """One logistic model for each group, by gradient descent over standardised features: see descent.models."""
+    return descent.models(rows, features, label, by, **options)
 
 
 def logistic_score(features: Column) -> Column:
@@ -125,11 +101,11 @@ def scored_runs(runs: DataFrame, models: DataFrame) -> DataFrame:
 def calibrated(scores: DataFrame, by: list[str], alpha: float, delta: float, score: str = "score", failed: str = "failed", bound: str = "wilson") -> DataFrame:
     """The largest threshold of each group whose accepted rows' failure rate is below alpha by its upper bound (wilson or clopper-pearson); -1 if none is.
 
-    Rows are summed by score first, so the running sums go over distinct scores.
+    Rows are summed by score first, so the running sums go over distinct scores, in ranges that no group fills alone.
     """
     each = scores.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("f"))
-    upto = Window.partitionBy(*by).orderBy(score).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = each.withColumn("accepted", F.sum("n").over(upto)).withColumn("failures", F.sum("f").over(upto)).withColumn("upper_risk", BOUNDS[bound](F.col("failures"), F.col("accepted"), delta))
+    sums = ranks.running_sums(each, by, [score], ["n", "f"]).withColumnsRenamed({"upto_n": "accepted", "upto_f": "failures"})
+    sums = sums.withColumn("upper_risk", BOUNDS[bound](F.col("failures"), F.col("accepted"), delta))
     fits = F.when(F.col("upper_risk") <= alpha, F.struct(F.col(score).alias("threshold"), "accepted", "failures", "upper_risk"))
     best = sums.groupBy(*by).agg(F.max(fits).alias("b"), F.sum("n").alias("total"))
     return best.select(

@@ -20,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 
 from quern.functions.numbers import day, dot, jurisdiction_applies
 from quern.functions.text import SECOND_STEP, clauses, compact, tokens
+from quern.operators.lexical import lexical_index, matched
 from quern.sources.files import numbered, stored
 
 DIGITS = 9
@@ -33,40 +34,22 @@ def ranked(scored: DataFrame, top_k: int) -> DataFrame:
     return scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(top_k, 0))
 
 
-def _with_fill(matched: DataFrame, queries: DataFrame, corpus: DataFrame, top_k: int) -> DataFrame:
+def _with_fill(found: DataFrame, queries: DataFrame, corpus: DataFrame, top_k: int) -> DataFrame:
     """The smallest evidence ids, at score 0, for queries that match fewer than top_k documents: top_k rows a query
     are enough, so the corpus is never crossed with the queries."""
     first = corpus.select("evidence_id").orderBy("evidence_id").limit(max(top_k, 0))
     zero = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    return matched.select("query_id", "evidence_id", "score").unionByName(zero).groupBy("query_id", "evidence_id").agg(F.max("score").alias("score"))
-
-
-def lexical_index(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(term, evidence_id, length, tf) of the queries' terms, from one scan of the texts, written once.
-
-    Every document has a row for the empty term besides, which no query asks for: its length counts even if nothing in it matches.
-    """
-    terms = queries.select(F.explode(tokens(F.col("text"))).alias("term")).unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    listed = corpus.select("evidence_id", tokens(F.col("text")).alias("terms"))
-    hits = listed.select("evidence_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).join(terms, "term", "left_semi")
-    return stored(hits.groupBy("term", "evidence_id", "length").agg(F.count("*").alias("tf")), "postings")
+    return found.select("query_id", "evidence_id", "score").unionByName(zero).groupBy("query_id", "evidence_id").agg(F.max("score").alias("score"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
     """(query_id, evidence_id, score, rank). Repeated query terms count repeatedly; documents without a term score 0.
 
-    Lists over the same corpus and queries may share a lexical_index.
+    Lists over the same corpus and queries may share a lexical_index. An id that several rows have counts by its best row,
+    and among the smallest ids takes several places.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     index = lexical_index(corpus, queries) if index is None else index
-    stats = index.where("term = ''").agg(F.count("*").cast("double").alias("docs"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean"))
-    postings = index.where("term <> ''")
-    often = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weighted = asked.join(often, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "mean", idf.alias("idf"))
-    matched = postings.join(weighted, "term").groupBy("query_id", "evidence_id").agg(F.sum(weight).alias("score"))
-    return ranked(_with_fill(matched, queries, corpus, top_k), top_k)
+    return ranked(_with_fill(matched(index, queries, top_k, k1, b), queries, corpus, top_k), top_k)
 
 
 def hashing_encoder(dimensions: int = 384):

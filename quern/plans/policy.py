@@ -107,6 +107,13 @@ def train_risk(spark, sf_dir):
     return P.logistic_models(rows, names, "failed", ["lang"])
 
 
+@query()
+def train_risk_spread(spark, sf_dir):
+    """The same models with every group spread over all tasks of one barrier stage."""
+    rows, names = training(spark, sf_dir)
+    return P.logistic_models(rows, names, "failed", ["lang"], spread_from=1)
+
+
 @query()
 def risk_scores(spark, sf_dir):
     rows, names = training(spark, sf_dir)

@@ -85,15 +85,17 @@ def run_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("device").applyInPandasWithState(step, "device string, seq bigint, answer string, state string", "state string, run string", "append", GroupStateTimeout.NoTimeout)
 
 
-def marker_join(stream: DataFrame, markers: DataFrame, late: str) -> DataFrame:
-    """Samples between a run's start and end markers, as a stream-stream join with watermarks on both sides.
+def marker_join(stream: DataFrame, markers: DataFrame, late: str, longest_s: float) -> DataFrame:
+    """(run_key, started, ended, ts, power_w): samples between a session's start and end, ends included; a session without samples has one row with
+    nulls, once the watermarks have passed it.
 
-    stream has (run_key, ts, power_w), markers (run_key, started, ended).
+    stream has (run_key, ts, power_w), markers (run_key, started, ended). Sessions last `longest_s` at most: what lasts longer gets no samples
+    beyond. That bounds how long Spark keeps either side; rows later than `late` are left out.
     """
-    s = stream.withWatermark("ts", late).alias("s")
-    m = markers.withWatermark("started", late).alias("m")
-    met = F.expr("s.run_key = m.run_key AND s.ts >= m.started AND s.ts <= m.ended AND s.ts <= m.started + interval 1 hour")
-    return s.join(m, met).select("m.run_key", "s.ts", "s.power_w")
+    s = stream.withColumnRenamed("run_key", "sample_key").withWatermark("ts", late)
+    m = markers.withWatermark("started", late)
+    met = F.expr(f"run_key = sample_key AND ts >= started AND ts <= ended AND ts <= started + INTERVAL '{longest_s}' SECOND")
+    return m.join(s, met, "left_outer").select("run_key", "started", "ended", "ts", "power_w")
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> None:
