@@ -10,7 +10,7 @@ from quern.plans import answers as A
 from quern.plans.measures import _AREA, CLOCK
 from quern.plans.retrieval import asked, corpus, table
 from quern.sources.files import json_type, marked_text, scratch
-from quern.streaming import meter
+from quern.streaming import lines, meter, runs
 
 QUERIES, SQL = {}, {}
 
@@ -109,3 +109,50 @@ def run_state_machine(spark, sf_dir):
     s = stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("device"), F.col("event_id").alias("seq"), command.alias("command"), F.lit("run").alias("run_id"))
     meter.drain(meter.run_states(s), path)
     return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, CAST(max(event_id) AS BIGINT) AS last FROM events GROUP BY ALL")
+def meter_lines(spark, sf_dir):
+    """The events as lines that a meter appends to files, read as a stream in parts of a few kilobytes."""
+    path = scratch(spark, "lines")
+    table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value")).write.text(f"{path}/in")
+    spark.dataSource.register(lines.MeterLines)
+    read = spark.readStream.format("meter_lines").option("part_bytes", 1 << 18).load(f"{path}/in")
+    parsed = read.select(F.from_json("line", "event_id bigint, event_type string, value double").alias("e")).select("e.*")
+    meter.drain(parsed, path)
+    return spark.read.parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("event_id").alias("last"))
+
+
+@query()
+def timed_runs(spark, sf_dir):
+    """Answers to commands by event time, with arms that expire after a day and runs rejected for lost numbers."""
+    path, (key, store) = scratch(spark, "runs"), runs.STORE
+    command = F.when(F.col("event_type") == "signup", "ARM").when(F.col("event_type") == "click", "START").otherwise("STOP")
+    s = stream(spark, sf_dir).select((F.col("user_id") % 50).cast("string").alias("device"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), command.alias("command"), F.lit("run").alias("run_id"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        meter.drain(runs.timed_runs(s, "0 seconds", 86_400.0), path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{path}/out")
+
+
+@query(
+    f"""WITH e AS (SELECT *, {CLOCK} AS t FROM events), s AS (SELECT user_id, event_id AS session, t + 1 AS a, t + 20000 AS b FROM e WHERE event_type = 'purchase')
+SELECT s.session, count(e.t) AS samples, round(sum(value), 4) AS total FROM s LEFT JOIN e ON s.user_id = e.user_id AND e.t BETWEEN a AND b GROUP BY ALL"""
+)
+def stream_sessions(spark, sf_dir):
+    """Samples in the hours behind each purchase of their user, by a join of two streams; also purchases with none."""
+    path = scratch(spark, "sessions")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "event_type", "ts", "value")
+    # a last row of both streams, long after the others, lets the watermarks pass these
+    last = e.agg(F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("purchase").alias("event_type"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(0.0).alias("value"))
+    e.unionByName(last).write.parquet(f"{path}/in")
+    kind = spark.read.parquet(f"{path}/in").schema
+    read = lambda: spark.readStream.schema(kind).parquet(f"{path}/in")
+    markers = read().where("event_type = 'purchase'").select(F.concat_ws(":", "user_id", "event_id").alias("session"), F.col("user_id").alias("run_key"), (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("started"), (F.col("ts") + F.expr("INTERVAL 20000 SECONDS")).alias("ended"))
+    joined = meter.marker_join(read().select(F.col("user_id").alias("run_key"), "ts", F.col("value").alias("power_w")), markers, "0 seconds", 20_000)
+    meter.drain(joined, path)
+    out = spark.read.parquet(f"{path}/out").groupBy("session").agg(F.count("ts").alias("samples"), F.round(F.sum("power_w"), 4).alias("total"))
+    return out.select(F.split("session", ":")[1].cast("bigint").alias("session"), "samples", "total").where("session >= 0")

@@ -179,3 +179,25 @@ def sample_summary(spark, sf_dir):
         F.count("*").alias("sample_count"), F.round(F.max("t") - F.min("t"), 3).alias("duration_seconds"), F.min_by("value", "o").alias("first_value"), F.max_by("value", "o").alias("last_value"),
         F.min("value").alias("low"), F.max("value").alias("high"), F.bool_or(F.col("event_type") == "error").alias("any_error"),
     )
+
+
+#: Exchanges with a device that is 1000 seconds ahead and 20 parts in a million fast, as the events' times and values make them.
+_SYNC = f"(SELECT event_id % 7 AS device_id, {CLOCK} - 1.7e9 AS sent, {CLOCK} - 1.7e9 + 0.002 + (event_id * 37 % 101) / 10000.0 AS received, ({CLOCK} - 1.7e9) * 1.00002 + 1000 + 0.001 + (event_id * 53 % 97) / 20000.0 AS device FROM events)"
+
+
+@query(
+    f"""WITH s AS (SELECT device_id, (sent + received) / 2 AS host, device, received - sent AS rtt FROM {_SYNC}),
+b AS (SELECT device_id, unnest(arg_min({{'host': host, 'device': device}}, rtt, 1), recursive := true) FROM (SELECT * FROM s ORDER BY host) GROUP BY device_id, floor(host / 7200)),
+p AS (SELECT device_id, floor(host / 500000) AS piece, host - floor(host / 500000) * 500000 AS x, device - host AS y FROM b)
+SELECT device_id, CAST(piece AS BIGINT) AS piece, count(*) AS exchanges, round(regr_slope(y, x), 7) AS drift, round(regr_intercept(y, x), 3) AS offset_s FROM p GROUP BY ALL HAVING count(*) > 1"""
+)
+def clock_fit(spark, sf_dir):
+    """Offset and drift of seven devices' clocks, by pieces of six days."""
+    from quern.operators import clocks
+
+    e = events(spark, sf_dir).withColumn("sent", F.col("t") - 1.7e9).withColumn("device_id", F.col("event_id") % 7)
+    received = F.col("sent") + 0.002 + (F.col("event_id") * 37 % 101) / 10000.0
+    device = F.col("sent") * 1.00002 + 1000 + 0.001 + (F.col("event_id") * 53 % 97) / 20000.0
+    best = clocks.best_exchanges(e, ["device_id"], F.col("sent"), received, device, 7200.0)
+    fits = clocks.clock_map(best, ["device_id"], 500_000.0).where("exchanges > 1")
+    return fits.select("device_id", F.col("piece").cast("bigint").alias("piece"), "exchanges", F.round("drift", 7).alias("drift"), F.round("offset", 3).alias("offset_s"))

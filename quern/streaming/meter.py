@@ -86,7 +86,7 @@ def run_states(stream: DataFrame) -> DataFrame:
 
 
 def marker_join(stream: DataFrame, markers: DataFrame, late: str, longest_s: float) -> DataFrame:
-    """(run_key, started, ended, ts, power_w): samples between a session's start and end, ends included; a session without samples has one row with
+    """The markers' columns, ts and power_w: samples between a session's start and end, ends included; a session without samples has one row with
     nulls, once the watermarks have passed it.
 
     stream has (run_key, ts, power_w), markers (run_key, started, ended). Sessions last `longest_s` at most: what lasts longer gets no samples
@@ -95,7 +95,7 @@ def marker_join(stream: DataFrame, markers: DataFrame, late: str, longest_s: flo
     s = stream.withColumnRenamed("run_key", "sample_key").withWatermark("ts", late)
     m = markers.withWatermark("started", late)
     met = F.expr(f"run_key = sample_key AND ts >= started AND ts <= ended AND ts <= started + INTERVAL '{longest_s}' SECOND")
-    return m.join(s, met, "left_outer").select("run_key", "started", "ended", "ts", "power_w")
+    return m.join(s, met, "left_outer").select(*markers.columns, "ts", "power_w")
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> None:
