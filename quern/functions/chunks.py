@@ -1,25 +1,32 @@
-"""Cutting long texts into overlapping chunks at sentence ends: each cut depends on the last one, so this is a pandas UDF."""
+"""Cutting long texts into overlapping chunks at sentence ends: each cut depends on the last one, so this is Python, as a table
+function that gives a text's chunks one by one, or as a pandas UDF for short texts, whose arrays fit a batch."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 
 #: Where a chunk may end.
 ENDS = re.compile("\n\n|。|；|;|\\. ")
 
 
 def cut(text: str | None, target: int, overlap: int) -> list[str]:
+    """All chunks of a text, as `pieces` gives them."""
+    return list(pieces(text, target, overlap))
+
+
+def pieces(text: str | None, target: int, overlap: int) -> Iterator[str]:
     """Chunks of at most `target` characters. A chunk ends at the last sentence end in its second half, if there
     is one; the next begins `overlap` characters before that end, but at least one after the last beginning."""
     if target <= 0 or not 0 <= overlap < target:
         raise ValueError("target must be positive and overlap smaller")
     body = re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", (text or "").replace("\r\n", "\n"))).strip()
-    out, at = [], 0
+    at = 0
     while at < len(body):
         stop = at + target
         if stop < len(body):
@@ -28,11 +35,10 @@ def cut(text: str | None, target: int, overlap: int) -> list[str]:
             if marks and marks[-1][0] > at:
                 stop = marks[-1][0] + (2 if marks[-1][1] == "\n\n" else 1)
         if piece := body[at:stop].strip():
-            out.append(piece)
+            yield piece
         if stop >= len(body):
             break
         at = max(stop - overlap, at + 1)
-    return out
 
 
 def _marks(body: str, low: int, high: int) -> list[tuple[int, str]]:
@@ -51,7 +57,20 @@ def chunks(text: Column, target: int = 600, overlap: int = 80) -> Column:
     return run(text)
 
 
+@udtf(returnType="place int, chunk string")
+class ChunkTable:
+    """A text's chunks, numbered from 0."""
+
+    def eval(self, text: str, target: int, overlap: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(pieces(text, target, overlap))
+
+
+def chunk_rows(df: DataFrame, text: str = "text", target: int = 600, overlap: int = 80) -> DataFrame:
+    """df with (place, chunk) for each chunk of each row, by a lateral join; no array holds a text's chunks."""
+    return df.lateralJoin(ChunkTable(F.col(text).outer(), F.lit(target), F.lit(overlap)))
+
+
 def prepared(registry: DataFrame, target: int = 600, overlap: int = 80) -> DataFrame:
     """A registry's sources (source_id, text, ...) as chunks with ids like source_0001; other columns stay."""
-    rows = registry.select("*", F.posexplode(chunks(F.col("text"), target, overlap)).alias("_at", "_chunk"))
-    return rows.withColumn("evidence_id", F.format_string("%s_%04d", "source_id", F.col("_at") + 1)).withColumn("text", F.col("_chunk")).drop("_at", "_chunk", "file")
+    rows = chunk_rows(registry, "text", target, overlap)
+    return rows.withColumn("evidence_id", F.format_string("%s_%04d", "source_id", F.col("place") + 1)).withColumn("text", F.col("chunk")).drop("place", "chunk", "file")

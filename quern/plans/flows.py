@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.chunks import chunks
+from quern.functions.chunks import chunk_rows
+from quern.functions.schemas import checked
 from quern.operators import retrieval as R
 from quern.plans import answers as A
 from quern.plans.measures import _AREA, CLOCK
 from quern.plans.retrieval import asked, corpus, table
+from quern.sources.digests import lineage
 from quern.sources.files import json_type, marked_text, scratch
 from quern.streaming import lines, meter, runs
 
@@ -25,10 +27,33 @@ def query(sql: str | None = None):
     return keep
 
 
-@query()
+#: Each chunk from the one before: it ends at the last mark in its second half, or after 600 characters; the next begins 80 before, but further on than this one.
+_CHUNKS = r"""
+WITH RECURSIVE b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents),
+k(doc_id, pos, stop) AS (SELECT doc_id, 0::BIGINT, CUT0 FROM b WHERE length(body) > 0
+  UNION ALL SELECT k.doc_id, greatest(k.stop - 80, k.pos + 1), CUT1 FROM k JOIN b ON b.doc_id = k.doc_id WHERE k.stop < length(body)),
+p AS (SELECT k.doc_id, pos, regexp_replace(substring(body, pos + 1, stop - pos), '^\s+|\s+$', '', 'g') AS chunk FROM k JOIN b USING (doc_id))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS place, length(chunk) AS length, md5(chunk) AS digest FROM p WHERE chunk <> ''
+"""
+
+
+def _cut(at: str) -> str:
+    """Where a chunk that begins at `at` ends, in SQL."""
+    half = f"substring(body, {at} + 301, 300)"
+    last = lambda mark: f"(CASE WHEN contains({half}, {mark}) THEN 301 - strpos(reverse({half}), reverse({mark})) - length({mark}) + 1 ELSE 0 END)"
+    marks = ["chr(10) || chr(10)", "'。'", "'；'", "';'", "'. '"]
+    # an end mark's place in the half, from 1; a blank line takes one character more along
+    best = "greatest(" + ", ".join(last(m) for m in marks) + ")"
+    return f"(CASE WHEN {at} + 600 >= length(body) OR {best} = 0 THEN {at} + 600 ELSE {at} + 300 + {best} + (CASE WHEN substring({half}, {best}, 2) = chr(10) || chr(10) THEN 1 ELSE 0 END) END)"
+
+
+_CHUNKS = _CHUNKS.replace("CUT0", _cut("0")).replace("CUT1", _cut("greatest(k.stop - 80, k.pos + 1)"))
+
+
+@query(_CHUNKS)
 def chunk_text(spark, sf_dir):
-    """Each document's chunks by number, length and digest; each cut depends on the last one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks(F.coalesce("text", F.lit("")))).alias("place", "chunk"))
+    """Each document's chunks by number, length and digest, from a table function."""
+    d = chunk_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "place", F.length("chunk").alias("length"), F.md5("chunk").alias("digest"))
 
 
@@ -156,3 +181,50 @@ def stream_sessions(spark, sf_dir):
     meter.drain(joined, path)
     out = spark.read.parquet(f"{path}/out").groupBy("session").agg(F.count("ts").alias("samples"), F.round(F.sum("power_w"), 4).alias("total"))
     return out.select(F.split("session", ":")[1].cast("bigint").alias("session"), "samples", "total").where("session >= 0")
+
+
+#: What a turn must be like; a user's is shorter, and one after the first has a number above 0.
+TURN_SCHEMA = {
+    "type": "object",
+    "required": ["conv_id", "turn", "role", "text"],
+    "properties": {
+        "conv_id": {"type": ["string", "integer"]},
+        "turn": {"type": "integer", "minimum": 0, "maximum": 4},
+        "role": {"enum": ["user", "assistant"]},
+        "text": {"type": "string", "minLength": 40},
+        "tags": {"type": "array", "items": {"type": "string"}, "uniqueItems": True},
+    },
+    "additionalProperties": False,
+    "allOf": [{"if": {"properties": {"role": {"const": "user"}}, "required": ["role"]}, "then": {"properties": {"text": {"maxLength": 120}}}, "else": {"properties": {"turn": {"exclusiveMinimum": 0}}}}],
+}
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, unnest([CASE WHEN turn > 4 THEN 'maximum:$.turn' END, CASE WHEN turn < 0 THEN 'minimum:$.turn' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'enum:$.role' END, CASE WHEN text IS NULL THEN 'type:$.text' END,
+CASE WHEN length(text) < 40 THEN 'minLength:$.text' END, CASE WHEN role = 'user' AND length(text) > 120 THEN 'maxLength:$.text' END, CASE WHEN role <> 'user' AND turn <= 0 THEN 'exclusiveMinimum:$.turn' END,
+CASE WHEN turn % 3 = 1 THEN 'additionalProperties:$.extra' END, CASE WHEN turn % 2 = 1 THEN 'uniqueItems:$.tags' END]) AS fault FROM conversations)
+SELECT fault, count(*) AS n FROM r WHERE fault IS NOT NULL GROUP BY ALL"""
+)
+def schema_faults(spark, sf_dir):
+    """Turns as JSON, some with repeated tags or a field too many, against a schema."""
+    c = table(spark, sf_dir, "conversations")
+    tags = F.when(F.col("turn") % 2 == 1, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    plain = F.struct("conv_id", "turn", "role", "text", tags.alias("tags"))
+    extra = F.struct("conv_id", "turn", "role", "text", tags.alias("tags"), F.lit(1).alias("extra"))
+    keep = {"ignoreNullFields": "false"}
+    value = F.when(F.col("turn") % 3 == 1, F.to_json(extra, keep)).otherwise(F.to_json(plain, keep))
+    return c.select(F.explode(checked(value, TURN_SCHEMA)).alias("fault")).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT lang, count(*) AS n FROM documents GROUP BY ALL) SELECT 'input' AS role, 'input' AS name, count(*) AS n, true AS same FROM documents
+UNION ALL SELECT 'output', 'rows', count(*), true FROM documents UNION ALL SELECT 'split', concat('rows/', coalesce(lang, '')), n, true FROM s"""
+)
+def lineage_digests(spark, sf_dir):
+    """Digests of documents, of what is read again after they were written by language, and of each language; an output is the same if its digest is
+    the input's, a split if it is that of the input's rows."""
+    d, path = table(spark, sf_dir, "documents"), scratch(spark, "lineage")
+    d.repartition("source").write.parquet(f"{path}/rows")
+    back = spark.read.parquet(f"{path}/rows")
+    found, again = lineage(d, {"rows": back}, "lang"), lineage(d, {"rows": d}, "lang").withColumnRenamed("digest", "wanted").drop("n")
+    return found.join(again, ["role", "name"]).select("role", "name", "n", (F.col("digest") == F.col("wanted")).alias("same"))
