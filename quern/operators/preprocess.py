@@ -39,6 +39,11 @@ def _finite(path: str, positive: bool = False) -> Column:
     return F.when(~F.isnan(x) & (x < float("inf")) & ((x > 0) if positive else (x >= 0)), x)
 
 
+def _number(rows: DataFrame) -> Column:
+    """What a record is numbered by: its place among records, where the reader has told it from the line, or else row_number."""
+    return F.col("record_number" if "record_number" in rows.columns else "row_number").alias("row_number")
+
+
 def _compact(*reasons: Column) -> Column:
     return F.array_compact(F.array(*reasons))
 
@@ -56,7 +61,7 @@ def checked_queries(rows: DataFrame, least: int = 4, most: int = 1000) -> DataFr
     """
     if not 1 <= least <= most:
         raise ValueError("1 <= least <= most is needed")
-    df = rows.select("row_number", "value", F.try_parse_json("value").alias("v"))
+    df = rows.select(_number(rows), "value", F.try_parse_json("value").alias("v"))
     blank = lambda f: (_kind(f"$.{f}") == "VOID") | ((_kind(f"$.{f}") == "STRING") & (strip(_string(f)) == ""))
     risk = F.try_variant_get("v", "$.risk_level", "bigint")
     df = df.withColumns({
@@ -152,7 +157,7 @@ def in_order(records: DataFrame) -> DataFrame:
 
 def checked_runs(rows: DataFrame, require_energy: bool = True) -> DataFrame:
     """Run rows with `reasons`, status, ids and metrics: required keys, and for a run that went well a positive latency, telemetry and, if required, its energy."""
-    df = rows.select("row_number", "value", F.try_parse_json("value").alias("v"))
+    df = rows.select(_number(rows), "value", F.try_parse_json("value").alias("v"))
     ok = F.coalesce(_string("status") == "ok", F.lit(False))
     blank = lambda f: (_kind(f"$.{f}") == "VOID") | ((_kind(f"$.{f}") == "STRING") & (_string(f) == ""))
     told = F.startswith(_kind("$.telemetry"), F.lit("OBJECT"))

@@ -23,10 +23,11 @@ def numbered(df: DataFrame, name: str = "row_number") -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(row_number, value): the objects of a file's non-blank lines; a line that is no object stops the job and is named."""
-    lines = numbered(spark.read.text(path)).where(F.trim("value") != "")
+    """(row_number, record_number, value): the objects of a file's non-blank lines. `row_number` is the file's line, which names a line that is no object and
+    stops the job; `record_number` counts without blank lines, as preprocessed records are numbered."""
+    lines = numbered(numbered(spark.read.text(path)).where(F.trim("value") != ""), "record_number")
     kept = F.when(F.json_object_keys("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"{path}: row "), F.col("row_number").cast("string"), F.lit(" must be an object"))).cast("string"))
-    return lines.select("row_number", kept.alias("value"))
+    return lines.select("row_number", "record_number", kept.alias("value"))
 
 
 #: What inference rows may have besides their own fields, and text fields of a protocol that default to blank.

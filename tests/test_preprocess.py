@@ -124,3 +124,13 @@ def test_texts_and_outputs(spark, tmp_path):
     assert {r.output for r in made} == {"records", "quarantine", "events", "report"} and all(len(r.sha256) == 64 for r in made)
     page = spark.createDataFrame([("<p>START a</p><p>START b</p>",)], "h string")
     assert page.select(S.marked_text(F.col("h"), "START")).first()[0] == "START a\nSTART b"
+
+
+def test_records_are_numbered_without_blank_lines(spark, tmp_path):
+    from quern.sources.files import read_jsonl
+
+    (tmp_path / "runs.jsonl").write_text('\n{"status": "ok"}\n \n\n{"status": "ok"}\n{}\n')
+    rows = read_jsonl(spark, str(tmp_path / "runs.jsonl"))
+    assert sorted((r.row_number, r.record_number) for r in rows.collect()) == [(2, 1), (5, 2), (6, 3)]
+    assert sorted(r.row_number for r in Q.checked_runs(rows).collect()) == [1, 2, 3]
+    assert sorted(r.source_row_number for r in Q.preprocessed_queries(rows)["quarantine"].collect()) == [1, 2, 3]
