@@ -1,9 +1,10 @@
 """Main text of web pages by host paths that their pages agree on.
 
 Each page's containers are scored by the running text in them. A container's path is the tags and first class names
-from the root to it, with digits as 0. The pages of a host vote, each with its best containers' scores, and the path
+from the root to it, with digits as 0. The pages of a host vote, each for all its paths with the score of the best container there, and the path
 with most votes is the host's. Every page is then read again and gives, in page order, the text of all its containers
-on that path; a page without one, or without a host, gives that of all on its own best container's path. A container
+on that path; a page without one, without a host, or whose containers there score less than a LEAVES-th of those on its own best
+container's path, gives that of all on the latter. A container
 in an article element stands for the whole element. Headings right in an element around these, below the body, are
 given too.
 
@@ -12,8 +13,9 @@ element or by class, id and role names. Blocks have their character references d
 into single spaces, and are joined by line feeds. Null or empty html gives an empty text; repeated rows give equal
 results; an empty table gives an empty result. No page's text is cut, however long or deep: a page takes time and
 memory in proportion to its length. A tag without an end is text, a comment or section without one reaches to the end.
-A page votes with its CANDIDATES best containers; of equal scores the first one leads, and of equal votes the last path
-by name. Other columns of pages, whatever their names, are not read.
+A link begins at an `a` with an address and ends at the next `a`, or with the element it begins in. A form that holds an article or
+most of the page's text is the page's, and so is a header or aside that holds an article and most text. Of equal scores the first container leads, and of equal votes the
+last path by name. Other columns of pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ from quern.llm.url_rules import host_of
 
 #: Hosts whose paths are sent to every executor; with more, pages meet them in a salted join.
 BROADCAST_HOSTS, SALTS = 100_000, 32
-#: Containers that a page votes with.
-CANDIDATES = 3
+#: A page leaves its host's path where that has less than this part of the best path's score.
+LEAVES = 4
 
 _MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
 _STOP = re.compile(r"=\s*([\"'])|>")
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 # Fixed values of HTML: elements without content, with raw content, that stand as blocks, and that end others.
@@ -127,9 +130,12 @@ class Page:
                 links += len(text)
 
         def close(k: int) -> None:
+            nonlocal in_link
             for e in stack[k:]:
                 opened[self.tag[e]].pop()
             del stack[k:]
+            if in_link > k:
+                in_link = 0
 
         def nearest(tags: frozenset[str]) -> int:
             return max((own[-1] for t in tags if (own := opened.get(t))), default=0)
@@ -175,7 +181,7 @@ class Page:
             attributes, at, tag = html[m.end() : stop], stop + 1, tag.lower()
             if m[1]:
                 if tag == "a":
-                    in_link = max(0, in_link - 1)
+                    in_link = 0
                 if tag in BLOCKS:
                     flush()
                     if own := opened.get(tag):
@@ -207,8 +213,8 @@ class Page:
                     stack.append(self._element(stack[-1], tag, attributes))
             elif tag == "br":
                 words.append(" ")
-            elif tag == "a":
-                in_link += 1
+            elif tag == "a":  # how many elements are open where the link begins
+                in_link = len(stack) if _HREF.search(attributes) else 0
         flush()
         self._step = {i: step for (_, step), i in self.paths.items()}
 
@@ -224,7 +230,11 @@ class Page:
         self.gone = [False] * n
         holds = self._holds_article()
         for e in range(1, n):
-            out = self.out[e] and not (self.tag[e] not in OUT_TAGS and (holds[e] or 2 * size[e] > size[0] and not self.readers[e]))
+            most = 2 * size[e] > size[0]
+            spared = holds[e] or most and not self.readers[e]
+            if self.tag[e] in OUT_TAGS:
+                spared = spared if self.tag[e] == "form" else self.tag[e] in ("header", "aside") and holds[e] and most
+            out = self.out[e] and not spared
             self.gone[e] = self.gone[self.parent[e]] or out
         score: dict[int, int] = {}
         for e, text, links in self.blocks:
@@ -263,11 +273,14 @@ class Page:
 
 
 def candidates(html: str) -> list[tuple[str, int]]:
-    """The paths of a page's best containers, with scores in thousandths of the best one's."""
+    """A page's paths with containers, each with its best one's score in thousandths of the page's best, where that is one at least."""
     page = Page(html)
-    score = page.scored()
-    best = sorted(score, key=lambda e: (-score[e], e))[:CANDIDATES]
-    return [(page.path_of(e), score[e] * 1000 // score[best[0]]) for e in best]
+    best: dict[int, tuple[int, int]] = {}
+    for e, s in page.scored().items():
+        if s > best.get(page.path[e], (0, 0))[0]:
+            best[page.path[e]] = (s, e)
+    most = max((s for s, _ in best.values()), default=1)
+    return [(page.path_of(e), s * 1000 // most) for s, e in best.values() if s * 1000 >= most]
 
 
 def main_text(html: str, path: str | None) -> str:
@@ -277,11 +290,10 @@ def main_text(html: str, path: str | None) -> str:
     if not score:
         return ""
     agreed = None if path is None else page.path_named(path)
-    own = [e for e in score if page.path[e] == agreed]
-    if not own:
-        best = page.path[min(score, key=lambda e: (-score[e], e))]
-        own = [e for e in score if page.path[e] == best]
-    return page.text_of(own)
+    best = page.path[min(score, key=lambda e: (-score[e], e))]
+    there, other = ([e for e in score if page.path[e] == p] for p in (agreed, best))
+    near = LEAVES * sum(score[e] for e in there) >= sum(score[e] for e in other)
+    return page.text_of(there if there and near else other)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
