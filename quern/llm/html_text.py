@@ -3,8 +3,8 @@
 Each page's containers are scored by the running text in them. A container's path is the tags and first class names
 from the root to it, with digits as 0. The pages of a host vote, each for all its paths with the score of the best container there, and the path
 with most votes is the host's. Every page is then read again and gives, in page order, the text of all its containers
-on that path; a page without one, without a host, or whose containers there score less than a LEAVES-th of those on its own best
-container's path, gives that of all on the latter. A container
+on that path; a page without one, or without a host, gives that of all on its own best container's path. A page whose containers on the
+host's path score less than a LEAVES-th of those on another that has half as many votes or more, and is not above it, takes that. A container
 in an article element stands for the whole element. Headings right in an element around these, below the body, are
 given too.
 
@@ -33,7 +33,7 @@ from quern.llm.url_rules import host_of
 
 #: Hosts whose paths are sent to every executor; with more, pages meet them in a salted join.
 BROADCAST_HOSTS, SALTS = 100_000, 32
-#: A page leaves its host's path where that has less than this part of the best path's score.
+#: A page leaves its host's path where that has less than this part of the score of another path that the host's pages vote for.
 LEAVES = 4
 
 _MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
@@ -283,17 +283,20 @@ def candidates(html: str) -> list[tuple[str, int]]:
     return [(page.path_of(e), s * 1000 // most) for s, e in best.values() if s * 1000 >= most]
 
 
-def main_text(html: str, path: str | None) -> str:
-    """The text of the containers on the path, or else on that of the page's best container."""
+def main_text(html: str, path: str | None, others: list[str] | None = None) -> str:
+    """The text of the containers on the path, or on one of the others that it falls far behind, or else on that of the page's best container."""
     page = Page(html)
     score = page.scored()
     if not score:
         return ""
-    agreed = None if path is None else page.path_named(path)
-    best = page.path[min(score, key=lambda e: (-score[e], e))]
-    there, other = ([e for e in score if page.path[e] == p] for p in (agreed, best))
-    near = LEAVES * sum(score[e] for e in there) >= sum(score[e] for e in other)
-    return page.text_of(there if there and near else other)
+    on = lambda p: [e for e in score if page.path[e] == p]
+    total = lambda boxes: sum(score[e] for e in boxes)
+    there = [] if path is None else on(page.path_named(path))
+    for other in others or ():
+        instead = on(page.path_named(other))
+        if there and LEAVES * total(there) < total(instead):
+            there = instead
+    return page.text_of(there or on(page.path[min(score, key=lambda e: (-score[e], e))]))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +311,13 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, box): the path that each host's pages agree on."""
+    """(host, box, others): the path that each host's pages agree on, and those not above it with half as many votes or more."""
     asked = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> '' and html is not null")
-    sums = asked.mapInArrow(_votes, "host string, box string, score bigint").groupBy("host", "box").agg(F.sum("score").alias("score"))
-    return sums.groupBy("host").agg(F.max(F.struct("score", "box")).alias("best")).select("host", F.col("best.box").alias("box"))
+    sums = stored(asked.mapInArrow(_votes, "host string, box string, score bigint").groupBy("host", "box").agg(F.sum("score").alias("score")), "votes")
+    best = sums.groupBy("host").agg(F.max(F.struct("score", "box")).alias("best"))
+    second = sums.join(best, "host").where((2 * F.col("score") >= F.col("best.score")) & ~F.startswith(F.concat("best.box", F.lit(">")), F.concat("box", F.lit(">"))))
+    others = second.groupBy("host").agg(F.array_sort(F.collect_list("box")).alias("others"))
+    return best.join(others, "host", "left").select("host", F.col("best.box").alias("box"), "others")
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
@@ -328,8 +334,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html", url
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, p) if h else "" for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            texts = [main_text(h, p, o) if h else "" for h, p, o in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
-    out = joined.select("key", "url", "html", "box").mapInArrow(read, f"key {kind}, url string, text string, n_chars bigint")
+    out = joined.select("key", "url", "html", "box", "others").mapInArrow(read, f"key {kind}, url string, text string, n_chars bigint")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")

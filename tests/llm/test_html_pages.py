@@ -1,6 +1,6 @@
 """Pages of the kinds that have lost text: open links, forms around pages, teasers on the host's path."""
 
-from quern.llm.html_text import candidates, extract_text, main_text
+from quern.llm.html_text import candidates, extract_text, host_paths, main_text
 
 LONG = " ".join(f"Sentence {i} of the story tells what happened on that day, in plain words." for i in range(9))
 OTHER = " ".join(f"Line {i} of a second part goes on about the same matter at some length." for i in range(7))
@@ -27,8 +27,18 @@ def test_a_form_around_the_page_is_the_page():
 
 def test_a_page_leaves_the_hosts_path_for_a_teaser():
     page = f"<body><div class=intro><p>A short teaser in here.</p></div><div class=story><p>{LONG}</p></div>"
-    assert main_text(page, "body>div.intro") == LONG
-    assert main_text(page.replace("A short teaser in here.", OTHER), "body>div.intro") == OTHER
+    assert main_text(page, "body>div.intro", ["body>div.story"]) == LONG
+    assert main_text(page, "body>div.intro", ["body>div.none"]) == main_text(page, "body>div.intro") == "A short teaser in here."
+    assert main_text(page.replace("A short teaser in here.", OTHER), "body>div.intro", ["body>div.story"]) == OTHER
+
+
+def test_paths_that_a_host_votes_for(spark):
+    page = lambda intro, story: f"<body><div class=intro><p>{intro}</p></div><div class=story><p>{story}</p></div>"
+    rows = [(i, "http://h.org/", page(LONG, OTHER[:250])) for i in range(4)] + [(9, "http://h.org/", page("A short teaser.", LONG)), (10, "http://h.org/", "<body><div class=x><p>" + LONG)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert [(r.box, r.others) for r in host_paths(df).collect()] == [("body>div.intro", ["body>div.story"])]
+    got = {r.page_id: r.text for r in extract_text(df).collect()}
+    assert got == {**{i: LONG for i in range(4)}, 9: LONG, 10: LONG}
 
 
 def test_all_paths_vote_with_their_best_container():
