@@ -170,7 +170,8 @@ def checked_runs(rows: DataFrame, require_energy: bool = True) -> DataFrame:
 
 
 def preprocessed_runs(rows: DataFrame, require_energy: bool = True, threshold: float = 3.5) -> dict[str, DataFrame]:
-    """records with outlier flags, quarantine, outlier events and the one-row report. Outliers are flagged, never dropped."""
+    """records with outlier flags, quarantine, events and the one-row report. Outliers are flagged, never dropped; each has an event (warning), and
+    so has each reason of a refused run (error)."""
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     checked = stored(checked_runs(rows, require_energy), "runs")
@@ -180,7 +181,11 @@ def preprocessed_runs(rows: DataFrame, require_energy: bool = True, threshold: f
     flagged = stored(far.select("row_number", "query_id", "configuration", F.concat("metric", F.lit(":robust_z")).alias("code"), "value", "median", "mad", "robust_z"), "flagged")
     flags = flagged.groupBy("row_number").agg(F.array_sort(F.collect_list("code")).alias("flags"))
     records = fine.join(flags, "row_number", "left").select("row_number", "query_id", "configuration", "eligible", *METRICS, F.coalesce("flags", F.array().cast("array<string>")).alias("outlier_flags"), F.col("value").alias("record"))
+    stamp = F.struct(F.lit(VERSION).alias("version"), F.col("row_number").alias("source_row_number"), F.col("eligible").alias("analysis_eligible"), "outlier_flags")
+    records = records.withColumn("preprocessing", stamp)
+    refused = checked.where(F.size("reasons") > 0).select("row_number", "query_id", "configuration", F.lit("error").alias("level"), F.explode("reasons").alias("code"))
+    events = flagged.withColumn("level", F.lit("warning")).unionByName(refused, allowMissingColumns=True)
     quarantine = checked.where(F.size("reasons") > 0).select(F.col("row_number").alias("source_row_number"), "query_id", "configuration", "reasons", F.col("value").alias("record"))
     lacking = [F.count_if((F.size("reasons") == 0) & F.col("eligible") & F.col(m).isNull()).alias(m) for m in list(METRICS)[1:]]
     report = checked.agg(F.count("*").alias("input_rows"), F.count_if(F.size("reasons") == 0).alias("output_rows"), F.count_if((F.size("reasons") == 0) & F.col("eligible")).alias("analysis_eligible_rows"), F.count_if(F.size("reasons") > 0).alias("quarantined_rows"), F.struct(*lacking).alias("missing_metrics"))
-    return {"records": records, "quarantine": quarantine, "events": flagged, "report": report.crossJoin(_counted(flagged.select(F.col("code").alias("k")), "outlier_flags"))}
+    return {"records": records, "quarantine": quarantine, "events": events, "report": report.crossJoin(_counted(flagged.select(F.col("code").alias("k")), "outlier_flags"))}

@@ -127,3 +127,24 @@ def risk_heads(spark, sf_dir):
     stats = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("configuration")).agg(F.array(F.avg("n_chars")).alias("means"), F.array(F.stddev_pop("n_chars")).alias("scales"))
     head = lambda name, w0, w: stats.withColumns({"head": F.lit(name), "intercept": F.lit(w0), "coefficients": F.array(F.lit(w))})
     return P.scored_runs(runs, head("miss", -1.5, 0.7).unionByName(head("trigger", -1.0, -0.4))).select("doc_id", F.round("risk_score", 9).alias("risk_score"), "failure")
+
+
+@query(
+    f"""WITH {_CHECKED}, r AS (SELECT * FROM q WHERE len(all_reasons) = 0)
+SELECT 'reason' AS kind, k, count(*) AS n FROM (SELECT unnest(all_reasons) AS k FROM q) GROUP BY ALL
+UNION ALL SELECT 'split', split, count(*) FROM r JOIN (SELECT doc_id, split FROM {_split_sql("doc_id").replace("FROM documents", "FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations)")}) ON doc_id = conv_id GROUP BY ALL"""
+)
+def query_report_maps(spark, sf_dir):
+    """The maps of the report on queries, as rows: what was quarantined and why, and the records of each split."""
+    report = _preprocessed(spark, sf_dir)["report"]
+    each = lambda kind, column: report.select(F.lit(kind).alias("kind"), F.explode(column).alias("k", "n"))
+    return each("reason", "quarantine_reasons").unionByName(each("split", "splits"))
+
+
+@query(
+    f"""WITH {_RUNS} SELECT 'error' AS level, r AS code, count(*) AS n FROM (SELECT unnest(reasons) AS r FROM k) GROUP BY ALL"""
+)
+def run_error_events(spark, sf_dir):
+    """Events of refused runs by reason."""
+    e = Q.preprocessed_runs(raw_runs(spark, sf_dir))["events"]
+    return e.where("level = 'error'").groupBy("level", "code").agg(F.count("*").alias("n"))
