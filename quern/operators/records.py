@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import REPEATED, SHORT_CUES, hash_fraction, normalize_all, redact, text_variant
+from quern.functions.text import REPEATED, SHORT_CUES, bigrams, compact, hash_fraction, normalize_all, prepared_match, redact, text_variant
+from quern.sources.files import stored
 
 # Required columns, those that only annotated data may have, and those that inference data may have.
 REQUIRED = ("query_id", "text", "disaster_type", "query_type", "risk_level", "language", "should_fallback", "source_group_id")
@@ -200,3 +201,20 @@ def capped_round_robin(df: DataFrame, kind: str, group: str, canonical: str, key
 
     kept = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, f"key {df.schema[key].dataType.simpleString()}")
     return df.join(kept.withColumnRenamed("key", key), key, "left_semi")
+
+
+def matched_actions(actions: DataFrame, answers: DataFrame, by: str, share: float = 0.55, block_bytes: int | None = None) -> DataFrame:
+    """(by, matched): in how many answers (text) each action (by, text) is found, by its text or by `share` of its character pairs.
+
+    The stated set of actions meets all answers, in blocks that are measured before they are broadcast. Both sides are written with their pairs, so that no meeting makes them again.
+    """
+    from quern.operators.retrieval import BLOCK_BYTES, bounded_blocks
+
+    held = stored(answers.select(compact(F.col("text")).alias("answer"), bigrams(F.col("text")).alias("held")), "answers")
+    asked = stored(actions.select(by, compact(F.col("text")).alias("action"), bigrams(F.col("text")).alias("wanted")), "actions")
+    size = 64 + F.coalesce(F.octet_length("action"), F.lit(0)) + 24 * F.greatest(F.size("wanted"), F.lit(0))
+    found = None
+    for block in bounded_blocks(asked, size, block_bytes or BLOCK_BYTES):
+        own = held.crossJoin(F.broadcast(block)).where(prepared_match(*map(F.col, ("action", "wanted", "answer", "held")), share)).groupBy(by).agg(F.count("*").alias("matched"))
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy(by).agg(F.sum("matched").alias("matched"))

@@ -80,6 +80,16 @@ def hashing_encoder(dimensions: int = 384):
     return lambda column: encode(column, tokens(column))
 
 
+def bounded_blocks(df: DataFrame, size: Column, most: int = BLOCK_BYTES) -> list[DataFrame]:
+    """df in blocks whose rows take at most `most` bytes by `size`, for a stated set of rows that is broadcast; a row larger than that is a block by itself."""
+    held = df.agg(F.count("*").alias("rows"), F.coalesce(F.max(size), F.lit(1)).alias("longest")).first()
+    per = max(1, most // max(1, held.longest))
+    if held.rows <= per:
+        return [df]
+    rows = stored(numbered(df), "blocks")
+    return [rows.where((F.col("row_number") > at) & (F.col("row_number") <= at + per)).drop("row_number") for at in range(0, held.rows, per)]
+
+
 def dense(corpus: DataFrame, queries: DataFrame, top_k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, evidence_id, score, rank) by inner product; both sides have (id, vector). The stated query set meets all rows.
 
@@ -89,13 +99,7 @@ def dense(corpus: DataFrame, queries: DataFrame, top_k: int = 5, block_bytes: in
     asked = queries.select("query_id", F.col("vector").alias("asked"))
     # numbers of a vector, its key, and what a row costs besides
     size = 8 * F.greatest(F.size("asked"), F.lit(0)) + F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0)) + 64
-    held = asked.agg(F.count("*").alias("rows"), F.coalesce(F.max(size), F.lit(1)).alias("longest")).first()
-    per = max(1, block_bytes // held.longest)
-    blocks = [asked]
-    if held.rows > per:
-        asked = stored(numbered(asked), "asked")
-        edges = range(0, held.rows, per)
-        blocks = [asked.where((F.col("row_number") > at) & (F.col("row_number") <= at + per)).drop("row_number") for at in edges]
+    blocks = bounded_blocks(asked, size, block_bytes)
     score = dot(F.col("vector"), F.col("asked")).alias("score")
     # each block keeps its own first rows, so that the blocks' rows meet as few
     first = [ranked(corpus.select("evidence_id", "vector").crossJoin(F.broadcast(b)).select("query_id", "evidence_id", score), top_k) for b in blocks]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import records as C
 from quern.plans.retrieval import TOKENS, table
-from quern.sources.files import stored
 
 QUERIES, SQL = {}, {}
 
@@ -197,11 +196,7 @@ SELECT item_id, CAST(count(*) AS BIGINT) AS matched FROM b, c WHERE contains(c.t
 )
 def bigram_match(spark, sf_dir):
     """In how many user turns a whole item is found, by text or by its character pairs."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.compact(F.col("text")).alias("action"), T.bigrams(F.col("text")).alias("wanted"))
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(T.compact(F.col("text")).alias("answer"), T.bigrams(F.col("text")).alias("held"))
-    # the stated set of items meets all turns; both sides are written with their bigrams, so that no pair makes them again
-    pairs = stored(c, "answers").crossJoin(stored(b, "actions"))
-    return pairs.where(T.prepared_match(*map(F.col, ("action", "wanted", "answer", "held")))).groupBy("item_id").agg(F.count("*").alias("matched"))
+    return C.matched_actions(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations").where("role = 'user'"), "item_id")
 
 
 @query("SELECT doc_id, md5(concat('42:', source)) AS digest, substr(sha256(concat('key:', doc_id)), 1, 20) AS blind_id FROM documents")

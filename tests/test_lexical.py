@@ -98,3 +98,13 @@ def test_blocks_and_lists_are_left_out():
     before = told.scored
     lexical.search_block(mixed, weights, places, best, 10.0, 1.5, 0.75, told)
     assert told.scored - before <= 2 and list(best.lists[0]) == ["b"]
+
+
+def test_actions_meet_answers_in_measured_blocks(spark):
+    from quern.operators.records import matched_actions
+
+    actions = spark.createDataFrame([("a", "stay low"), ("b", "leave now"), ("c", "x"), ("d", None)], "id string, text string")
+    answers = spark.createDataFrame([("Please stay low.",), ("stay lo",), ("leave, now",), ("x y",), (None,)], "text string")
+    want = {"a": 2, "b": 1, "c": 1}
+    for size in (1, 200, 1 << 20):
+        assert {r.id: r.matched for r in matched_actions(actions, answers, "id", block_bytes=size).collect()} == want
