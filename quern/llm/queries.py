@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table with production parameters, and their SQL."""
+"""The queries of the thirteen operators, each over its whole table with production parameters, and their SQL."""
 
 from __future__ import annotations
 
