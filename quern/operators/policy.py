@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from quern.functions.numbers import binomial_upper, sigmoid, wilson_upper
 from quern.operators import descent, ranks
+from quern.sources.files import stored
 
 #: Configurations that can be chosen, the one to fall back to, and risk offsets of the simple predictor.
 CONFIGURATIONS, FALLBACK = ("C0", "C1", "C2"), "C3"
 OFFSETS = {"C0": 0.18, "C1": 0.02, "C2": -0.04}
 #: Upper bounds of a failure rate: Wilson's approximation in the JVM, or the exact one.
 BOUNDS = {"wilson": wilson_upper, "clopper-pearson": binomial_upper}
+#: Rows that a forest is fitted on one by one, and about as many blocks of equal vectors that a larger table is fitted by; their partitions.
+FOREST_ROWS, FOREST_PARTS = 1 << 20, 96
 HEADS = ("trigger", "miss", "quality_failure", "combined_risk", "severe_failure")
 
 
@@ -157,6 +160,41 @@ def energy_forest(rows: DataFrame, features: list[str], target: str, seed: int =
     return VectorAssembler(inputCols=features, outputCol="features"), RandomForestRegressor(labelCol=target, numTrees=300, minInstancesPerNode=least, featureSubsetStrategy="all", seed=seed)
 
 
+def forest_blocks(rows: DataFrame, features: list[str], target: str, most: int = FOREST_ROWS) -> DataFrame:
+    """(features, target, _weight): each feature vector's rows in blocks, with their mean target and their number; about `most` blocks, or one for each vector if
+    these are more. All rows count.
+
+    Splits and leaves depend on sums of targets alone, which the blocks keep. Rows are dealt to blocks by a hash of all their columns.
+    """
+    vectors = rows.select(*features).distinct().count()
+    block = F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, most // max(vectors, 1))))
+    whole = F.count(target) == F.count("*")  # a missing target stops the fit, as it does in plain rows
+    summed = rows.withColumn("_block", block).groupBy(*features, "_block").agg(F.when(whole, F.avg(target)).alias(target), F.count("*").cast("double").alias("_weight"))
+    # bags are drawn by partition and place: reruns agree if these do
+    return summed.repartition(FOREST_PARTS, *features, "_block").sortWithinPartitions(*features, "_block").drop("_block")
+
+
+def fitted_forest(rows: DataFrame, features: list[str], target: str, seed: int = 42, trees: int = 300, most: int = FOREST_ROWS):
+    """The energy forest's pipeline model. A table of more than `most` rows is fitted by its blocks, whose bags are drawn block by block; nodes need as many
+    rows as before, counted by weight."""
+    from pyspark.ml import Pipeline
+
+    total = rows.count()
+    assemble, forest = energy_forest(rows, features, target, seed)
+    forest = forest.setNumTrees(trees)
+    if total > most:
+        # half a row less, so that rounding refuses no node of just so many
+        forest = forest.setWeightCol("_weight").setMinWeightFractionPerNode((forest.getMinInstancesPerNode() - 0.5) / total).setMinInstancesPerNode(1)
+        rows = forest_blocks(rows, features, target, most)
+    return Pipeline(stages=[assemble, forest]).fit(rows)
+
+
+def predicted_vectors(rows: DataFrame, model, features: list[str], most: int = FOREST_ROWS >> 4) -> DataFrame:
+    """rows with the model's prediction, made once for each distinct feature vector; up to `most` vectors are broadcast."""
+    found = stored(model.transform(rows.select(*features).distinct()).select(*features, "prediction"), "predicted")
+    return rows.join(F.broadcast(found) if found.count() <= most else found, features)
+
+
 def tasks(queries: DataFrame, configurations: list[str], repetitions: int) -> DataFrame:
     """Every repetition, query and configuration, with its place in this order."""
     # queries are numbered in key order; a run's manifest is as small as its query set
@@ -196,14 +234,11 @@ def model_inputs(features: list[str], configuration: Column, with_state: bool) -
 
 def fit_energy(rows: DataFrame, features: list[str], target: str = "energy_j", seed: int = 42, trees: int = 300) -> dict:
     """Pipeline models of energy without and with the device's state; rows have a configuration."""
-    from pyspark.ml import Pipeline
-
     models = {}
     for name, with_state in (("no_state", False), ("state_aware", True)):
         inputs = model_inputs(features, F.col("configuration"), with_state)
         ready = rows.select(F.col(target).alias("_target"), *[v.alias(k) for k, v in inputs.items()]).where("_target is not null")
-        assemble, forest = energy_forest(ready, list(inputs), "_target", seed)
-        models[name] = Pipeline(stages=[assemble, forest.setNumTrees(trees)]).fit(ready)
+        models[name] = fitted_forest(ready, list(inputs), "_target", seed, trees)
     return models
 
 

@@ -220,6 +220,4 @@ def energy_forest(spark, sf_dir):
     """Predictions of a forest fitted on line items; as large as its input."""
     names = ["l_quantity", "l_discount", "l_tax"]
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *names, "l_extendedprice")
-    assemble, forest = P.energy_forest(rows, names, "l_extendedprice")
-    ready = assemble.transform(rows)
-    return forest.fit(ready).transform(ready).select("l_orderkey", "l_linenumber", F.round(F.greatest("prediction", F.lit(0.0)), 3).alias("energy"))
+    return P.predicted_vectors(rows, P.fitted_forest(rows, names, "l_extendedprice"), names).select("l_orderkey", "l_linenumber", F.round(F.greatest("prediction", F.lit(0.0)), 3).alias("energy"))

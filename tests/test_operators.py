@@ -231,3 +231,13 @@ def test_batches_and_templates(spark, tmp_path):
     S.write_template(df, str(tmp_path / "form"), ["label"])
     back = S.read_csv(spark, str(tmp_path / "form"))
     assert back.columns == ["id", "text", "label"] and back.first().text == "é"
+
+
+def test_forest_of_a_large_table_is_fitted_by_blocks_of_equal_vectors(spark):
+    rows = spark.range(6000).select("id", (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b")).withColumn("y", 100 * F.col("a") + F.col("b") + F.pmod(F.xxhash64("id"), F.lit(7)) / 10.0)
+    blocks = P.forest_blocks(rows, ["a", "b"], "y", 300)
+    sums = blocks.agg(F.count("*"), F.sum("_weight"), F.sum(F.col("_weight") * F.col("y"))).first()
+    assert 200 < sums[0] <= 300 and sums[1] == 6000 and sums[2] == pytest.approx(rows.agg(F.sum("y")).first()[0])
+    plain = {r.id: r.prediction for r in P.fitted_forest(rows, ["a", "b"], "y", trees=20).transform(rows).collect()}
+    found = {r.id: r.prediction for r in P.predicted_vectors(rows, P.fitted_forest(rows, ["a", "b"], "y", trees=20, most=300), ["a", "b"]).collect()}
+    assert len(found) == 6000 and max(abs(found[k] - v) for k, v in plain.items()) < 0.3
