@@ -6,13 +6,16 @@ with a blocking label. Rules that are rare, uncertain, no surer than chance or n
 Each rule is listed under its rarest token; a URL looks its tokens up there and is blocked if all tokens of a rule are its own.
 
 Tokens that stand in exactly the same labelled URLs, such as all segments of one URL that was copied often, are one
-item, and a rule on the item asks for all of them. A rule combines at most ITEMS of a URL's items, those that tell most
-about the label; so a long URL does not make FP-growth list all subsets of its segments.
+item, and a rule on the item asks for all of them. FP-growth lists all subsets of a row's items, so it gets those that
+are among the first ITEMS of every row that has them, those that tell most about the label first. Sets with any other
+item, which only some long URLs have, are grown item by item over the rows that have them, and counted exactly: a set
+is left alone when it is too rare for a rule, blocks always, or stands in the same rows as a part of it, as then no larger set makes a rule
+that its parts do not make.
 
 A null URL, or one without `://`, has an empty host and path and is allowed. Labels are 1 to block and 0 to allow;
 null labels and URLs do not teach. Without labels, or without rules that pass, the association rules block nothing.
 A URL is taken whole, however long. Of equally long domain rules that fit (one host and path), the first by verdict
-decides; of equally telling items the first by name count. Repeated rows get equal results; an empty table gives an
+decides. Repeated rows get equal results; an empty table gives an
 empty result. Other columns of pages, whatever their names, are not read.
 """
 
@@ -34,7 +37,7 @@ SUPPORT, CONFIDENCE, LEAST = 0.002, 0.6, 5
 #: A rule's confidence must be so far above the share of blocking labels among all that chance does this with a
 #: probability of exp(-SURE) at most, by Chernoff's bound.
 SURE = 10.0
-#: Items of a URL that rules may combine at most.
+#: Items of a row that FP-growth gets at most.
 ITEMS = 12
 #: Rows that may be broadcast: frequent tokens, and token sets that rules block.
 BROADCAST_ROWS = 100_000
@@ -72,9 +75,10 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def labelled_items(labelled: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(row, items, label) of each row of (row, tokens, label), and (item, tokens) of each item.
+    """(row, items, label) of each row of (row, tokens, label), items being (item, late) in falling order of what they tell, and (item, tokens) of each item.
 
-    An item is named by the first of its tokens. Tokens with fewer than `least` blocking labels are in no rule.
+    An item is named by the first of its tokens, and late if it is behind the first ITEMS of any row. Tokens with fewer than
+    `least` blocking labels are in no rule.
     """
     base = F.lit(labelled.agg(F.avg("label")).first()[0])
     each = labelled.select("row", "label", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -84,8 +88,42 @@ def labelled_items(labelled: DataFrame, least: float) -> tuple[DataFrame, DataFr
     telling = F.abs(F.col("blocks") - F.col("n") * base) / F.sqrt(F.col("n"))
     items = stored(items.select(F.element_at("tokens", 1).alias("item"), "tokens", F.round(telling, 9).alias("telling")), "items")
     own = each.join(_few(items.select(F.col("item").alias("token"), "telling")), "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("telling")).alias("t"), "token"))).alias("own"))
-    rows = labelled.select("row", "label").join(own.select("row", F.slice("own", 1, ITEMS).getField("token").alias("items")), "row", "left")
-    return rows.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))), items.select("item", "tokens")
+    own = stored(own.select("row", F.col("own.token").alias("names")), "own")
+    late = own.where(F.size("names") > ITEMS).select(F.explode(F.slice("names", ITEMS + 1, F.size("names"))).alias("item")).distinct().withColumn("late", F.lit(True))
+    placed = own.select("row", F.posexplode("names").alias("place", "item")).join(_few(late), "item", "left")
+    told = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "item", F.coalesce("late", F.lit(False)).alias("late")))).alias("items"))
+    rows = labelled.select("row", "label").join(told.select("row", F.transform("items", lambda x: F.struct(x["item"].alias("item"), x["late"].alias("late"))).alias("items")), "row", "left")
+    return rows.withColumn("items", F.coalesce("items", F.array().cast("array<struct<item: string, late: boolean>>"))), items.select("item", "tokens")
+
+
+def grown_sets(rows: DataFrame, least: float) -> DataFrame | None:
+    """(antecedent, n, blocks) of the sets with a late item that may make rules, from (row, items, label); None if no item is late.
+
+    A set grows in one order, late items first and then by name, so that each is made once, from its first part.
+    """
+    each = rows.where(F.exists("items", lambda x: x["late"])).select("row", "label", F.explode("items").alias("i")).select("row", "label", F.struct((~F.col("i.late")).alias("core"), F.col("i.item").alias("item")).alias("last"))
+    if not each.limit(1).count():
+        return None
+    each = stored(each, "each")
+    held = each.where(~F.col("last.core")).withColumn("antecedent", F.array("last.item"))
+    found, before = None, None
+    while True:
+        counted = held.groupBy("antecedent").agg(F.count("*").alias("n"), F.sum("label").alias("blocks")).where(F.col("blocks") >= least)
+        if before is not None:
+            # parts without a late item are FP-growth's and not looked at here, which leaves more to grow and no less
+            part = before.select(F.col("antecedent").alias("part"), F.col("n").alias("part_n"))
+            parts = counted.select("antecedent", "n", F.explode(F.transform("antecedent", lambda x: F.array_remove("antecedent", x))).alias("part"))
+            same = parts.join(part, "part").where(F.col("n") == F.col("part_n")).select("antecedent").distinct()
+            counted = counted.join(same, "antecedent", "left_anti")
+        counted = stored(counted, "sets")
+        if not counted.limit(1).count():
+            return found
+        found = counted if found is None else found.unionByName(counted)
+        before = counted
+        going = _few(counted.where("blocks < n").select("antecedent"))
+        more = each.select("row", F.col("last").alias("next"))
+        grown = held.join(going, "antecedent").join(more, "row").where("next > last")
+        held = stored(grown.select("row", "label", F.col("next").alias("last"), F.concat("antecedent", F.array("next.item")).alias("antecedent")), "grown")
 
 
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, sure: float = SURE) -> DataFrame:
@@ -97,9 +135,15 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
         return labelled.sparkSession.createDataFrame([], schema)
     needed = max(support * total, least)
     rows, items = labelled_items(labelled, needed)
-    taught = stored(rows.select(F.when(F.col("label") == 1, F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items")), "taught")
+    rows = stored(rows, "rows")
+    core = F.transform(F.filter("items", lambda x: ~x["late"]), lambda x: x["item"])
+    taught = stored(rows.select(F.when(F.col("label") == 1, F.concat(core, F.array(F.lit(BLOCK)))).otherwise(core).alias("items")), "taught")
     model = FPGrowth(itemsCol="items", minSupport=needed / total, minConfidence=confidence).fit(taught)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).select("antecedent", "confidence", "support")
+    # so many blocking labels alone would have to be surer than chance
+    grown = grown_sets(rows, max(needed, sure / -math.log(blocked / total)) if blocked < total else needed)
+    if grown is not None:
+        found = found.unionByName(grown.select("antecedent", (F.col("blocks") / F.col("n")).alias("confidence"), (F.col("blocks") / total).alias("support")).where(F.col("confidence") >= confidence))
     base, c = blocked / total, F.col("confidence")
     apart = F.when(c >= 1, -math.log(base)).otherwise(c * F.log(c / base) + (1 - c) * F.log((1 - c) / max(1 - base, 1e-300)))
     found = found.where((c >= base) & (F.col("support") * total / c * apart > sure))

@@ -29,6 +29,21 @@ def test_mining_matches_all_itemsets(spark):
     assert want and got.keys() == want.keys() and all(abs(got[o] - want[o]) < 1e-12 for o in want)
 
 
+def test_items_behind_the_first_ones_of_a_row_are_in_rules_too(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        own = sorted(t for t, p in (("a", 0.5), ("b", 0.6), ("c", 0.5), ("d", 0.7), ("e", 0.4), ("f", 0.8)) if rng.random() < p)
+        rows.append((own, int(rng.random() < (0.95 if {"b", "d", "f"} <= set(own) else 0.9 if {"a", "c"} <= set(own) else 0.2))))
+    frame = spark.createDataFrame(rows, "tokens array<string>, label int")
+    mined = lambda: {tuple(r.tokens): (round(r.confidence, 12), round(r.support, 12)) for r in url_rules.mined_rules(frame, support=0.0, confidence=0.5, least=5, sure=1.5).collect()}
+    want = mined()
+    assert max(map(len, want)) > 2
+    for most in (0, 1, 2, 3):
+        monkeypatch.setattr(url_rules, "ITEMS", most)
+        assert mined() == want
+
+
 def test_rules_by_chance_are_pruned(spark):
     rng = random.Random(5)
     rows = [([f"t{rng.randrange(60)}", f"u{rng.randrange(5)}"], int(rng.random() < 0.3)) for _ in range(2000)]
