@@ -9,23 +9,30 @@ additions cannot change a result.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.functions.numbers import day, dot, jurisdiction_applies
+from quern.functions.numbers import day, jurisdiction_applies
 from quern.functions.text import SECOND_STEP, clauses, compact, tokens
 from quern.operators.lexical import lexical_index, matched
+from quern.sources.batches import small_batches
 from quern.sources.files import numbered, stored
 
 DIGITS = 9
 #: Bytes of query vectors that are broadcast at a time.
 BLOCK_BYTES = 64 << 20
+#: Scores of a task's rows and a block's queries that are in memory at a time.
+MOST_SCORES = 1 << 20
 
 
 def ranked(scored: DataFrame, top_k: int) -> DataFrame:
@@ -54,6 +61,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 5, k1: float = 1.5,
 
 def hashing_encoder(dimensions: int = 384):
     """A pandas UDF: signed counts of tokens and character pairs in hashed places, of length 1."""
+    small_batches()
 
     @pandas_udf("array<double>")
     def encode(text: pd.Series, words: pd.Series) -> pd.Series:
@@ -68,10 +76,11 @@ def hashing_encoder(dimensions: int = 384):
 
         def one(t: str, own) -> list[float]:
             small = "".join((t or "").lower().split())
-            v = np.zeros(dimensions)
-            for f, n in Counter([*own, *map("".join, zip(small, small[1:], strict=False))]).items():
-                at, sign = place(f)
-                v[at] += sign * n
+            counts = Counter([*own, *map("".join, zip(small, small[1:], strict=False))])
+            if not counts:
+                return [0.0] * dimensions
+            at, signs = zip(*map(place, counts), strict=True)
+            v = np.bincount(at, np.multiply(signs, list(counts.values())), dimensions)
             size = np.linalg.norm(v)
             return (v / size if size else v).tolist()
 
@@ -94,16 +103,74 @@ def dense(corpus: DataFrame, queries: DataFrame, top_k: int = 5, block_bytes: in
     """(query_id, evidence_id, score, rank) by inner product; both sides have (id, vector). The stated query set meets all rows.
 
     Queries are measured first and go out in blocks of at most `block_bytes`, each of which reads the corpus once. A query whose
-    own row is larger is a block by itself.
+    own row is larger is a block by itself. A task multiplies its rows with a block's queries and holds each query's first top_k so far;
+    it gives these and no other pair. Vectors that are null, hold nulls or differ in length have no score and come last.
     """
-    asked = queries.select("query_id", F.col("vector").alias("asked"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("asked"))
     # numbers of a vector, its key, and what a row costs besides
     size = 8 * F.greatest(F.size("asked"), F.lit(0)) + F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0)) + 64
     blocks = bounded_blocks(asked, size, block_bytes)
-    score = dot(F.col("vector"), F.col("asked")).alias("score")
+    rows = corpus.select("evidence_id", F.col("vector").cast("array<double>").alias("vector"))
     # each block keeps its own first rows, so that the blocks' rows meet as few
-    first = [ranked(corpus.select("evidence_id", "vector").crossJoin(F.broadcast(b)).select("query_id", "evidence_id", score), top_k) for b in blocks]
-    return first[0] if len(first) == 1 else ranked(reduce(DataFrame.unionByName, first), top_k)
+    return ranked(reduce(DataFrame.unionByName, [_nearest(rows, b, max(top_k, 0)) for b in blocks]), top_k)
+
+
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one width, short ones ended with zeros, and each row's length, or -1 where it is null or holds a null."""
+    width = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten()
+    out = np.zeros((len(vectors), max(0, int(width.max(initial=0)))))
+    out[np.arange(out.shape[1]) < width[:, None]] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        width[np.repeat(np.arange(len(width)), np.maximum(width, 0))[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = -1
+    return out, width
+
+
+def _first(ids: list, scores: np.ndarray, top_k: int) -> list[tuple]:
+    """The top_k of (score, id): NaN before numbers, missing scores (None) last, then by id, as `ranked` orders them."""
+    return sorted(zip(scores, ids, strict=True), key=lambda x: (x[0] is None, 0.0 if x[0] is None else -np.inf if x[0] != x[0] else -x[0], x[1] is not None, x[1]))[:top_k]
+
+
+def _nearest(rows: DataFrame, block: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, evidence_id, score) of each query's first rows, top_k of each task at most."""
+    spark, kinds = rows.sparkSession, (block.schema["query_id"].dataType, rows.schema["evidence_id"].dataType)
+    shared = spark.sparkContext.broadcast(block.toArrow().combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        names, (asked, wide) = table.column("query_id").to_pylist(), _matrix(_whole(table.column("asked")))
+        best: list[list[tuple]] = [[] for _ in names]
+        least = np.full(len(names), -np.inf)  # a score below it is in no list; -inf while a list is short
+        step = max(1, MOST_SCORES // max(1, len(names)))
+        for batch in batches if top_k and names else ():
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                ids, (own, width) = part.column(0), _matrix(part.column(1))
+                both = min(own.shape[1], asked.shape[1])
+                with np.errstate(all="ignore"):
+                    score = np.round(asked[:, :both] @ own[:, :both].T, DIGITS)
+                none = (width[None, :] != wide[:, None]) | (width < 0)[None, :]
+                for q in range(len(names)):
+                    usual, end = not none[q].any(), least[q]
+                    near = np.flatnonzero(~(score[q] < end)) if usual else np.flatnonzero(none[q] | ~(score[q] < end))
+                    own_score = score[q, near]
+                    if usual and len(near) > 4 * top_k and not np.isnan(own_score).any():  # ties at the end stay
+                        near = near[own_score >= -np.partition(-own_score, top_k - 1)[top_k - 1]]
+                        own_score = score[q, near]
+                    if len(near):
+                        found = [None if missing else s for missing, s in zip(none[q, near].tolist(), own_score.tolist(), strict=True)]
+                        held = best[q] = _first([*[i for _, i in best[q]], *ids.take(pa.array(near)).to_pylist()], [*[s for s, _ in best[q]], *found], top_k)
+                        if len(held) == top_k and held[-1][0] is not None and held[-1][0] == held[-1][0]:
+                            least[q] = held[-1][0]
+        found = [(names[q], i, s) for q, held in enumerate(best) for s, i in held]
+        columns = list(zip(*found, strict=True)) if found else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*map(to_arrow_type, kinds), pa.float64()), strict=True)], names=["query_id", "evidence_id", "score"])
+
+    return rows.mapInArrow(run, f"query_id {kinds[0].simpleString()}, evidence_id {kinds[1].simpleString()}, score double")
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
 def fused(lists: list[tuple[DataFrame, float]], top_k: int, rrf_k: int = 60) -> DataFrame:

@@ -41,8 +41,8 @@ def extractive(evidence: Column) -> Column:
 
 
 def _gathered(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, evidence): a query's few documents in rank order."""
-    found = ranked.join(corpus.select("evidence_id", "text"), "evidence_id")
+    """(query_id, evidence): a query's few documents in rank order. Their ids go to the texts, so that no text of other documents is shuffled."""
+    found = corpus.select("evidence_id", "text").join(F.broadcast(ranked), "evidence_id")
     return found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "evidence_id", "text"))), lambda e: F.struct(e["evidence_id"].alias("evidence_id"), e["text"].alias("text"))).alias("evidence"))
 
 

@@ -241,3 +241,17 @@ def test_forest_of_a_large_table_is_fitted_by_blocks_of_equal_vectors(spark):
     plain = {r.id: r.prediction for r in P.fitted_forest(rows, ["a", "b"], "y", trees=20).transform(rows).collect()}
     found = {r.id: r.prediction for r in P.predicted_vectors(rows, P.fitted_forest(rows, ["a", "b"], "y", trees=20, most=300), ["a", "b"]).collect()}
     assert len(found) == 6000 and max(abs(found[k] - v) for k, v in plain.items()) < 0.3
+
+
+def test_dense_gives_each_tasks_first_rows_alone(spark):
+    nan = float("nan")
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", None), ("d", [2.0, None]), ("e", [3.0]), ("f", [nan, 0.0]), *[(f"g{i:03}", [i / 1000, 1.0]) for i in range(300)]], "evidence_id string, vector array<float>").repartition(3)
+    queries = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0]), ("r", None)], "query_id string, vector array<double>")
+    got = {}
+    for r in R.dense(corpus, queries, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.evidence_id, r.score))
+    assert [i for i, _ in got["p"]] == ["f", "a", "b", "g299"] and got["p"][1][1] == 1.0 and got["p"][0][1] != got["p"][0][1]
+    assert got["q"][1:] == [("g000", 1.0), ("g001", 1.0), ("g002", 1.0)] and got["r"] == [(i, None) for i in "abcd"]
+    assert [r.evidence_id for r in R.dense(corpus.where("get(vector, 1) is null"), queries.limit(1), 9).orderBy("rank").collect()] == ["c", "d", "e"]
+    found = R._nearest(corpus, queries.where("query_id = 'p'").withColumnRenamed("vector", "asked"), 4)
+    assert found.count() <= 4 * 3
