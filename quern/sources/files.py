@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from quern.sources.batches import small_batches
+
 
 def numbered(df: DataFrame, name: str = "row_number") -> DataFrame:
     """Adds row numbers from 1 in the input's order, by counts of partitions rather than one task for all rows."""
@@ -155,6 +157,7 @@ def marked_text(html: Column, start: str | None = None, end: str | None = None)
     """A page's text between two markers, without scripts, styles, menus and footers."""
     t = F.regexp_replace(html, "(?is)<(script|style|nav|footer|noscript)\\b.*?</\\1\\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(F.regexp_replace(t, "(?is)<(br|/p|/div|/li|/h[1-6]|/tr)\\b[^>]*>", "\n"), "(?s)<[^>]*>", "")
+    small_batches()
     t = unescaped(t)
     if start:
         t = F.when(F.contains(t, F.lit(start)), F.substring(t, F.instr(t, F.lit(start)), F.length(t))).otherwise(t)
