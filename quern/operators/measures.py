@@ -12,6 +12,8 @@ from quern.sources.files import stored
 #: Fixed value: what makes a median absolute deviation a standard deviation's estimate.
 MAD_SCALE = 0.67448975
 MOST_GAP_S = 0.03
+#: Groups whose medians are broadcast.
+FEW_GROUPS = 100_000
 
 
 def valid_energy(energy: Column, meter_valid: Column) -> Column:
@@ -67,15 +69,22 @@ def resource_profile(runs: DataFrame, configuration: str, latency: Column, memor
     return ranks.with_percentiles(groups, runs, [configuration], wanted)
 
 
+def _few(groups: DataFrame, most: int = FEW_GROUPS) -> DataFrame:
+    """Groups' rows, written, and broadcast up to `most` of them: dealt by a few groups, all their rows would meet in as few tasks."""
+    groups = stored(groups, "groups")
+    return F.broadcast(groups) if groups.count() <= most else groups
+
+
 def robust_outliers(df: DataFrame, group: str, value: Column, threshold: float = 3.5, least: int = 5) -> DataFrame:
     """Adds median, mad and robust_z, and keeps rows beyond the threshold. Groups of fewer values or without spread have none."""
     rows = df.withColumn("value", finite(value)).where("value >= 0")
     middle = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     middle = ranks.with_percentiles(middle, rows, [group], {"median": (F.col("value"), 0.5)})
+    middle = _few(middle)
     near = rows.join(middle, group).withColumn("_off", F.abs(F.col("value") - F.col("median")))
     spread = ranks.percentiles(near, [group], {"mad": (F.col("_off"), 0.5)}).where("mad > 0")
     z = F.lit(MAD_SCALE) * (F.col("value") - F.col("median")) / F.col("mad")
-    return near.join(spread, group).withColumn("robust_z", z).where(F.abs("robust_z") > threshold).drop("_n", "_off")
+    return near.join(_few(spread), group).withColumn("robust_z", z).where(F.abs("robust_z") > threshold).drop("_n", "_off")
 
 
 def kappa(pairs: DataFrame, a: Column, b: Column, weighted: bool = False) -> DataFrame:

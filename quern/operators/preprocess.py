@@ -33,12 +33,6 @@ def _string(field: str) -> Column:
     return F.try_variant_get("v", f"$.{field}", "string")
 
 
-def _finite(path: str, positive: bool = False) -> Column:
-    """A finite number of at least 0, or null; a string counts as the number that it spells, a boolean does not."""
-    x = F.when(_kind(path) != "BOOLEAN", F.try_variant_get("v", path, "double"))
-    return F.when(~F.isnan(x) & (x < float("inf")) & ((x > 0) if positive else (x >= 0)), x)
-
-
 def _number(rows: DataFrame) -> Column:
     """What a record is numbered by: its place among records, where the reader has told it from the line, or else row_number."""
     return F.col("record_number" if "record_number" in rows.columns else "row_number").alias("row_number")
@@ -158,15 +152,21 @@ def in_order(records: DataFrame) -> DataFrame:
 def checked_runs(rows: DataFrame, require_energy: bool = True) -> DataFrame:
     """Run rows with `reasons`, status, ids and metrics: required keys, and for a run that went well a positive latency, telemetry and, if required, its energy."""
     df = rows.select(_number(rows), "value", F.try_parse_json("value").alias("v"))
-    ok = F.coalesce(_string("status") == "ok", F.lit(False))
-    blank = lambda f: (_kind(f"$.{f}") == "VOID") | ((_kind(f"$.{f}") == "STRING") & (_string(f) == ""))
-    told = F.startswith(_kind("$.telemetry"), F.lit("OBJECT"))
+    # each field is taken out once; as text, only an empty string is empty and only a boolean, among what has a number, is spelled true or false
+    df = df.withColumns({f"_{f}": _string(f) for f in RUN_KEYS} | {f"_{m}": F.try_variant_get("v", p, "double") for m, p in METRICS.items()} | {"_told": F.startswith(_kind("$.telemetry"), F.lit("OBJECT"))})
+    ok = F.coalesce(F.col("_status") == "ok", F.lit(False))
+
+    def finite_(m: str, positive: bool = False) -> Column:
+        x = F.col(f"_{m}")
+        boolean = x.isin(0.0, 1.0) & F.try_variant_get("v", METRICS[m], "string").isin("true", "false")
+        return F.when(~F.isnan(x) & (x < float("inf")) & ((x > 0) if positive else (x >= 0)) & ~boolean, x)
+
     reasons = _compact(
-        *[F.when(blank(f), F.lit(f"missing_required:{f}")) for f in RUN_KEYS],
-        F.when(ok & _finite("$.latency_ms", positive=True).isNull(), F.lit("invalid_or_missing:latency_ms")),
-        F.when(ok & ~told, F.lit("invalid_or_missing:telemetry")).when(ok & F.lit(require_energy) & _finite("$.telemetry.energy_j").isNull(), F.lit("invalid_or_missing:energy_j")),
+        *[F.when(F.coalesce(F.col(f"_{f}"), F.lit("")) == "", F.lit(f"missing_required:{f}")) for f in RUN_KEYS],
+        F.when(ok & finite_("latency_ms", positive=True).isNull(), F.lit("invalid_or_missing:latency_ms")),
+        F.when(ok & ~F.col("_told"), F.lit("invalid_or_missing:telemetry")).when(ok & F.lit(require_energy) & finite_("energy_j").isNull(), F.lit("invalid_or_missing:energy_j")),
     )
-    return df.select("row_number", "value", F.coalesce(_string("query_id"), F.lit("")).alias("query_id"), F.coalesce(_string("configuration"), F.lit("")).alias("configuration"), ok.alias("eligible"), F.array_sort(F.array_distinct(reasons)).alias("reasons"), *[_finite(p).alias(m) for m, p in METRICS.items()])
+    return df.select("row_number", "value", F.coalesce("_query_id", F.lit("")).alias("query_id"), F.coalesce("_configuration", F.lit("")).alias("configuration"), ok.alias("eligible"), F.array_sort(F.array_distinct(reasons)).alias("reasons"), *[finite_(m).alias(m) for m in METRICS])
 
 
 def preprocessed_runs(rows: DataFrame, require_energy: bool = True, threshold: float = 3.5) -> dict[str, DataFrame]:

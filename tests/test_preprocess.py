@@ -134,3 +134,22 @@ def test_records_are_numbered_without_blank_lines(spark, tmp_path):
     assert sorted((r.row_number, r.record_number) for r in rows.collect()) == [(2, 1), (5, 2), (6, 3)]
     assert sorted(r.row_number for r in Q.checked_runs(rows).collect()) == [1, 2, 3]
     assert sorted(r.source_row_number for r in Q.preprocessed_queries(rows)["quarantine"].collect()) == [1, 2, 3]
+
+
+def test_fields_of_runs_are_taken_out_once(spark):
+    plan = Q.checked_runs(spark.createDataFrame([(1, "{}")], "row_number long, value string")).select("row_number", "eligible", "reasons")._jdf.queryExecution().optimizedPlan().toString()
+    # four keys, two metrics and whether these are booleans, the telemetry's type
+    assert plan.count("variant_get(") <= 11
+
+
+def test_outliers_are_not_dealt_by_their_groups(spark):
+    from quern.operators.measures import robust_outliers
+
+    rows = spark.range(400).select("id", (F.col("id") % 2).alias("g"), F.when(F.col("id") < 3, F.lit(9e6)).otherwise(F.col("id")).cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        far = robust_outliers(rows, "g", F.col("v"))
+        assert "SortMergeJoin" not in far._jdf.queryExecution().executedPlan().toString() and sorted(r.id for r in far.collect()) == [0, 1, 2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
