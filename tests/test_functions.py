@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import chunks, numbers
 from quern.functions import text as T
+from quern.sources import files as S
 from quern.streaming.meter import next_state
 
 
@@ -93,3 +94,17 @@ def test_each_pattern_of_redaction_runs_once_over_a_text(spark):
         assert got[i] == (t, kinds)
     plan = df.select(r["text"].alias("text"), r["kinds"].alias("kinds")).select(F.length("text"), "kinds")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("A-Z0-9._%+-]+@") <= 4  # tested and replaced, for each of the two columns
+
+
+@pytest.mark.parametrize("made", [T.normalize_text, T.normalize_all, S.marked_text])
+def test_texts_go_to_python_in_small_batches(spark, made):
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "268435456"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        made(F.col("t"))
+        assert [int(spark.conf.get(k)) for k in keys] == [1000, 8 << 20]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
