@@ -17,6 +17,7 @@ counts as several words. Repeated rows get equal scores; other columns, whatever
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -382,22 +383,39 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], list[int]]:
-    """The bounded sample, on the driver: at most POSITIVES + NEGATIVES texts of at most LONGEST characters."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(key as string, text, label) of the bounded sample: at most POSITIVES + NEGATIVES texts of at most LONGEST characters."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
-    rows = []
+    parts = []
     for value, most in ((1, POSITIVES), (0, NEGATIVES)):
         picked = known.where(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(most)
         found = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(picked), key).where(F.length("_text") <= LONGEST)
-        rows += found.orderBy(F.xxhash64(key), key, F.xxhash64("_text")).limit(most).select(F.col(key), "_text", "_label").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1]))
-    return [r[1] for r in rows], [r[2] for r in rows]
+        parts.append(found.orderBy(F.xxhash64(key), key, F.xxhash64("_text")).limit(most).select(F.col(key).cast("string").alias("key"), F.col("_text").alias("text"), F.col("_label").alias("label")))
+    return parts[0].unionByName(parts[1])
+
+
+def _fitted_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the pickled model of all rows of (key, text, label)."""
+    held("toxicity", "", lambda: None)
+    rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+    rows.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0], r[1]))
+    model = pickle.dumps(fitted([r[1] for r in rows], [r[2] for r in rows]))
+    del rows
+    trimmed()
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+
+def trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> Model:
+    """The model of the bounded sample, fitted in one task: neither texts nor training (0.4 GB) are in the driver's memory."""
+    sample = labelled_sample(docs, labels, key, text, label).coalesce(1)
+    found = sample.mapInArrow(_fitted_task, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fitted([], [])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(key, held_out, score, predicted) of each row."""
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fitted(*labelled_sample(docs, labels, key, text, label)))  # 3 MB, whatever the input
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, key, text, label))  # 3 MB, whatever the input
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +429,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 def clean_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The rows of docs that are not toxic. All columns stay as they are; only texts go to Python, and scores come back."""
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fitted(*labelled_sample(docs, labels, key, text, label)))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, key, text, label))
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -337,6 +337,21 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labelled).count() == 0
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    def on_the_driver(*_):
+        raise AssertionError("texts and training are in the driver's memory")
+
+    rows = [(i, f"{'zorx' if i % 4 == 0 else 'other'} word{i % 7} and{i % 5}", int(i % 4 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    learned = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 5), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1]))
+    want = toxicity.fitted([r[1] for r in learned], [r[2] for r in learned])
+    monkeypatch.setattr(toxicity, "fitted", on_the_driver)
+    got = toxicity.toxicity(df.select("doc_id", "text").repartition(3), df.select("doc_id", "toxic")).orderBy("doc_id").collect()
+    scores = toxicity.scores(want, *toxicity._packed([r[1] for r in rows]))
+    assert np.abs(np.array([r.score for r in got]) - scores).max() < 1e-9
+    assert toxicity.clean_documents(df, df).count() == int((scores < 0.5).sum())
+
+
 def toxic_model(rng):
     plain = [f"{a}{b}" for a in ("an", "the", "or", "en", "ti") for b in ("der", "ing", "on", "es", "ha")]
     texts = [" ".join([*rng.choice(plain, 12), *(["zorx " + str(rng.choice(plain))] if i % 3 == 0 else [])]) for i in range(300)]
