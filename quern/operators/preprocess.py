@@ -161,12 +161,31 @@ def checked_runs(rows: DataFrame, require_energy: bool = True) -> DataFrame:
         boolean = x.isin(0.0, 1.0) & F.try_variant_get("v", METRICS[m], "string").isin("true", "false")
         return F.when(~F.isnan(x) & (x < float("inf")) & ((x > 0) if positive else (x >= 0)) & ~boolean, x)
 
-    reasons = _compact(
+    # no function of a lambda here: Spark would interpret what stands below it row by row
+    reasons = F.array(
         *[F.when(F.coalesce(F.col(f"_{f}"), F.lit("")) == "", F.lit(f"missing_required:{f}")) for f in RUN_KEYS],
         F.when(ok & finite_("latency_ms", positive=True).isNull(), F.lit("invalid_or_missing:latency_ms")),
         F.when(ok & ~F.col("_told"), F.lit("invalid_or_missing:telemetry")).when(ok & F.lit(require_energy) & finite_("energy_j").isNull(), F.lit("invalid_or_missing:energy_j")),
     )
-    return df.select("row_number", "value", F.coalesce("_query_id", F.lit("")).alias("query_id"), F.coalesce("_configuration", F.lit("")).alias("configuration"), ok.alias("eligible"), F.array_sort(F.array_distinct(reasons)).alias("reasons"), *[finite_(m).alias(m) for m in METRICS])
+    return df.select("row_number", "value", F.coalesce("_query_id", F.lit("")).alias("query_id"), F.coalesce("_configuration", F.lit("")).alias("configuration"), ok.alias("eligible"), F.sort_array(F.array_except(reasons, F.array(F.lit(None).cast("string")))).alias("reasons"), *[finite_(m).alias(m) for m in METRICS])
+
+
+def refused_events(checked: DataFrame) -> DataFrame:
+    """An event (error) for each reason against a checked run."""
+    return checked.where(F.size("reasons") > 0).select("row_number", "query_id", "configuration", F.lit("error").alias("level"), F.explode("reasons").alias("code"))
+
+
+def refused_counts(checked: DataFrame) -> DataFrame:
+    """(level, code, n): the number of such events by reason. Equal lists are counted before they are taken apart, and written: a filter
+    on lists that are not, as `explode` brings one, goes below the fields, which are then taken out again wherever it names them."""
+    lists = stored(checked.groupBy("reasons").agg(F.count("*").alias("n")), "reasons")
+    return lists.select(F.lit("error").alias("level"), F.explode("reasons").alias("code"), "n").groupBy("level", "code").agg(F.sum("n").alias("n"))
+
+
+def run_counts(checked: DataFrame) -> DataFrame:
+    """One row: the report's counts of checked runs; all but the flags, which need the outliers."""
+    lacking = [F.count_if((F.size("reasons") == 0) & F.col("eligible") & F.col(m).isNull()).alias(m) for m in list(METRICS)[1:]]
+    return checked.agg(F.count("*").alias("input_rows"), F.count_if(F.size("reasons") == 0).alias("output_rows"), F.count_if((F.size("reasons") == 0) & F.col("eligible")).alias("analysis_eligible_rows"), F.count_if(F.size("reasons") > 0).alias("quarantined_rows"), F.struct(*lacking).alias("missing_metrics"))
 
 
 def preprocessed_runs(rows: DataFrame, require_energy: bool = True, threshold: float = 3.5) -> dict[str, DataFrame]:
@@ -183,9 +202,6 @@ def preprocessed_runs(rows: DataFrame, require_energy: bool = True, threshold: f
     records = fine.join(flags, "row_number", "left").select("row_number", "query_id", "configuration", "eligible", *METRICS, F.coalesce("flags", F.array().cast("array<string>")).alias("outlier_flags"), F.col("value").alias("record"))
     stamp = F.struct(F.lit(VERSION).alias("version"), F.col("row_number").alias("source_row_number"), F.col("eligible").alias("analysis_eligible"), "outlier_flags")
     records = records.withColumn("preprocessing", stamp)
-    refused = checked.where(F.size("reasons") > 0).select("row_number", "query_id", "configuration", F.lit("error").alias("level"), F.explode("reasons").alias("code"))
-    events = flagged.withColumn("level", F.lit("warning")).unionByName(refused, allowMissingColumns=True)
+    events = flagged.withColumn("level", F.lit("warning")).unionByName(refused_events(checked), allowMissingColumns=True)
     quarantine = checked.where(F.size("reasons") > 0).select(F.col("row_number").alias("source_row_number"), "query_id", "configuration", "reasons", F.col("value").alias("record"))
-    lacking = [F.count_if((F.size("reasons") == 0) & F.col("eligible") & F.col(m).isNull()).alias(m) for m in list(METRICS)[1:]]
-    report = checked.agg(F.count("*").alias("input_rows"), F.count_if(F.size("reasons") == 0).alias("output_rows"), F.count_if((F.size("reasons") == 0) & F.col("eligible")).alias("analysis_eligible_rows"), F.count_if(F.size("reasons") > 0).alias("quarantined_rows"), F.struct(*lacking).alias("missing_metrics"))
-    return {"records": records, "quarantine": quarantine, "events": events, "report": report.crossJoin(_counted(flagged.select(F.col("code").alias("k")), "outlier_flags"))}
+    return {"records": records, "quarantine": quarantine, "events": events, "report": run_counts(checked).crossJoin(_counted(flagged.select(F.col("code").alias("k")), "outlier_flags"))}

@@ -153,3 +153,22 @@ def test_outliers_are_not_dealt_by_their_groups(spark):
         assert "SortMergeJoin" not in far._jdf.queryExecution().executedPlan().toString() and sorted(r.id for r in far.collect()) == [0, 1, 2]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_errors_and_counts_of_runs_need_no_outliers(spark, monkeypatch):
+    from quern.plans import preprocess as plans
+
+    runs = [{"status": "ok", "query_id": str(i), "configuration": "C1", "repetition": 0, "latency_ms": v, "telemetry": {"energy_j": 1.0}} for i, v in enumerate([1, 2, 3, 4, 100, -1])]
+    runs += [runs[0] | {"latency_ms": True, "telemetry": 3}, {"status": "", "query_id": "z"}]
+    out, checked = Q.preprocessed_runs(objects(spark, runs)), Q.checked_runs(objects(spark, runs))
+    errors = out["events"].where("level = 'error'").groupBy("level", "code").count()
+    assert sorted(map(tuple, Q.refused_counts(checked).collect())) == sorted(map(tuple, errors.collect())) and len(errors.collect()) == 5
+    assert Q.run_counts(checked).first().asDict() == out["report"].drop("outlier_flags").first().asDict()
+    assert "lambdafunction" not in checked._jdf.queryExecution().optimizedPlan().toString()
+
+    def needless(*_, **__):
+        raise AssertionError("errors and counts do not depend on outliers")
+
+    monkeypatch.setattr(Q, "robust_outliers", needless)
+    for q in (plans.run_error_events, plans.run_report):
+        assert q(spark, "/root/testdata/sf0.001").count() > 0
